@@ -8,6 +8,9 @@ spelled out, so that both engines accept the same text.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _DIGIT = r"\p{Nd}"
 _SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 _WORD = r"\p{L}\p{N}_"
@@ -29,6 +32,8 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             elif nxt in "sw":
                 chars = _SPACE if nxt == "s" else _WORD
                 out.append(chars if in_class else f"[{chars}]")
+            elif nxt in "DSW" and not in_class:
+                out.append("[^" + {"D": _DIGIT, "S": _SPACE, "W": _WORD}[nxt] + "]")
             elif nxt == "b" and not in_class:
                 out.append(_BOUNDARY)
             elif nxt in "\"'/":
@@ -49,4 +54,10 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             ch = "(?:"
         out.append(ch)
         i += 1
-    return ("(?iu)" if ignore_case else "") + "".join(out)
+    # (?d): only a line feed ends a line, as in Python.
+    return ("(?diu)" if ignore_case else "(?d)") + "".join(out)
+
+
+def strip(text: Column) -> Column:
+    """Python's ``str.strip()``."""
+    return F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+\z", "")

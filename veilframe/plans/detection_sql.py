@@ -29,7 +29,7 @@ def _digits(sep: str, *groups: str) -> str:
 
 
 # Word boundaries are ASCII there too: hits glued to an accented letter are dropped afterwards.
-_B, _LETTER = r"\b", r"^[^\x00-\x7F]$"
+_B = r"\b"
 
 _SEP = r"\s\-."
 _PHONE_TAIL = (
@@ -73,6 +73,10 @@ _LUHN = (
 )
 
 
+def _glued(char: str) -> str:
+    return f"(unicode({char}) > 127 AND regexp_matches({char}, '[\\pL\\pN]'))"
+
+
 def _hits(idx: int, entity) -> str:
     source = "tm" if entity.entity_type in _MARKED else "t"
     pattern, repl = _MARKED.get(entity.entity_type) or _PLAIN.get(
@@ -114,8 +118,7 @@ windows AS (
   SELECT idx, k, txt, s, s + length(txt) AS e,
          lower(substr(t, greatest(s - 80, 0) + 1, s + length(txt) + 80 - greatest(s - 80, 0))) AS win
   FROM spans JOIN src USING (k) JOIN reg USING (idx)
-  WHERE NOT (b0 AND regexp_matches(substr(t, s, 1), '{_LETTER}'))
-    AND NOT (b1 AND regexp_matches(substr(t, s + length(txt) + 1, 1), '{_LETTER}'))),
+  WHERE NOT (b0 AND {_glued('substr(t, s, 1)')}) AND NOT (b1 AND {_glued('substr(t, s + length(txt) + 1, 1)')})),
 counted AS (
   SELECT w.*, reg.*, len(list_filter(kw, lambda x: contains(win, x))) AS nk,
          len(list_filter(neg, lambda x: contains(win, x))) AS nn
@@ -139,3 +142,20 @@ final AS (SELECT k, max_by(taken, rk) AS taken FROM greedy GROUP BY k),
 kept AS (SELECT k, unnest(list_transform(taken, lambda x: x.rk)) AS rk FROM final),
 ents AS (
   SELECT k, ent, txt, s, e, conf, cat, reg, act, risk FROM kept JOIN ranked USING (k, rk))"""
+
+
+def spliced(replacement: str, cte: str | None = None, joins: str = "", table: str = "documents", key: str = "doc_id",
+            text: str = "text") -> str:
+    """``k, sanitized, pairs``: texts with every entity replaced by the SQL
+    expression ``replacement`` over ``ents`` (as ``x``), and the list of
+    replacements with the leftmost original of each."""
+    return f"""{cte or entities_cte(table, key, text)},
+repl AS (SELECT x.k, x.s, x.e, x.txt, {replacement} AS r FROM ents x {joins}),
+gaps AS (SELECT repl.*, t, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s), 0) AS prev FROM repl JOIN src USING (k)),
+glued AS (SELECT k, string_agg(substr(t, prev + 1, s - prev) || r, '' ORDER BY s) || substr(any_value(t), max(e) + 1) AS sanitized
+          FROM gaps GROUP BY k),
+firsts AS (SELECT k, r, min_by(txt, s) AS txt FROM repl GROUP BY k, r),
+maps AS (SELECT k, string_agg(r || '=' || txt, '; ' ORDER BY r) AS pairs, count(*) AS n FROM firsts GROUP BY k),
+result AS (SELECT src.k, t, coalesce(sanitized, t) AS sanitized, coalesce(pairs, '') AS pairs, coalesce(n, 0) AS n
+           FROM src LEFT JOIN glued USING (k) LEFT JOIN maps USING (k))
+SELECT * FROM result"""
