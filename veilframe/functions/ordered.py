@@ -68,13 +68,13 @@ def previous(
     bucket = f"_bucket{levels}"
     df = df.withColumn(bucket, _bucket(position, width))
     inside = Window.partitionBy(*keys, bucket).orderBy(position)
-    ends = df.groupBy(*keys, bucket).agg(F.max_by(value, position).alias("_end"))
-    ends = previous(ends, keys, bucket, "_end", "_carry", width=width, levels=levels - 1)
-    carried = ends.select(*keys, bucket, "_carry")
+    first, lag, end, carry = (f"_{name}{levels}" for name in ("first", "lag", "end", "carry"))
+    ends = df.groupBy(*keys, bucket).agg(F.max_by(value, position).alias(end))
+    ends = previous(ends, keys, bucket, end, carry, width=width, levels=levels - 1)
     return (
-        df.withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_lag", F.lag(value).over(inside))
-        .join(carried, [*keys, bucket])
-        .withColumn(output, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
-        .drop(bucket, "_first", "_lag", "_carry")
+        df.withColumn(first, F.row_number().over(inside) == 1)
+        .withColumn(lag, F.lag(value).over(inside))
+        .join(ends.select(*keys, bucket, carry), [*keys, bucket])
+        .withColumn(output, F.when(F.col(first), F.col(carry)).otherwise(F.col(lag)))
+        .drop(bucket, first, lag, carry)
     )

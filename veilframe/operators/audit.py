@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.constants import GENESIS_HASH
+from veilframe.functions.dialect import strip
 from veilframe.functions.ordered import WIDTH, previous
 from veilframe.operators.reports import chosen, counts_by, hour_of, mean, newest
 
@@ -137,7 +138,7 @@ def entity_types(entities_json: Column) -> Column:
         of_object = F.when(is_object, F.coalesce(F.try_variant_get(x, "$.type", "string"), F.lit("UNKNOWN")))
         return F.coalesce(of_object, F.try_variant_get(x, "$", "string"))
 
-    words = F.filter(F.transform(F.split(F.try_variant_get(doc, "$", "string"), ","), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split(F.try_variant_get(doc, "$", "string"), ","), lambda w: strip(w)), lambda w: w != "")
     is_text = F.schema_of_variant(doc) == "STRING"
     return F.when(items.isNotNull(), F.transform(items, name)).when(is_text, words)
 

@@ -13,11 +13,17 @@ from veilframe.operators.intercept import intercept, log_rows
 MIN_TYPES, MIN_ENTITIES = 2, 3
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, format: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
-    """New files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", files_per_trigger).load(path)
-    )
+def read_stream(
+    spark: SparkSession,
+    folder: str,
+    schema: str,
+    format: str = "parquet",
+    names: str | None = None,
+    files_per_trigger: int = 1000,
+) -> DataFrame:
+    """New files of a folder as a stream; ``names`` is a pattern for file names."""
+    reader = spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", files_per_trigger)
+    return (reader.option("pathGlobFilter", names) if names else reader).load(folder)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append", format: str = "parquet"):
