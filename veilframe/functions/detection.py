@@ -19,12 +19,13 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.functions import prefilter
-from veilframe.functions.dialect import to_java
+from veilframe.functions.dialect import plain_words, to_java
 from veilframe.functions.prefilter import literal
 from veilframe.functions.registry import CONTEXT_CHARS, NEGATIVE_KEYWORDS, Entity, confidence_table
 
@@ -84,7 +85,7 @@ def _metadata(registry: Sequence[Entity]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), schema)
 
 
-def _pieces(registry: Sequence[Entity], text: str, folded: str, shaped: str) -> Column:
+def _pieces(registry: Sequence[Entity], text: str = "_text") -> Column:
     """``array<struct<idx, parts>>``: one element per type found, its parts being
     gap, hit, right context, gap, hit, right context, ..., gap.
 
@@ -93,11 +94,11 @@ def _pieces(registry: Sequence[Entity], text: str, folded: str, shaped: str) ->
     """
     found = []
     for idx, entity in enumerate(registry):
-        pattern = to_java(entity.pattern, entity.ignore_case)
+        pattern = to_java(entity.pattern, entity.ignore_case, plain=True)
         conditions = [f"rlike({text}, {literal(pattern)})"]
         if _KNOWN_PATTERNS.get(entity.entity_type) == entity.pattern:
             need = prefilter.NEEDS.get(entity.entity_type, prefilter.Need())
-            conditions = prefilter.may_match(need, text=text, folded=folded, shape=shaped) + conditions
+            conditions = prefilter.may_match(need) + conditions
         with_context = f"(?:{pattern})(?=((?s:.{{0,{CONTEXT_CHARS}}})))"
         marked = f"regexp_replace({text}, {literal(with_context)}, '{_MARK}$0{_MARK}$1{_MARK}')"
         found.append(
@@ -157,12 +158,17 @@ def _score(raw: Column, metadata: Column) -> Column:
     )
 
 
+@cache
+def _foreign_digits() -> tuple[str, str]:
+    """The decimal digits of other scripts, and the ASCII digits they stand for."""
+    digits = [chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(digits), "".join(str(unicodedata.decimal(d)) for d in digits)
+
+
 def luhn_valid(number: Column) -> Column:
     """Mod-10 check over the decimal digits of any script; fewer than two fail."""
-    digits = [chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
-    ascii_digits = "".join(str(unicodedata.decimal(d)) for d in digits)
     plain = F.regexp_replace(number, r"[^0-9\p{Nd}]", "")
-    plain = F.when(F.rlike(plain, F.lit("[^0-9]")), F.translate(plain, "".join(digits), ascii_digits)).otherwise(plain)
+    plain = F.when(F.rlike(plain, F.lit("[^0-9]")), F.translate(plain, *_foreign_digits())).otherwise(plain)
     return (F.length(plain) >= 2) & F.call_function("luhn_check", plain)
 
 
@@ -213,8 +219,8 @@ def _resolve(hits: Column) -> Column:
 
 def _publish(hit: Column, text: Column, metadata: Column) -> Column:
     rule = F.get(metadata, hit.idx)
-    # The mark is swapped out of the text before matching; a text that held one gets it back.
-    own = F.when(F.contains(text, F.lit(_MARK)), F.substring(text, hit.start + 1, hit.end - hit.start))
+    # A text in which characters were swapped before matching shows its own.
+    own = F.when(F.col("_text") != text, F.substring(text, hit.start + 1, hit.end - hit.start))
     return F.struct(
         rule["entity_type"].alias("entity_type"),
         own.otherwise(hit.txt).alias("original_text"),
@@ -228,19 +234,17 @@ def _publish(hit: Column, text: Column, metadata: Column) -> Column:
     )
 
 
-def views(text: Column) -> dict[str, Column]:
-    """The columns that ``entities`` reads, to be computed once per row."""
-    return {
-        "_text": F.replace(text, F.lit(_MARK), F.lit("\ufffd")),
-        "_folded": prefilter.fold(text),
-        "_shape": prefilter.shape(text),
-    }
+def views(registry: Sequence[Entity], text: Column) -> list[dict[str, Column]]:
+    """The columns that ``entities`` reads, in the order in which they build on each
+    other, to be computed once per row."""
+    safe = plain_words(F.replace(text, F.lit(_MARK), F.lit("\ufffd")))
+    return [{"_text": safe}, *prefilter.views([e.entity_type for e in registry])]
 
 
 def entities(registry: Sequence[Entity], text: Column) -> Column:
-    """All entities of a text, by offset; needs the columns of ``views(text)``."""
+    """All entities of a text, by offset; needs the columns of ``views``."""
     metadata = _metadata(registry)
-    raw = F.flatten(F.transform(_pieces(registry, "_text", "_folded", "_shape"), _locate))
+    raw = F.flatten(F.transform(_pieces(registry), _locate))
     cards = [i for i, e in enumerate(registry) if e.entity_type == "CREDIT_CARD_PAN"]
     if cards:
         raw = F.filter(raw, lambda r: (r.idx != F.lit(cards[0])) | luhn_valid(r.txt))

@@ -19,8 +19,11 @@ def detect_entities(
     output: str = "entities",
 ) -> DataFrame:
     """Add ``output``, the array of entities found in ``text``, ordered by offset."""
-    found = detection.entities(select(types, registry), F.col(text))
-    viewed = df.withColumns(detection.views(F.col(text)))
+    rows = select(types, registry)
+    viewed = df
+    for columns in detection.views(rows, F.col(text)):
+        viewed = viewed.withColumns(columns)
+    found = detection.entities(rows, F.col(text))
     # One row in, one row out.  As a generator's output the array is computed once: a plain
     # projection would be copied into every filter and expression that reads the column.
     return viewed.select(*df.columns, F.explode(F.array(found)).alias(output))
