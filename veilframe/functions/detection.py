@@ -4,14 +4,12 @@ The steps, all inside one row and all on the JVM:
 
 1. every pattern that can match marks its hits in the text and splits there,
    so hits and the gaps between them alternate (``_pieces``);
-2. one fold over the pieces adds up offsets and keeps the 80 characters on
-   either side (``_locate``), so no substring ever walks the text again;
+2. running sums over the pieces give offsets, and the pieces around a hit its 80
+   characters of context (``_locate``), so no substring walks the text again;
 3. keywords in that window pick the confidence from a precomputed table;
 4. overlapping hits are resolved island by island (``_resolve``).
 
-Work per text is linear in its length plus its hits.  The folds append to
-arrays in chunks, because appending one by one to a single array copies it
-every time.
+Work per text is about linear in its length plus its hits.
 """
 
 from __future__ import annotations
@@ -24,7 +22,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions import prefilter
+from veilframe.functions import folding, prefilter
 from veilframe.functions.dialect import plain_words, to_java
 from veilframe.functions.prefilter import literal
 from veilframe.functions.registry import CONTEXT_CHARS, NEGATIVE_KEYWORDS, Entity, confidence_table
@@ -36,33 +34,9 @@ ENTITY_TYPE = (
 ENTITIES_TYPE = f"array<{ENTITY_TYPE}>"
 
 _MARK = ""
-_CHUNK = 256
-_RAW = "struct<start:int,end:int,idx:int,txt:string,win:string>"
 _HIT = "struct<start:int,end:int,idx:int,conf:double,txt:string>"
 
 
-def _empty(element: str) -> Column:
-    return F.array().cast(f"array<{element}>")
-
-
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _append(state: Column, item: Column, element: str) -> tuple[Column, Column]:
-    """The ``buf`` and ``done`` fields after adding ``item``: full buffers move
-    to ``done``, so an append copies one buffer and not the whole result."""
-    full = F.size(state.buf) >= _CHUNK
-    buf = F.when(full, F.array(item)).otherwise(F.concat(state.buf, F.array(item)))
-    done = F.when(full, F.concat(state.done, F.array(state.buf))).otherwise(state.done)
-    return buf, done
-
-
-def _collected(state: Column) -> Column:
-    return F.concat(F.flatten(state.done), state.buf)
-
-
 def _metadata(registry: Sequence[Entity]) -> Column:
     """The registry as one constant array, looked up by position."""
     rows = [
@@ -111,35 +85,43 @@ def _pieces(registry: Sequence[Entity], text: str = "_text") -> Column:
 def _locate(found: Column) -> Column:
     """The hits of one type with offsets and context window."""
     parts = found.parts
+    last = ((F.size(parts) - 1) / 3).cast("int") - 1
 
-    def step(state, k):
-        gap, hit, after = (F.get(parts, k * 3 + n) for n in range(3))
-        before = F.right(F.concat(state.tail, gap), F.lit(CONTEXT_CHARS))
-        start = state.pos + F.length(gap)
-        end = start + F.length(hit)
-        raw = F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            found.idx.alias("idx"),
-            hit.alias("txt"),
-            F.lower(F.concat(before, hit, after)).alias("win"),
+    def gap(k):
+        return F.get(parts, k * 3)
+
+    def hit(k):
+        return F.get(parts, k * 3 + 1)
+
+    def left_of(k, hits):
+        """The end of what stands between the start of hit ``k - hits`` and hit ``k``."""
+        earlier = F.filter(F.sequence(k - hits, k - 1), lambda j: j >= 0)
+        ends = F.transform(
+            earlier, lambda j: F.concat(F.right(gap(j), F.lit(CONTEXT_CHARS)), F.right(hit(j), F.lit(CONTEXT_CHARS)))
         )
-        buf, done = _append(state, raw, _RAW)
+        return F.right(F.concat(F.array_join(ends, ""), gap(k)), F.lit(CONTEXT_CHARS))
+
+    def context(k):
+        # Mostly the gap alone is long enough; else the hits before it are put back, each of
+        # which has a character at least.
+        near = F.when(F.length(gap(k)) >= CONTEXT_CHARS, F.right(gap(k), F.lit(CONTEXT_CHARS))).otherwise(left_of(k, 12))
+        full = folding.bind(near, lambda n: F.when(F.length(n) >= CONTEXT_CHARS, n).otherwise(left_of(k, CONTEXT_CHARS)))
+        return F.lower(F.concat(full, hit(k), F.get(parts, k * 3 + 2)))
+
+    numbers = F.sequence(F.lit(0), last)
+    offsets = folding.sum_before(F.transform(numbers, lambda k: F.length(gap(k)) + F.length(hit(k))))
+
+    def raw(before, k):
+        start = before + F.length(gap(k))
         return F.struct(
-            end.alias("pos"),
-            F.right(F.concat(before, hit), F.lit(CONTEXT_CHARS)).alias("tail"),
-            buf.alias("buf"),
-            done.alias("done"),
+            start.alias("start"),
+            (start + F.length(hit(k))).alias("end"),
+            found.idx.alias("idx"),
+            hit(k).alias("txt"),
+            context(k).alias("win"),
         )
 
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit("").alias("tail"),
-        _empty(_RAW).alias("buf"),
-        _empty(f"array<{_RAW}>").alias("done"),
-    )
-    last = ((F.size(parts) - 1) / 3).cast("int") - 1
-    return F.aggregate(F.sequence(F.lit(0), last), zero, step, _collected)
+    return F.transform(offsets, raw)
 
 
 def _hits_with(words: Column, window: Column) -> Column:
@@ -179,23 +161,6 @@ def _resolve(hits: Column) -> Column:
     inside each island, which holds a handful of hits whatever the text.
     """
 
-    def gather(state, hit):
-        joins = hit.start < state.reach
-        buf, done = _append(state, state.island, f"array<{_HIT}>")
-        return F.struct(
-            F.when(joins, F.greatest(state.reach, hit.end)).otherwise(hit.end).alias("reach"),
-            F.when(joins, F.concat(state.island, F.array(hit))).otherwise(F.array(hit)).alias("island"),
-            F.when(joins, state.buf).otherwise(buf).alias("buf"),
-            F.when(joins, state.done).otherwise(done).alias("done"),
-        )
-
-    zero = F.struct(
-        F.lit(0).alias("reach"),
-        _empty(_HIT).alias("island"),
-        _empty(f"array<{_HIT}>").alias("buf"),
-        _empty(f"array<array<{_HIT}>>").alias("done"),
-    )
-
     def rank(hit):
         return F.struct((hit.start - hit.end).alias("k1"), (-hit.conf).alias("k2"), hit.start.alias("k3"),
                         hit.idx.alias("k4"), hit.alias("hit"))
@@ -204,17 +169,31 @@ def _resolve(hits: Column) -> Column:
         best_first = F.transform(F.array_sort(F.transform(island, rank)), lambda r: r.hit)
         kept = F.aggregate(
             best_first,
-            _empty(_HIT),
+            folding.empty(_HIT),
             lambda kept, h: F.when(F.exists(kept, lambda k: (h.start < k.end) & (h.end > k.start)), kept).otherwise(
                 F.concat(kept, F.array(h))
             ),
         )
         return F.when(F.size(island) < 2, island).otherwise(F.array_sort(kept))
 
-    islands = F.aggregate(
-        F.array_sort(hits), zero, gather, lambda s: F.concat(F.flatten(s.done), s.buf, F.array(s.island))
-    )
-    return F.when(F.size(hits) < 2, hits).otherwise(F.flatten(F.transform(islands, choose)))
+    def resolve(ordered):
+        ends = F.transform(ordered, lambda h: h.end)
+
+        def split(reach):
+            starts = F.filter(
+                F.sequence(F.lit(0), F.size(ordered) - 1),
+                lambda i: (i == 0) | (F.get(ordered, i).start >= F.get(reach, i)),
+            )
+            return folding.bind(
+                starts,
+                lambda cut: F.transform(
+                    cut, lambda c, j: F.slice(ordered, c + 1, F.coalesce(F.get(cut, j + 1), F.size(ordered)) - c)
+                ),
+            )
+
+        return F.flatten(F.transform(folding.bind(folding.max_before(ends), split), choose))
+
+    return F.when(F.size(hits) < 2, hits).otherwise(folding.bind(F.array_sort(hits), resolve))
 
 
 def _publish(hit: Column, text: Column, metadata: Column) -> Column:
@@ -249,9 +228,9 @@ def entities(registry: Sequence[Entity], text: Column) -> Column:
     if cards:
         raw = F.filter(raw, lambda r: (r.idx != F.lit(cards[0])) | luhn_valid(r.txt))
     scored = F.transform(raw, lambda r: _score(r, metadata))
-    kept = _bind(scored, _resolve)
+    kept = folding.bind(scored, _resolve)
     published = F.transform(kept, lambda h: _publish(h, text, metadata))
-    return F.coalesce(published, _empty(ENTITY_TYPE)).cast(ENTITIES_TYPE)
+    return F.coalesce(published, folding.empty(ENTITY_TYPE)).cast(ENTITIES_TYPE)
 
 
 def _known_patterns() -> dict[str, str]:

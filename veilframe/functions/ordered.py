@@ -18,7 +18,7 @@ WIDTH = 4096
 
 
 def _bucket(position: str, width: int) -> Column:
-    return F.floor(F.col(position) / width).cast("bigint")
+    return F.expr(f"`{position}` div {int(width)}")
 
 
 def running_total(

@@ -32,33 +32,36 @@ def build_chain(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFram
     from the genesis hash, and ``seal_segments`` chains their last hashes.  An
     event table within one segment is a single chain.
     """
-    df = events.withColumn("segment", F.floor(F.col("seq") / segment_rows).cast("bigint"))
+    df = events.withColumn("segment", F.expr(f"seq div {int(segment_rows)}"))
     fields = F.struct(
         "seq",
         F.col("event_id").alias("event_id"),
         F.col("event_type").alias("event_type"),
         timestamp_text(F.col("timestamp")).alias("ts"),
     )
-    zero = F.struct(
-        F.lit(GENESIS_HASH).alias("last"),
-        F.array().cast("array<struct<seq:bigint,prev_hash:string,hash:string>>").alias("links"),
-    )
+    width = len(GENESIS_HASH)
 
-    def link(state, e):
-        digest = event_hash(state["last"], e["event_id"], e["event_type"], e["ts"])
-        row = F.struct(e["seq"].cast("bigint").alias("seq"), state["last"].alias("prev_hash"), digest.alias("hash"))
-        return F.get(
-            F.transform(
-                F.array(row),
-                lambda r: F.struct(r["hash"].alias("last"), F.concat(state["links"], F.array(r)).alias("links")),
-            ),
-            F.lit(0),
-        )
+    def nth(hashes, i):
+        return F.decode(F.substring(hashes, i * width + 1, F.lit(width)), "UTF-8")
 
+    def link(hashes, e):
+        before = F.decode(F.substring(hashes, F.lit(-width), F.lit(width)), "UTF-8")
+        return F.concat(hashes, F.encode(event_hash(before, e["event_id"], e["event_type"], e["ts"]), "UTF-8"))
+
+    # All hashes of a segment in one byte string, the genesis first: a fold copies its state at every
+    # step, and bytes are the cheapest thing to copy.
+    hashes = F.aggregate("rows", F.encode(F.lit(GENESIS_HASH), "UTF-8"), link)
     links = (
         df.groupBy("segment")
         .agg(F.array_sort(F.collect_list(fields)).alias("rows"))
-        .select("segment", F.inline(F.aggregate("rows", zero, link, lambda s: s["links"])))
+        .select("segment", F.col("rows.seq").alias("seqs"), F.explode(F.array(hashes)).alias("hashes"))
+        .select("segment", "hashes", F.posexplode("seqs").alias("i", "seq"))
+        .select(
+            "segment",
+            "seq",
+            nth(F.col("hashes"), F.col("i")).alias("prev_hash"),
+            nth(F.col("hashes"), F.col("i") + 1).alias("hash"),
+        )
     )
     return df.join(links, ["segment", "seq"])
 

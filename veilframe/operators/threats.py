@@ -19,6 +19,7 @@ from veilframe.functions.constants import (
     WRITE_VERB,
 )
 from veilframe.functions.dialect import strip, to_java
+from veilframe.functions.prefilter import fold
 from veilframe.operators.detect import detect_entities
 from veilframe.operators.reports import counts_by, latest_hours, mean, newest
 
@@ -43,13 +44,25 @@ RESPONSES = {
 }
 
 
+# A word that a text must hold, in lower case, for the pattern to match; most texts fail it quickly.
+_NEEDS = {
+    INJECTION_PATTERNS: (
+        "ignore", "forget", "disregard", "you", "admin", "pretend", "forward", "send", "http", "output",
+    ),
+    BROAD_QUERY_PATTERNS: ("select", "get", "everything", "fetch", "retrieve", "filter", "where"),
+    ESCALATION_PATTERNS: ("delete|drop|truncate|alter", "override", "grant", "/admin/", "privileged"),
+    OVERBROAD_PATTERNS: ("getall", "filter", "bulk", "pagination", "delete"),
+}
+
+
 def _first_matches(patterns: Sequence[str], prefix: str, text: Column) -> list[Column]:
     """One signal per pattern that matches, showing its first match."""
     signals = []
-    for pattern in patterns:
+    for pattern, need in zip(patterns, _NEEDS[patterns], strict=True):
         java = to_java(pattern, ignore_case=True)
         shown = strip(F.regexp_extract(text, java, 0))
-        signals.append(F.when(F.rlike(text, F.lit(java)), F.concat(F.lit(f"{prefix}: '"), shown, F.lit("'"))))
+        found = F.rlike("_folded", F.lit(need)) & F.rlike(text, F.lit(java))
+        signals.append(F.when(found, F.concat(F.lit(f"{prefix}: '"), shown, F.lit("'"))))
     return signals
 
 
@@ -106,7 +119,8 @@ def _threat(name: str) -> Column:
         )
     if name == "SALAMI_SLICING":
         distinct = F.array_sort(F.array_distinct(types))
-        names = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(to_java(TITLED_NAME)), F.lit(0))))
+        titled = F.regexp_extract_all(text, F.lit(to_java(TITLED_NAME)), F.lit(0))
+        names = F.when(F.rlike(text, F.lit(r"[MD](?:rs?|s)")), F.array_sort(F.array_distinct(titled)))
         found = [
             F.when(
                 F.size(distinct) >= 2,
@@ -122,7 +136,9 @@ def _threat(name: str) -> Column:
         )
     if name == "OVERBROAD_API":
         found = _first_matches(OVERBROAD_PATTERNS, "Overbroad pattern", text)
-        writes = F.rlike(text, F.lit(to_java(WRITE_VERB, ignore_case=True)))
+        writes = F.rlike("_folded", F.lit("post|put|delete|patch")) & F.rlike(
+            text, F.lit(to_java(WRITE_VERB, ignore_case=True))
+        )
         found.append(F.when(low_role & writes, F.concat(F.lit("Write operation from '"), role, F.lit("' role"))))
         return _verdict(
             name, found, 22, 0, lambda s: F.when(F.size(s) > 0, "MEDIUM").otherwise("LOW"),
@@ -164,7 +180,7 @@ def analyze(df: DataFrame, types: Sequence[str] = THREAT_TYPES) -> DataFrame:
             "_combined": F.concat("payload", F.lit(" "), F.coalesce("context", F.lit(""))),
             "_pii": F.size("entities"),
         }
-    )
+    ).withColumn("_folded", fold(F.col("_combined")))
     verdicts = ready.select(*keep, F.inline(F.array(*[_threat(t) for t in types])))
     blocked = F.col("threat_detected") & (F.col("risk_score") >= BLOCK_RISK)
     return verdicts.withColumns(
