@@ -216,8 +216,12 @@ def _publish(hit: Column, text: Column, metadata: Column) -> Column:
 def views(registry: Sequence[Entity], text: Column) -> list[dict[str, Column]]:
     """The columns that ``entities`` reads, in the order in which they build on each
     other, to be computed once per row."""
-    safe = plain_words(F.replace(text, F.lit(_MARK), F.lit("\ufffd")))
-    return [{"_text": safe}, *prefilter.views([e.entity_type for e in registry])]
+    unmarked = F.replace(text, F.lit(_MARK), F.lit("\ufffd"))
+    return [
+        {"_text": unmarked},
+        {"_text": plain_words(F.col("_text"))},
+        *prefilter.views([e.entity_type for e in registry]),
+    ]
 
 
 def entities(registry: Sequence[Entity], text: Column) -> Column:

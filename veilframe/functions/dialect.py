@@ -76,6 +76,9 @@ def to_java(pattern: str, ignore_case: bool = False, plain: bool = False) -> str
             ch = "(?:"
         out.append(ch)
         i += 1
+    if "(?<" in "".join(out):
+        # Java looks behind by half characters unless the pattern holds a wide one: this one, zero times.
+        out.append("\U0001d7ce{0}")
     # (?d): only a line feed ends a line, as in Python.
     return f"(?d{'iu' if ignore_case else ''}{'U' if plain else ''})" + "".join(out)
 

@@ -89,7 +89,7 @@ def read_texts(spark: SparkSession, path: str, format: str = "parquet", text: st
     """Payloads from parquet, ORC, JSON lines, CSV, or whole text files (``path`` and
     content become ``doc_id`` and ``text``)."""
     if format == "text":
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.format("text").option("wholetext", True).load(path)
         return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
     reader = spark.read
     if format == "csv":
