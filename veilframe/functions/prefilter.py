@@ -1,11 +1,12 @@
 """Cheap necessary conditions, so that most patterns never run on most texts.
 
-Running every registry pattern over every text is what detection costs.  Three
+Running every registry pattern over every text is what detection costs.  Four
 views of a text answer "can this pattern match at all?" much faster:
 
 * the text itself, searched for a telling literal;
 * the *folded* text (a blank, then the text in lower case), searched for the
   keywords of the patterns that ignore case;
+* the *marks*: all that is left of the text when only ``@ $ _ = + : / -`` stay;
 * the *shape*: every stretch that is neither a capital nor a digit becomes one
   blank, which leaves a few percent of ordinary prose.
 
@@ -31,6 +32,7 @@ class Need(NamedTuple):
     beginnings of words of which the folded text must hold one."""
 
     shape: str = ""
+    marks: str = ""
     text: str = ""
     words: str = ""
     folded: str = ""
@@ -49,21 +51,21 @@ def _word_start(words: str) -> str:
 
 NEEDS: dict[str, Need] = {
     "FULL_NAME": Need(shape="[MDPRCSH] [A-Z]", text=r"[MDPRCSH](?:rs?|s|iss|rof|ev|apt|gt|on)\.?[^A-Za-z.]+[A-Z]"),
-    "EMAIL": Need(text="@"),
+    "EMAIL": Need(marks="@"),
     "PHONE": Need(shape=rf"[2-9]{_D}{{2}} ?[2-9]{_D}{{2}} ?{_D}{{4}}"),
     "SSN": Need(shape=rf"{_D}{{3}} {_D}{{2}} {_D}{{4}}"),
     "PASSPORT_NO": Need(shape=rf"[A-Z]{_D}{{6}}"),
     "DRIVERS_LICENSE": Need(shape=rf"[A-Z]{_D}{{4}} ?{_D}{{4}} ?{_D}{{4}}"),
     "IP_ADDRESS": Need(shape=rf"{_D} {_D}{{1,3}} {_D}{{1,3}} {_D}"),
     "DATE_OF_BIRTH": Need(shape=rf"[0-3]{_D} [0-3]{_D} (?:19|20){_D}|(?:19|20){_D}{{2}} [0-3]{_D} [0-3]{_D}"),
-    "MAC_ADDRESS": Need(text=r"[:\-][0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-]"),
+    "MAC_ADDRESS": Need(marks=r"[:\-]{5}", text=r"[:\-][0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-]"),
     "VIN": Need(shape="[A-Z0-9]{17}"),
     "NATIONAL_ID": Need(shape=rf"{_D}{{3}} ?{_D}{{3}} ?{_D}{{3}} ?{_D}{{2}}"),
     "TAX_ID": Need(shape=rf"{_D}{{2}} {_D}{{7}}"),
     "BIOMETRIC_ID": Need(shape="BIOM? ?[A-Z0-9]{8}"),
-    "COOKIE_ID": Need(text="_(?:ga|fbp|gcl_aw|id)="),
-    "DEVICE_ID": Need(text="-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-"),
-    "USERNAME": Need(text="@[A-Za-z_]"),
+    "COOKIE_ID": Need(marks="_=", text="_(?:ga|fbp|gcl_aw|id)="),
+    "DEVICE_ID": Need(marks="----", text="-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-"),
+    "USERNAME": Need(marks="@", text="@[A-Za-z_]"),
     "PATIENT_ID": Need(shape=rf"P(?:AT|T) ?{_D}{{6}}"),
     "MRN": Need(shape=rf"MRN? ?{_D}{{5}}"),
     "DIAGNOSIS_CODE": Need(shape=rf"[A-TV-Z]{_D}{{2}}"),
@@ -77,7 +79,7 @@ NEEDS: dict[str, Need] = {
     "PROVIDER_NPI": Need(shape=rf"{_D}{{10}}"),
     "INSURANCE_ID": Need(shape="(?:INS|INSUR|POLICY) ?[A-Z0-9]{6}"),
     "DATE_OF_SERVICE": Need(shape=rf"[0-3]{_D} (?:19|20){_D}", words="dos date"),
-    "BLOOD_TYPE": Need(text=r"[ABO][+\-]"),
+    "BLOOD_TYPE": Need(shape="[ABO]", marks=r"[+\-]", text=r"[ABO][+\-]"),
     "GENETIC_MARKER": Need(shape=rf"{_D}{{4}}|BRCA|HLA|CYP"),
     "LAB_RESULT": Need(
         shape=_D,
@@ -101,19 +103,19 @@ NEEDS: dict[str, Need] = {
     "TRADE_SECRET_MARKER": Need(words="confidential secret proprietary restricted internal distribution"),
     "SWIFT_BIC_FIN": Need(shape="[A-Z]{6}[A-Z0-9]{2}"),
     "LEI": Need(shape=rf"[0-9A-Z]{{4}}00[A-Z0-9]{{12}}{_D}{{2}}"),
-    "API_KEY": Need(text="sk-[A-Za-z0-9]|[rp]k_live_"),
+    "API_KEY": Need(marks="-|__", text="sk-[A-Za-z0-9]|[rp]k_live_"),
     "SECRET_TOKEN": Need(folded="[tspab](?:oken|ecret|assword|pi_?key|uth|earer)"),
-    "PRIVATE_KEY": Need(text="-----BEGIN "),
+    "PRIVATE_KEY": Need(marks="-----", text="-----BEGIN "),
     "AWS_ACCESS_KEY": Need(shape="AKIA"),
-    "GCP_SERVICE_KEY": Need(text=r"\.iam\.gserviceaccount\.com"),
-    "GITHUB_TOKEN": Need(text="gh[pousr]_"),
-    "JWT_TOKEN": Need(text="eyJ"),
-    "CONNECTION_STRING": Need(folded="[:re](?://|=)"),
-    "PASSWORD_HASH": Need(text=r"\$"),
+    "GCP_SERVICE_KEY": Need(marks="-@", text=r"\.iam\.gserviceaccount\.com"),
+    "GITHUB_TOKEN": Need(marks="_", text="gh[pousr]_"),
+    "JWT_TOKEN": Need(shape="J", text="eyJ"),
+    "CONNECTION_STRING": Need(marks="://|=", folded="[:re](?://|=)"),
+    "PASSWORD_HASH": Need(marks=r"\$[^$]*\$[^$]*\$"),
     "EMPLOYEE_ID": Need(shape=rf"(?:EMP|EID|E) ?{_D}{{5}}"),
     "CONTRACT_REF": Need(shape="(?:CON|CTR) ?[A-Z0-9]{4}"),
     "PROJECT_CODENAME": Need(folded="[pci](?:roject|odename|nitiative)[^a-z]"),
-    "INTERNAL_URL": Need(folded="://"),
+    "INTERNAL_URL": Need(marks="://"),
     "DOCUMENT_CLASSIFICATION": Need(words="secret confidential restricted unclassified official"),
     "DATA_SUBJECT_ID": Need(shape=rf"(?:DSR|DSAR|SUBJ) ?{_D}{{5}}"),
 }
@@ -131,19 +133,24 @@ def shape(text: Column) -> Column:
     return F.regexp_replace(text, r"[^A-Z\p{Nd}]+", " ")
 
 
+def marks(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^@$_=+:/\-]+", "")
+
+
 def literal(value: str) -> str:
     """``value`` as a SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-_COLUMNS = {"shape": "_shape", "text": "_text", "words": "_folded", "folded": "_folded"}
+_COLUMNS = {"shape": "_shape", "marks": "_marks", "text": "_text", "words": "_folded", "folded": "_folded"}
 
 
 def views(types: Iterable[str]) -> list[dict[str, Column]]:
     """The view columns over ``_text``, in the order in which they build on each other."""
     words = " ".join(dict.fromkeys(" ".join(NEEDS[t].words for t in types if t in NEEDS).split()))
     keyword = F.rlike("_folded", F.lit(_word_start(words))) if words else F.lit(False)
-    return [{"_folded": fold(F.col("_text")), "_shape": shape(F.col("_text"))}, {"_keyword": keyword}]
+    text = F.col("_text")
+    return [{"_folded": fold(text), "_shape": shape(text), "_marks": marks(text)}, {"_keyword": keyword}]
 
 
 def may_match(need: Need) -> list[str]:
