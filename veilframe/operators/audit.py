@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.constants import GENESIS_HASH
 from veilframe.functions.dialect import strip
 from veilframe.functions.ordered import WIDTH, previous
-from veilframe.operators.reports import chosen, counts_by, hour_of, mean, newest
+from veilframe.operators.reports import chosen, counts_by, hour_of, mean, newest, one_row
 
 SEGMENT_ROWS = 1024
 
@@ -201,7 +201,7 @@ def totals(events: DataFrame) -> DataFrame:
         F.countDistinct("agent_id").alias("unique_agents"),
         F.countDistinct("session_id").alias("unique_sessions"),
     )
-    return whole.join(peaks)  # one row each
+    return one_row(whole, peaks)
 
 
 def agents(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.constants import CONTROLS, FRAMEWORKS, REQUIRED_TYPES
 from veilframe.operators.policy import named_frameworks
+from veilframe.operators.reports import one_row
 
 _RANKS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 COVERAGE_NEEDED, EVENTS_NEEDED = 80, 10
@@ -99,7 +100,7 @@ def facts(entities: DataFrame, events: DataFrame, sessions: DataFrame, policies:
     trail = events.agg(F.count("*").alias("events"))
     erased = sessions.agg(F.count_if(F.col("status") == "PURGED").alias("purged"))
     named = named_frameworks(policies, [f[0] for f in FRAMEWORKS]).agg(F.collect_set("code").alias("named"))
-    return seen.join(trail).join(erased).join(named)  # one row each
+    return one_row(seen, trail, erased, named)
 
 
 def _all_required() -> list[str]:
@@ -117,7 +118,8 @@ def assess_controls(controls: DataFrame, facts: DataFrame) -> DataFrame:
         F.size("required") > 0, F.round(F.size("covered") / F.size("required") * 100, 1)
     ).otherwise(100.0)
     df = (
-        controls.join(facts)  # facts is one row
+        controls.withColumn("_facts", facts.select(F.struct(*facts.columns)).scalar())
+        .select(*controls.columns, "_facts.*")
         .withColumn("required", required)
         .withColumn("covered", F.array_sort(F.array_intersect("required", "types")))
         .withColumn("missing", F.array_sort(F.array_except("required", "types")))

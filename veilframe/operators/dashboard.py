@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import lookup
 from veilframe.functions.constants import CATEGORIES, CATEGORY_NAMES, SEVERITY_WEIGHTS
-from veilframe.operators.reports import hour_of, mean
+from veilframe.operators.reports import hour_of, mean, one_row
 from veilframe.operators.threats import severity_weight
 
 
@@ -48,7 +48,7 @@ def stats(
         F.coalesce(F.sum(F.when(F.col("active"), F.col("tokens"))), F.lit(0)).alias("vault_utilization"),
         F.coalesce(F.round(F.sum("sure") / F.sum("entities") * 100, 1), F.lit(0.0)).alias("detection_accuracy"),
     )
-    return scans.join(danger).join(latency).join(score).join(vault)  # one row each
+    return one_row(scans, danger, latency, score, vault)
 
 
 def timeline(entities: DataFrame, hours: int = 24) -> DataFrame:

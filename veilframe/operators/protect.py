@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import masking
 from veilframe.functions.constants import VAULT_TYPES
 from veilframe.functions.ordered import WIDTH, running_total
+from veilframe.operators.reports import one_row
 
 REF_DIGITS = 32
 
@@ -200,6 +201,8 @@ def vault_stats(sessions: DataFrame, entries: DataFrame, now: Column) -> DataFra
     tokens = entries.agg(F.coalesce(F.sum(F.size("mappings")), F.lit(0)).cast("bigint").alias("total_tokens"))
     types = (
         tokens_by_type(entries).groupBy("entity_type").agg(F.sum("tokens").alias("n"))
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("tokens_by_type"))
+        .agg(F.array_sort(F.collect_list(F.struct("entity_type", "n"))).alias("_types"))
+    )
+    return one_row(state, tokens, types).select(
+        *state.columns, "total_tokens", F.map_from_entries("_types").alias("tokens_by_type")
     )
-    return state.join(tokens).join(types)  # one row each

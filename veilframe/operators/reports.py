@@ -61,6 +61,15 @@ def counts_by(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     return out.where(F.col("value").isNotNull())
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Frames of one row each, side by side, without a join: their rows are stacked and
+    the only value of every column is taken."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def hour_of(time: Column | str) -> Column:
     return F.date_trunc("hour", time)
 

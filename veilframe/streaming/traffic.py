@@ -93,7 +93,11 @@ def salami_sessions(
     min_types: int = MIN_TYPES,
     min_entities: int = MIN_ENTITIES,
 ) -> DataFrame:
-    """The same over bursts: windows that end after ``gap`` without an entity."""
+    """The same over bursts: windows that end after ``gap`` without an entity.
+
+    With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set,
+    a stream merges the bursts of a busy agent before the shuffle.
+    """
     grouped = detections.withWatermark(time, delay).groupBy(F.session_window(time, gap), agent)
     return (
         _slicing(grouped)
