@@ -81,17 +81,16 @@ def compliance_refs(entity_type: Column, action: Column, packs: Column) -> Colum
 
 
 def _folded_rules(rules: DataFrame) -> DataFrame:
-    """Per policy and type the last rule of every distinct role list, as an array."""
+    """Per policy and type the last position of every distinct action and role list,
+    as an array: bounded, however often a policy repeats a rule."""
     roles = F.when(F.size("roles") > 0, F.array_sort(F.array_distinct("roles")))
     last = (
         rules.where("entity_type IS NOT NULL")
-        .groupBy("policy_id", "entity_type", roles.alias("roles"))
-        .agg(F.max_by(F.struct("pos", "action"), "pos").alias("last"))
+        .groupBy("policy_id", "entity_type", "action", roles.alias("roles"))
+        .agg(F.max("pos").alias("pos"))
     )
     return last.groupBy("policy_id", "entity_type").agg(
-        F.collect_list(F.struct(F.col("last.pos").alias("pos"), F.col("last.action").alias("action"), "roles")).alias(
-            "_rules"
-        )
+        F.collect_list(F.struct("pos", "action", "roles")).alias("_rules")
     )
 
 
