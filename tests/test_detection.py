@@ -61,7 +61,7 @@ ODD = [
     "4111-1111-1111-1112 and 4111-1111-1111-1111 and 378282246310005",
     "<p>SSN: 123-45-6789</p> | é123-45-6789 | 123-45-6789é | ٣٤٥-67-8901 | card ٤111",
     "²ABCDEFGH ABCDEFGH² x́ABCDEFGH ABCDEFGH́ ‿ABCDEFGH _ABCDEFGH ⅣABCDEFGH ⒶABCDEFGH‍ ABCDEFGHé",
-    "mark  inside postgres://user:secret@host/database and a.b@c.de",
+    "mark \ue000 inside postgres://user:\ue000secret@host/database and \ue000a.b@c.de\ue000",
     "😀😀 john@doe.org 😀 call 415-555-0198 😀 \U0001d7d84155550198",
     "METFORMIN metformın MetforMİn aſpirin Kaspirin INSULİN",
     "A+ B- AB+ O- A+\n O+",

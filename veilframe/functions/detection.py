@@ -33,7 +33,7 @@ ENTITY_TYPE = (
 )
 ENTITIES_TYPE = f"array<{ENTITY_TYPE}>"
 
-_MARK = ""
+_MARK = "\ue000"
 _HIT = "struct<start:int,end:int,idx:int,conf:double,txt:string>"
 
 

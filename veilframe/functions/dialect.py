@@ -22,9 +22,9 @@ _BOUNDARY = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
 
 # Characters that count as part of a word in Python and not in Java, and the reverse.
 # A range comes first, so that most characters are told apart by one comparison.
-_WORD_IN_PYTHON = r"[²³¹¼-¾ʰ-\x{10FFFF}&&[\p{Nl}\p{No}]]"
+_WORD_IN_PYTHON = r"[\u00B2\u00B3\u00B9\u00BC-\u00BE\u02B0-\x{10FFFF}&&[\p{Nl}\p{No}]]"
 _WORD_IN_JAVA = (
-    r"[ʰ-\x{10FFFF}&&[\p{M}\p{Pc}‌‍Ⓐ-ⓩ"
+    r"[\u02B0-\x{10FFFF}&&[\p{M}\p{Pc}\u200C\u200D\u24B6-\u24E9"
     r"\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}]]"
 )
 _SOME_LETTER, _NO_LETTER = "\u01c2", "\ufffd"

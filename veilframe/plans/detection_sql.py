@@ -11,8 +11,8 @@ from collections.abc import Iterable
 
 from veilframe.functions.registry import NEGATIVE_KEYWORDS, select
 
-_S = ""  # around a hit
-_L, _R = "", ""  # before and after a run of digits
+_S = "\ue000"  # around a hit
+_L, _R = "\ue001", "\ue002"  # before and after a run of digits
 
 
 def quote(value: str) -> str:
