@@ -2,9 +2,10 @@ import pytest
 
 import __spark_entry__ as contract
 import oracle
+from veilframe.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,8 @@ def test_entry(spark):
 
 
 def test_every_sql_has_its_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"vlt_synthesize"}
 
