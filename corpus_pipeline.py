@@ -1,15 +1,70 @@
-"""Corpus pipeline: stages applied to ``documents`` one after the other."""
+"""Corpus pipeline: stages applied to ``documents`` one after the other.
+
+Language identification drops texts without a language, quality rules drop failing
+texts, one document of each group of near duplicates stays, sources are mixed to their
+target weights, and what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilframe.llm.language_id import identify, train
+from veilframe.llm.mixing import mix_sources
+from veilframe.llm.near_dedup import drop_near_duplicates
+from veilframe.llm.pieces import encode_texts
+from veilframe.llm.quality import judge_quality, learn_ratio
+from veilframe.llm.queries import MIX_OTHER, MIX_SEED, MIX_WEIGHTS, piece_model, table
+from veilframe.llm.shared import written
+
+#: Texts whose best language is less likely than this are rejected.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages of the labelled texts."""
+    model = train(docs, F.lit(True))
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return identify(docs, model).where(sure).select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood ratio."""
+    ratio = learn_ratio(docs, table(spark, sf_dir, "labels"))
+    return judge_quality(docs, ratio).where("kept").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights of their sources, in random order."""
+    return mix_sources(docs, MIX_WEIGHTS, MIX_OTHER, seed=MIX_SEED).select(docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and digests of the ids and of what they decode to."""
+    return encode_texts(docs.select("doc_id", "lang", "source", "text"), piece_model(), with_ids=True).drop("text")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("sentencepiece", pieces),
+]
 
-STAGES = []
+#: Trained models and sketches are not expressible in SQL; tests compare the stages
+#: with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

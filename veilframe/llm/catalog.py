@@ -7,6 +7,10 @@ from veilframe.llm import queries as q
 QUERIES = {
     "op1_warc": q.op1_warc,
     "op3_mixing": q.op3_mixing,
+    "op4_quality_rules": q.op4_quality_rules,
+    "op6_language_id": q.op6_language_id,
+    "op7_sentencepiece": q.op7_sentencepiece,
+    "op8_near_dedup": q.op8_near_dedup,
     "op10_url_filter": q.op10_url_filter,
 }
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm.language_id import identify, train
 from veilframe.llm.mixing import mix_sources
+from veilframe.llm.near_dedup import near_duplicates
+from veilframe.llm.pieces import encode_texts
+from veilframe.llm.quality import judge_quality, learn_ratio
 from veilframe.llm.shared import shared_path
 from veilframe.llm.url_filter import judge_urls, make_rules
 from veilframe.llm.warc import read_warc, write_warc
@@ -73,6 +77,45 @@ FROM (SELECT documents.*, unnest(range(1, copies + 1)) AS copy FROM documents JO
 """
 
 
+# ---------------------------------------------------------------- 4: quality rules
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratio = learn_ratio(docs, table(spark, sf_dir, "labels"))
+    return judge_quality(docs, ratio).drop("text")
+
+
+# ---------------------------------------------------------------- 6: language ID
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = train(docs, ~held_out)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+# ---------------------------------------------------------------- 7: SentencePiece
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text")
+
+
+# ---------------------------------------------------------------- 8: near duplicates
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 # ---------------------------------------------------------------- 10: URL filters
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
