@@ -6,11 +6,14 @@ from veilframe.llm import queries as q
 
 QUERIES = {
     "op1_warc": q.op1_warc,
+    "op2_lm_score": q.op2_lm_score,
     "op3_mixing": q.op3_mixing,
     "op4_quality_rules": q.op4_quality_rules,
+    "op5_license_scan": q.op5_license_scan,
     "op6_language_id": q.op6_language_id,
     "op7_sentencepiece": q.op7_sentencepiece,
     "op8_near_dedup": q.op8_near_dedup,
+    "op9_nearest": q.op9_nearest,
     "op10_url_filter": q.op10_url_filter,
 }
 

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.language_id import identify, train
+from veilframe.llm.license_scan import scan_licenses
+from veilframe.llm.license_texts import TEMPLATES
+from veilframe.llm.lm_score import score_documents
 from veilframe.llm.mixing import mix_sources
 from veilframe.llm.near_dedup import near_duplicates
+from veilframe.llm.nearest import build_index, search
 from veilframe.llm.pieces import encode_texts
 from veilframe.llm.quality import judge_quality, learn_ratio
 from veilframe.llm.shared import shared_path
@@ -45,6 +49,13 @@ FROM p LEFT JOIN h ON p.html = h.html
 """
 
 
+# ---------------------------------------------------------------- 2: LM scoring
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- 3: mixing
 
 #: Target shares: the dominant source is held down, four good ones are repeated, and
@@ -86,6 +97,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, ratio).drop("text")
 
 
+# ---------------------------------------------------------------- 5: license scans
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
+
+
 # ---------------------------------------------------------------- 6: language ID
 
 
@@ -116,6 +134,14 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+# ---------------------------------------------------------------- 9: nearest neighbours
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(build_index(vectors, k=20), vectors.where("vec_id % 20 = 0"), k=20)
+
+
 # ---------------------------------------------------------------- 10: URL filters
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
