@@ -8,10 +8,13 @@
    coordinates concentrates about the similarity.
 2. Equal sets are one class.  Copies cost one row each and go no further.
 3. Classes that agree on a band meet in its bucket.  A bucket's members are compared
-   with one hub, not with each other; links that hold on the full sets are joined to
-   components.  In buckets that still span several components, other hubs are tried
-   while they find links, and at last every pair across components.  Pairs inside a
-   component need no check: they cannot change it.
+   with one hub, the member that meets most others in all its buckets, and not with each
+   other; links that hold on the full sets are joined to components.
+4. Buckets that still span several components may hide links between members other than
+   the hub.  Their members are compared exactly: two sets of similarity 0.8 share one of
+   the fifth of their shingles that are rarest among these members, so only pairs that
+   share such a shingle are formed, and only across components.  Pairs inside a component
+   need no check: they cannot change it.
 
 With 32 bands of 4 coordinates a pair at similarity 0.8 shares no band with a chance
 of 4e-8.  Of the pairs that share one, those whose sketches agree in fewer than
@@ -37,8 +40,6 @@ BINS = BANDS * ROWS
 #: Equal coordinates of a pair that is worth reading its full sets; 102 are expected
 #: at similarity 0.8, with a standard deviation of 4.5.
 MIN_EQUAL = 78
-#: Most rounds with hubs before all pairs across components are compared.
-HUB_ROUNDS = 6
 SLICE_BYTES = 4 << 20
 
 _ROUNDS = numbers(2 * BINS, 11)
@@ -78,9 +79,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 offsets, data = utf8(part.column("text"))
                 doc, shingles = shingle_sets(offsets, data, k)
                 bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                keys = [
-                    hashlib.blake2b(shingles[a:b].tobytes(), digest_size=16).digest() if a < b else None for a, b in zip(bounds, bounds[1:])
-                ]
+                keys = [set_key(shingles[a:b]) if a < b else None for a, b in zip(bounds, bounds[1:])]
                 values = sketches(doc, shingles, part.num_rows)
                 short = mix(values).astype(np.uint16)
                 values = values.reshape(-1, BANDS, ROWS)
@@ -109,9 +108,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for part in slices(batch, "text", SLICE_BYTES):
                 doc, shingles = shingle_sets(*utf8(part.column("text")), k)
                 bounds = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.record_batch([part.column("key"), pa.ListArray.from_arrays(bounds, pa.array(shingles.astype(np.int64)))], ["key", "shingles"])
+                # a repeated id brings other texts, too: the set's own key tells them apart
+                own = [set_key(shingles[a:b]) == key for a, b, key in zip(bounds, bounds[1:], part.column("key").to_pylist())]
+                sets = pa.ListArray.from_arrays(bounds, pa.array(shingles.astype(np.int64)))
+                yield pa.record_batch([part.column("key"), sets], ["key", "shingles"]).filter(pa.array(own, pa.bool_()))
 
-    return docs.join(wanted, "id").select("key", "text").mapInArrow(read, "key binary, shingles array<long>")
+    found = docs.join(wanted, "id").select("key", "text").mapInArrow(read, "key binary, shingles array<long>")
+    return found.dropDuplicates(["key"])
+
+
+def set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -128,11 +135,9 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "a_sketch", "b_sketch").mapInArrow(compare, pairs.select("a", "b").schema)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``, the ids of the pairs whose full sets are similar enough."""
-    ends = [pairs.select(F.col(f"{x}.id").alias("id"), F.col(f"{x}.key").alias("key")) for x in "ab"]
-    sets = written(full_sets(docs, ends[0].union(ends[1]).distinct(), k), "near-sets")
-    for x in "ab":  # a repeated id brings sets of other texts, too: the key tells them apart
+    for x in "ab":
         own = sets.select(F.col("key").alias(f"{x}_key"), F.col("shingles").alias(f"{x}_set"))
         pairs = pairs.join(own, F.col(f"{x}.key") == F.col(f"{x}_key"))
     common = F.size(F.array_intersect("a_set", "b_set"))
@@ -142,23 +147,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 
 def components(links: DataFrame) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of all ids in links ``(a, b)``,
-    by alternating large and small stars, each of them written to shared storage."""
-    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    by alternating large and small stars; each round is written to shared storage."""
+    edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = written(edges, "edges")
+    before = _digest(edges)
     while True:
         # large star: every greater neighbour is tied to the least of the neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
         # small star: every smaller neighbour, and the node, are tied to the least one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u != v").distinct()
-        small = written(small, "small-star")
-        before, after = _digest(edges), _digest(small)
-        edges = small
+        edges = written(small, "edges")
+        after = _digest(edges)
         if before == after:
             ids = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
             return ids.union(edges.select(F.col("v"), F.col("v")).distinct())
+        before = after
 
 
 def _digest(edges: DataFrame):
@@ -169,53 +175,59 @@ def _digest(edges: DataFrame):
 def _linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """``id`` and ``component`` of the classes that are linked with others."""
     member = F.struct("id", "n", "key")
-    buckets = written(classes.select(member.alias("x"), F.explode("bands").alias("hash")).transform(_shared_buckets), "buckets")
+    rows = classes.select(member.alias("x"), F.explode("bands").alias("hash"))
+    sizes = rows.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = written(rows.join(sizes, "hash"), "buckets")
+    degrees = buckets.groupBy("x").agg(F.sum("m").alias("degree"))
+    sets = written(full_sets(docs, degrees.select("x.id", "x.key"), k), "sets")
 
-    def links_of(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def links_of(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b")).where("a != b")
         pairs = pairs.where(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(_promising(pairs, classes), "near-pairs")
-        return written(_verified(docs, pairs, k, percent), "links"), pairs if tried is None else tried.union(pairs)
-
-    hubs = buckets.groupBy("hash").agg(F.min("x").alias("z"))
-    found, tried = links_of(buckets.join(hubs, "hash").select(F.col("x").alias("y"), "z"), None)
-    labels = written(components(found), "components")
-    still = _open_buckets(buckets, labels)
-    for round_no in range(1, HUB_ROUNDS):
-        if still.isEmpty():
-            return labels
-        hub = F.min_by(F.struct("x", "component"), F.struct(F.xxhash64(F.lit(round_no), F.col("x.key")), "x"))
-        pairs = still.join(still.groupBy("hash").agg(hub.alias("hub")), "hash").where("component != hub.component")
-        found, tried = links_of(pairs.select(F.col("x").alias("y"), F.col("hub.x").alias("z")), tried)
-        if found.isEmpty():
-            break
-        labels = written(components(_with(labels, found)), "components")
-        still = _open_buckets(still.select("x", "hash"), labels)
-    other = still.select("hash", F.col("x").alias("z"), F.col("component").alias("other"))
-    pairs = still.join(other, "hash").where(f"component < other AND 100 * least(x.n, z.n) >= {percent} * greatest(x.n, z.n)")
-    found, _ = links_of(pairs.select(F.col("x").alias("y"), "z"), tried)
-    return labels if found.isEmpty() else written(components(_with(labels, found)), "components")
-
-
-def _with(labels: DataFrame, found: DataFrame) -> DataFrame:
-    return labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
-
-
-def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``x``, ``hash`` and ``component`` in buckets of several components.  A bucket of
-    two members has been decided by its one pair."""
+        return written(_verified(sets, pairs, percent), "links")
+
+    ranked = buckets.join(degrees.withColumnRenamed("x", "y"), F.col("x") == F.col("y")).select("hash", "x", "degree")
+    hubs = ranked.groupBy("hash").agg(F.min_by("x", F.struct(-F.col("degree"), "x")).alias("z"))
+    links = links_of(buckets.join(hubs, "hash").select(F.col("x").alias("y"), "z"))
+    labels = written(components(links), "components")
+
+    left = written(_open_members(buckets, labels), "open-members")
+    if left.isEmpty():
+        return labels
+    prefixes = written(_rare_shingles(left, sets, percent), "prefixes")
+    spans = prefixes.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("shingle")
+    some = prefixes.join(spans, "shingle")
+    other = some.select("shingle", F.col("x").alias("z"), F.col("component").alias("other"))
+    near = f"component < other AND 100 * least(x.n, z.n) >= {percent} * greatest(x.n, z.n)"
+    more = links_of(some.join(other, "shingle").where(near).select(F.col("x").alias("y"), "z"))
+    if more.isEmpty():
+        return labels
+    known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return written(components(known.union(more)), "components")
+
+
+def _open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``x`` and ``component`` of all members of buckets with several components.  A
+    bucket of two members has been decided by its one pair."""
     own = labels.select(F.col("id").alias("x_id"), "component")
-    told = buckets.join(own, F.col("x.id") == F.col("x_id"), "left").select("x", "hash", F.coalesce("component", F.col("x.id")).alias("component"))
-    span = told.groupBy("hash").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m"))
-    return written(told.join(span.where("c != d AND m > 2").select("hash"), "hash"), "open-buckets")
-
-
-def _shared_buckets(exploded: DataFrame) -> DataFrame:
-    """Rows of the buckets with two members or more."""
-    sizes = exploded.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash")
-    return exploded.join(sizes, "hash")
+    told = buckets.where("m > 2").join(own, F.col("x.id") == F.col("x_id"), "left").select("x", "hash", F.coalesce("component", F.col("x.id")).alias("component"))
+    span = told.groupBy("hash").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d")
+    return told.join(span.select("hash"), "hash").select("x", "component").distinct()
+
+
+def _rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``x, component, shingle``: of each member's ``n`` shingles, ordered by the number of
+    members that have them, the first ``n - ceil(n * percent / 100) + 1``; those that no
+    other member has are left out."""
+    each = members.join(sets, F.col("x.key") == F.col("key")).select("x", "component", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = each.join(shared, "shingle").groupBy("x", "component").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("held"))
+    n = F.col("x.n")
+    prefix = n - F.ceil(n * percent / 100) + 1
+    alone = n - F.size("held")
+    rare = F.slice("held", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
+    return held.select("x", "component", F.explode(rare).alias("r")).select("x", "component", F.col("r.shingle").alias("shingle"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
