@@ -11,15 +11,15 @@
    with one hub, the member that meets most others in all its buckets, and not with each
    other; links that hold on the full sets are joined to components.
 4. Buckets that still span several components may hide links between members other than
-   the hub.  Their members are compared exactly: two sets of similarity 0.8 share one of
-   the fifth of their shingles that are rarest among these members, so only pairs that
-   share such a shingle are formed, and only across components.  Pairs inside a component
-   need no check: they cannot change it.
+   the hub.  Members of such buckets are compared with all that share a hub with them and
+   belong to another component: each pair once, in blocks of bounded size, by a longer
+   sketch of a bit a coordinate inside the join, so that only pairs near the limit become
+   rows.  Pairs inside a component need no check: they cannot change it.
 
 With 32 bands of 4 coordinates a pair at similarity 0.8 shares no band with a chance
 of 4e-8.  Of the pairs that share one, those whose sketches agree in fewer than
-``MIN_EQUAL`` of 128 coordinates are left out, which a pair at 0.8 does with a chance
-of 1e-7; all others are decided exactly.
+``MIN_EQUAL`` of 128 coordinates (in step 4, in ``MIN_EQUAL_BITS`` of 4096 bits) are left
+out, which a pair at 0.8 does with a chance of 1e-7; all others are decided exactly.
 """
 
 from __future__ import annotations
@@ -40,26 +40,36 @@ BINS = BANDS * ROWS
 #: Equal coordinates of a pair that is worth reading its full sets; 102 are expected
 #: at similarity 0.8, with a standard deviation of 4.5.
 MIN_EQUAL = 78
+#: Bits of the longer sketch; 3686 equal ones are expected at 0.8, give or take 19.2.
+BITS, MIN_EQUAL_BITS = 4096, 3586
+#: Members of a hub that one task compares with as many others.
+BLOCK_MEMBERS = 1024
 SLICE_BYTES = 4 << 20
 
-_ROUNDS = numbers(2 * BINS, 11)
+_ROUNDS = numbers(2 * BITS, 11)
 _PLACE = numbers(ROWS, 12)
 _BAND = numbers(BANDS, 13)
 _EMPTY = np.uint64(2**64 - 1)
 
 
-def sketches(doc: np.ndarray, shingles: np.ndarray, n_docs: int) -> np.ndarray:
-    """``(n_docs, BINS)`` fast similarity sketches; rows of empty sets are all-ones."""
-    least = np.full(n_docs * BINS, _EMPTY)
-    for i in range(2 * BINS):
+def sketches(doc: np.ndarray, shingles: np.ndarray, n_docs: int, bins: int = BINS) -> np.ndarray:
+    """``(n_docs, bins)`` fast similarity sketches (``bins`` a power of two); rows of empty
+    sets are all-ones."""
+    least = np.full(n_docs * bins, _EMPTY)
+    shift = np.uint64(64 - (bins - 1).bit_length())
+    work = 0
+    for i in range(2 * bins):
         x = mix(shingles ^ _ROUNDS[i])
-        bins = (x >> np.uint64(57)).astype(np.int64) if i < BINS else i - BINS
-        np.minimum.at(least, doc * BINS + bins, (x & np.uint64(2**48 - 1)) | np.uint64(i << 48))
-        open_docs = (least.reshape(n_docs, BINS) == _EMPTY).any(1)[doc]
-        doc, shingles = doc[open_docs], shingles[open_docs]
+        at = (x >> shift).astype(np.int64) if i < bins else i - bins
+        np.minimum.at(least, doc * bins + at, (x & np.uint64(2**48 - 1)) | np.uint64(i << 48))
+        work += len(doc)
+        if work >= least.size:  # full sketches can't change: they are looked for now and then
+            work = 0
+            open_docs = (least.reshape(n_docs, bins) == _EMPTY).any(1)[doc]
+            doc, shingles = doc[open_docs], shingles[open_docs]
         if not len(doc):
             break
-    return least.reshape(n_docs, BINS)
+    return least.reshape(n_docs, bins)
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,45 +199,98 @@ def _linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
 
     ranked = buckets.join(degrees.withColumnRenamed("x", "y"), F.col("x") == F.col("y")).select("hash", "x", "degree")
     hubs = ranked.groupBy("hash").agg(F.min_by("x", F.struct(-F.col("degree"), "x")).alias("z"))
-    links = links_of(buckets.join(hubs, "hash").select(F.col("x").alias("y"), "z"))
+    met = written(buckets.join(hubs, "hash").select("hash", "m", "x", "z"), "met")
+    links = links_of(met.select(F.col("x").alias("y"), "z"))
     labels = written(components(links), "components")
 
-    left = written(_open_members(buckets, labels), "open-members")
+    left = written(_open_members(met, labels), "open-members")
     if left.isEmpty():
         return labels
-    prefixes = written(_rare_shingles(left, sets, percent), "prefixes")
-    spans = prefixes.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d").select("shingle")
-    some = prefixes.join(spans, "shingle")
-    other = some.select("shingle", F.col("x").alias("z"), F.col("component").alias("other"))
-    near = f"component < other AND 100 * least(x.n, z.n) >= {percent} * greatest(x.n, z.n)"
-    more = links_of(some.join(other, "shingle").where(near).select(F.col("x").alias("y"), "z"))
+    blocks = _blocks(left.join(_long_sketches(left, sets), F.col("x.key") == F.col("key")).drop("key"), left.count())
+    every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    blocks = written(blocks, "blocks")
+    mine = blocks.withColumn("theirs", every)
+    other = blocks.select([F.col(c).alias(c if c != "own" else "theirs") for c in blocks.columns]).withColumn("own", every)
+    keys = ["part", "own", "theirs"]
+    schema = blocks.select(F.col("x").alias("a"), F.col("x").alias("b")).schema
+    pairs = mine.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(lambda a, b: _near_blocks(a, b, percent), schema)
+    more = written(_verified(sets, written(pairs, "near-pairs"), percent), "links")
     if more.isEmpty():
         return labels
     known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
     return written(components(known.union(more)), "components")
 
 
-def _open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``x`` and ``component`` of all members of buckets with several components.  A
-    bucket of two members has been decided by its one pair."""
+def _open_members(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """``x``, ``component`` and all ``hubs`` of the members of buckets with several
+    components.  A bucket of two members has been decided by its one pair."""
     own = labels.select(F.col("id").alias("x_id"), "component")
-    told = buckets.where("m > 2").join(own, F.col("x.id") == F.col("x_id"), "left").select("x", "hash", F.coalesce("component", F.col("x.id")).alias("component"))
+    told = met.where("m > 2").join(own, F.col("x.id") == F.col("x_id"), "left")
+    told = told.select("hash", "x", F.col("z.key").alias("hub"), F.coalesce("component", F.col("x.id")).alias("component"))
     span = told.groupBy("hash").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c != d")
-    return told.join(span.select("hash"), "hash").select("x", "component").distinct()
-
-
-def _rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``x, component, shingle``: of each member's ``n`` shingles, ordered by the number of
-    members that have them, the first ``n - ceil(n * percent / 100) + 1``; those that no
-    other member has are left out."""
-    each = members.join(sets, F.col("x.key") == F.col("key")).select("x", "component", F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    held = each.join(shared, "shingle").groupBy("x", "component").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("held"))
-    n = F.col("x.n")
-    prefix = n - F.ceil(n * percent / 100) + 1
-    alone = n - F.size("held")
-    rare = F.slice("held", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
-    return held.select("x", "component", F.explode(rare).alias("r")).select("x", "component", F.col("r.shingle").alias("shingle"))
+    return told.join(span.select("hash"), "hash").groupBy("x", "component").agg(F.collect_set("hub").alias("hubs"))
+
+
+def _blocks(members: DataFrame, n_members: int) -> DataFrame:
+    """A row for each hub of a member, with its block ``own`` among the hub's ``n_blocks``.
+    Hubs of one block share ``part`` with others, the rest have a part of their own."""
+    rows = members.select("*", F.explode("hubs").alias("hub"))
+    sizes = rows.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("n_blocks"))
+    shared = F.pmod(F.xxhash64("hub"), F.lit(n_members // BLOCK_MEMBERS + 1)).cast("string")
+    own = F.pmod(F.xxhash64("x.key"), F.col("n_blocks")).cast("int")
+    return rows.join(sizes, "hub").withColumns({"own": own, "part": F.when(F.col("n_blocks") == 1, shared).otherwise(F.hex("hub"))})
+
+
+def _near_blocks(mine: pa.Table, other: pa.Table, percent: int) -> pa.Table:
+    """Pairs ``(a, b)`` of members of one hub and two components whose long sketches agree
+    enough; a pair with several hubs is given at the least of them."""
+
+    def parts(table: pa.Table):
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        sizes = np.array([x["n"] for x in table.column("x").to_pylist()], np.int64)
+        by_hub: dict[bytes, list[int]] = {}
+        for i, hub in enumerate(table.column("hub").to_pylist()):
+            by_hub.setdefault(hub, []).append(i)
+        return bits, sizes, by_hub, table.column("hubs").to_pylist(), table.column("component").to_pylist()
+
+    if not mine.num_rows or not other.num_rows:
+        return pa.table({"a": mine.column("x").slice(0, 0), "b": mine.column("x").slice(0, 0)})
+    (bits, n, hubs, all_hubs, own), (bits2, n2, hubs2, all_hubs2, theirs) = parts(mine), parts(other)
+    codes = np.unique(np.array([*own, *theirs]), return_inverse=True)[1]
+    code, code2 = codes[: len(own)], codes[len(own) :]
+    left, right = [], []
+    for hub in hubs.keys() & hubs2.keys():
+        a, b = np.array(hubs[hub]), np.array(hubs2[hub])
+        for rows in np.array_split(a, len(a) * len(b) // 100_000 + 1):
+            i, j = np.nonzero(code[rows][:, None] < code2[b][None, :])
+            i, j = rows[i], b[j]
+            fits = 100 * np.minimum(n[i], n2[j]) >= percent * np.maximum(n[i], n2[j])
+            i, j = i[fits], j[fits]
+            equal = BITS - np.bitwise_count(bits[i] ^ bits2[j]).sum(1, dtype=np.int64)
+            for p, q in zip(i[equal >= MIN_EQUAL_BITS].tolist(), j[equal >= MIN_EQUAL_BITS].tolist()):
+                if min(set(all_hubs[p]) & set(all_hubs2[q])) == hub:
+                    left.append(p)
+                    right.append(q)
+    return pa.table({"a": mine.column("x").take(pa.array(left, pa.int64())), "b": other.column("x").take(pa.array(right, pa.int64()))})
+
+
+def _long_sketches(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``key`` and ``bits`` of the members' sets."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                column = batch.column("shingles")
+                shingles = column.flatten().to_numpy().view(np.uint64)
+                doc = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy())
+                bits = mix(sketches(doc, shingles, batch.num_rows, BITS)) & np.uint64(1)
+                words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+                offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * words.shape[1]
+                yield pa.record_batch([batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(words.ravel()))], ["key", "bits"])
+
+    wanted = members.select(F.col("x.key").alias("key"))
+    return sets.join(wanted, "key", "left_semi").mapInArrow(sign, "key binary, bits array<long>")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
