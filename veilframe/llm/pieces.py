@@ -7,8 +7,9 @@ piece's score and then from the left; the best is merged, its neighbours make ne
 until none is left.  Symbols outside the vocabulary become byte pieces.  Encoded chunks
 are remembered in each Python worker, up to a bound.
 
-Every Arrow batch is checked against the library: a text's ids must be those of
-``SentencePieceProcessor.encode``, or the job fails.
+Every Arrow batch is checked against ``SentencePieceProcessor.encode``, or the job fails:
+each chunk that was merged anew in the batch, as a text of its own, and the batch's first
+text as a whole.  As texts are put together from chunks, that covers all of them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ SPACE = "▁"
 SLICE_BYTES = 4 << 20
 #: Chunks remembered by a worker, twice: a full memory becomes the older one, from
 #: which chunks that occur again are taken over.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Chunks longer than this are not remembered.
 REMEMBERED_CHARS = 64
 #: Chunks up to this long keep their agenda in a list, longer ones in a heap.
@@ -57,6 +58,7 @@ class Encoder:
         self.chunks = re.compile(".+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL)
         self.known: dict[str, tuple[list[int], str]] = {}
         self.older: dict[str, tuple[list[int], str]] = {}
+        self.unchecked: list[tuple[str, list[int]]] = []
 
     def merged(self, chunk: str) -> list[int]:
         """The ids of a chunk."""
@@ -129,6 +131,7 @@ class Encoder:
                     found = self.older.get(chunk)
                     if found is None:
                         made = self.merged(chunk)
+                        self.unchecked.append((chunk, made))
                         found = made, ",".join(map(str, made))
                     if len(chunk) <= REMEMBERED_CHARS:
                         if len(known) >= REMEMBERED:
@@ -140,6 +143,17 @@ class Encoder:
         return ids, ",".join(shown)
 
 
+    def check(self, text: str) -> None:
+        """Compare a text, and the chunks merged since the last call, with the library.
+        A chunk of one symbol has nothing to merge."""
+        asked = [(chunk[1:].replace(SPACE, " "), ids) for chunk, ids in self.unchecked if len(chunk) > 1]
+        self.unchecked = []
+        asked.append((text, self.encode(text)[0]))
+        for (value, ids), wanted in zip(asked, self.library.encode([value for value, _ in asked], num_threads=1)):
+            if ids != wanted:
+                raise ValueError(f"the library encodes otherwise: {value[:200]!r}")
+
+
 _encoders: dict[bytes, Encoder] = {}
 
 
@@ -168,15 +182,15 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", with_ids:
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 counts, digests, decoded, all_ids = [], [], [], []
-                for value in part.column(text).to_pylist():
+                values = part.column(text).to_pylist()
+                for value in values:
                     ids, shown = own.encode(value or "")
-                    if ids != own.library.encode(value or ""):
-                        raise ValueError(f"the library encodes otherwise: {value[:200]!r}")
                     counts.append(len(ids))
                     digests.append(hashlib.sha256(shown.encode()).hexdigest())
                     decoded.append(hashlib.sha256(own.library.decode(ids).encode()).hexdigest())
                     if with_ids:
                         all_ids.append(ids)
+                own.check(values[0] or "")
                 made = [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
                 made += [pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, [*kept, *names])
