@@ -80,16 +80,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .groupBy("url")
         .agg(F.max(F.struct(F.char_length("rule"), "host_length", "verdict", "rule")).alias("best"))
     )
-    judged = keyed.join(found, "url", "left")
-    return judged.select(
-        "row.*",
-        F.coalesce(host_of(F.col("url")), F.lit("")).alias("_host"),
-        F.coalesce(path_of(F.col("url")), F.lit("")).alias("_path"),
-        F.col("best.rule").alias("_rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("_verdict"),
-    ).transform(_renamed)
-
-
-def _renamed(df: DataFrame) -> DataFrame:
     new = ("host", "path", "rule", "verdict")
-    return df.drop(*new).withColumnsRenamed({f"_{name}": name for name in new})
+    return keyed.join(found, "url", "left").select(
+        *[F.col("row")[c].alias(c) for c in pages.columns if c not in new],
+        F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),
+        F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"),
+        F.col("best.rule").alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+    )
