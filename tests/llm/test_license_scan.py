@@ -76,7 +76,7 @@ def test_repeats_in_a_text_and_edges(spark, rows):
     line = TEMPLATES[0][1]
     docs = rows([(1, f"{line} {line}\n{line}"), (None, line.upper()), (2, None), (3, ""), (4, "mit license"), (5, line), (5, line)])
     got = ls.scan_licenses(docs, TEMPLATES).collect()
-    assert sorted([(r.doc_id or 0, r.start) for r in got]) == [(0, 0), (1, 0), (1, 31), (1, 62), (5, 0), (5, 0)]
+    assert sorted([(r.doc_id or 0, r.start) for r in got]) == [(0, 0), (1, 0), (1, 32), (1, 64), (5, 0), (5, 0)]
     assert ls.scan_licenses(docs, []).count() == 0
     assert ls.scan_licenses(docs.limit(0), TEMPLATES).count() == 0
     clash = docs.selectExpr("doc_id", "text", "1 AS id", "2 AS template")
