@@ -2,6 +2,7 @@ import hashlib
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions.folding import max_before, sum_before
@@ -27,41 +28,101 @@ def test_chain_is_the_sequential_one(spark):
         assert r.hash == last
 
 
+def check(chain, **more):
+    return audit.verify(audit.check_links(chain, **more)).first()
+
+
 def test_intact_and_tampered(spark):
     chain = audit.build_chain(events(spark, 500), segment_rows=64)
-    whole = audit.verify(audit.check_links(chain, by_segment=True)).first()
+    whole = check(chain)
     assert (whole.verified, whole.total_events, whole.first_event, whole.last_event) == (True, 500, "evt_0", "evt_499")
     flipped = chain.withColumn("hash", F.when(F.col("seq") == 70, F.lit("0")).otherwise(F.col("hash")))
-    bad = audit.verify(audit.check_links(flipped, by_segment=True)).first()
+    bad = check(flipped)
     assert (bad.verified, bad.broken_links, bad.wrong_hashes) == (False, 1, 1)
-    at = audit.broken_links(audit.check_links(flipped, by_segment=True)).first()
+    at = audit.broken_links(audit.check_links(flipped)).first()
     assert (at.seq, at.expected_prev_hash) == (71, "0")
 
 
-def test_links_across_segment_borders_of_one_chain(spark):
+@pytest.mark.parametrize("step", [1, 5000])
+def test_segments_and_groups_are_linked(spark, monkeypatch, step):
+    """Segments of 4 in groups of 3, 9 and more: several levels in a small table."""
+    monkeypatch.setattr(audit, "FAN", 3)
+    chain = audit.build_chain(events(spark, 200, step), segment_rows=4)
+    rows = chain.orderBy("seq").collect()
+    assert [r.segment for r in rows] == [i // 4 for i in range(200)]
+
+    def digest(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    contents = [
+        digest(*[digest(r.event_id, r.event_type, r.timestamp.strftime("%Y-%m-%dT%H:%M:%S.%f")) for r in rows[s : s + 4]]) for s in range(0, 200, 4)
+    ]
+
+    def starts(blocks, level):
+        if level:
+            above = starts([digest(*blocks[i : i + 3]) for i in range(0, len(blocks), 3)], level - 1)
+        out = []
+        for i, block in enumerate(blocks):
+            first = i % 3 == 0 if level else i == 0
+            out.append((above[i // 3] if level else "0" * 64) if first else digest(out[-1], blocks[i - 1]))
+        return out
+
+    assert [r.prev_hash for r in rows[::4]] == starts(contents, audit.LEVELS)
+    assert check(chain).verified
+    for gone in ([7], [9], [0], [9, 10, 11], list(range(18))):
+        assert not check(chain.where(~F.col("segment").isin(gone))).verified, gone
+    moved = chain.withColumn("event_type", F.when(F.col("seq") == 13 * step, F.lit("X")).otherwise(F.col("event_type")))
+    assert not check(moved).verified
+
+
+def test_a_cut_off_end_is_seen_by_the_seals(spark):
+    chain = audit.build_chain(events(spark, 100), segment_rows=8)
+    seals = audit.seal_segments(chain)
+    assert audit.changed_segments(chain, seals).count() == 0
+    cut = chain.where("seq < 84")
+    assert check(cut).verified
+    assert [tuple(r) for r in audit.changed_segments(cut, seals).orderBy("segment").collect()] == [(10, 8, 4, "changed"), (11, 8, 0, "missing"), (12, 4, 0, "missing")]
+
+
+def test_append(spark):
+    first = audit.build_chain(events(spark, 50), segment_rows=8)
+    new = events(spark, 90).where("seq >= 50").drop("seq")
+    seals = audit.seal_segments(first)
+    second = audit.build_chain(audit.number_events(new, 49), seals, segment_rows=8)
+    both = first.unionByName(second)
+    assert check(both).verified and check(both).total_events == 90
+    assert second.agg(F.min("segment"), F.min("seq"), F.max("seq")).first()[:] == (7, 50, 89)
+    assert not check(second).verified
+    empty = audit.build_chain(events(spark, 5), audit.seal_segments(first.limit(0)))
+    assert check(empty).verified
+
+
+def test_plain_chain_has_no_segments(spark):
     chain = audit.build_chain(events(spark, 400))
-    assert audit.verify(audit.check_links(chain, width=7)).first().verified
+    assert check(chain.drop("segment"), width=7).verified
+    assert check(chain.drop("segment").where("seq <> 5"), width=7).broken_links == 1
 
 
-def test_seals_repeat_until_one_is_left(spark):
-    chain = audit.build_chain(events(spark, 100), segment_rows=4)
-    seals = audit.seal_segments(chain, per_seal=5)
-    assert seals.count() == 25 and audit.seal_segments(seals, per_seal=5).count() == 5
-    assert audit.verify(audit.check_links(seals, by_segment=True)).first().verified
+def test_neighbours_across_segments(spark):
+    chain = audit.build_chain(events(spark, 20), segment_rows=6)
+    hashes = [r.hash for r in chain.orderBy("seq").collect()]
+    for r in audit.with_neighbours(chain).collect():
+        assert r.prev_event_hash == (hashes[r.seq - 1] if r.seq else None)
+        assert r.next_event_hash == (hashes[r.seq + 1] if r.seq < 19 else None)
 
 
 def test_empty_trail(spark):
-    none = audit.verify(audit.check_links(audit.build_chain(events(spark, 0)))).first()
+    none = check(audit.build_chain(events(spark, 0)))
     assert (none.verified, none.total_events) == (True, 0)
 
 
-def test_previous_with_gaps_and_keys(spark):
+def test_previous_with_gaps(spark):
     rng = random.Random(2)
-    rows = [(k, p, f"{k}{p}") for k in "ab" for p in sorted(rng.sample(range(5000), 400))]
-    df = spark.createDataFrame(rows, "k string, p bigint, v string")
-    got = {(r.k, r.p): r.before for r in previous(df, ["k"], "p", "v", "before", width=8).collect()}
+    rows = [(p, f"v{p}") for p in sorted(rng.sample(range(10**12), 400))]
+    df = spark.createDataFrame(rows, "p bigint, v string").repartition(5)
+    got = {r.p: r.before for r in previous(df, "p", "v", "before", width=8).collect()}
     for a, b in zip([None, *rows], rows):
-        assert got[(b[0], b[1])] == (a[2] if a and a[0] == b[0] else None)
+        assert got[b[0]] == (a[1] if a else None)
 
 
 def test_running_total(spark):
@@ -99,8 +160,12 @@ def test_extend_without_expiry_counts_from_now(spark):
         "id bigint, name string, created_at timestamp, expires_at timestamp, status string, agent_id string, policy_id string, "
         "entities_protected bigint, tokens_generated bigint",
     )
-    asked = spark.createDataFrame([(1, 5)], "session_id bigint, hours int")
+    asked = spark.createDataFrame([(1, 5), (1, 5), (1, 200), (1, None), (2, 3), (None, 3)], "session_id bigint, hours int")
     updated, log, rejected = sessions.extend_sessions(df, asked, F.lit(T0))
     row = updated.first()
-    assert (row.status, row.expires_at) == ("ACTIVE", T0 + timedelta(hours=5))
-    assert log.first().entities_json == '{"hours_added":5}' and rejected.count() == 0
+    assert (row.status, row.expires_at) == ("ACTIVE", T0 + timedelta(hours=10))
+    assert [r.entities_json for r in log.collect()] == ['{"hours_added":5}'] * 2
+    assert len({r.event_id for r in log.collect()}) == 2
+    assert sorted([(r.session_id or 0, r.hours or 0, r.reason[:5]) for r in rejected.collect()]) == [
+        (0, 3, "sessi"), (1, 0, "hours"), (1, 200, "hours"), (2, 3, "sessi"),
+    ]

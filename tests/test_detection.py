@@ -57,7 +57,7 @@ SAMPLES = {
 ODD = [
     "",
     "5",
-    "The weather is sunny today and the quarterly meeting is at noon in room five.",
+    "Nine ferries left the north pier before noon, and the crew of the last one sang.",
     "4111-1111-1111-1112 and 4111-1111-1111-1111 and 378282246310005",
     "<p>SSN: 123-45-6789</p> | é123-45-6789 | 123-45-6789é | ٣٤٥-67-8901 | card ٤111",
     "²ABCDEFGH ABCDEFGH² x́ABCDEFGH ABCDEFGH́ ‿ABCDEFGH _ABCDEFGH ⅣABCDEFGH ⒶABCDEFGH‍ ABCDEFGHé",

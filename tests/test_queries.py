@@ -21,15 +21,10 @@ def test_every_sql_has_its_query():
     assert set(QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"vlt_synthesize"}
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, tables, name):
     equal, message = oracle.compare(QUERIES[name](spark, SF), tables, SQL[name])
     assert equal, message
-
-
-def test_synthesize(spark):
-    df = QUERIES["vlt_synthesize"](spark, SF)
-    assert sorted(df.collect()) == sorted(df.collect())

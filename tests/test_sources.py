@@ -3,7 +3,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.operators import intercept
 from veilframe.operators.detect import detect_entities
+from veilframe.operators.protect import protect_texts
+from veilframe.operators.reports import latest_hours
 from veilframe.sources import tables
 from veilframe.streaming import traffic
 
@@ -47,14 +50,30 @@ def test_whole_text_files(spark, tmp_path):
     assert [e.entity_type for e in detect_entities(docs).first().entities] == ["EMAIL"]
 
 
+def test_pages_and_trends_read_only_their_days(spark, tmp_path):
+    path = str(tmp_path / "log")
+    tables.append_table(_log(spark), "interceptor_logs", path)
+    log = tables.read_table(spark, "interceptor_logs", path)
+
+    def filters(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "PartitionFilters: [isnotnull(day" in line]
+
+    page = intercept.list_logs(log, date_from=datetime(2025, 1, 2), date_to=datetime(2025, 1, 2, 12))
+    assert filters(page) and page.count() == 3
+    assert filters(latest_hours(log, "timestamp", 1)) and latest_hours(log, "timestamp", 1).first().hour == datetime(2025, 1, 3, 5)
+
+
 def test_store_scan(spark, tmp_path):
-    df = spark.createDataFrame([(7, "ag", "p", "a@b.co and 10.0.0.1"), (8, "ag", "p", "none")], "session_id bigint, agent_id string, policy_id string, text string")
+    docs = spark.createDataFrame([(1, 7, 1, "a@b.co and 10.0.0.1"), (2, 7, 2, "a@b.co"), (3, 8, 3, "none")], "doc_id bigint, session_id bigint, doc_seq bigint, text string")
+    vault = spark.createDataFrame([(i, "ag", "p", AT, 60) for i in (7, 8)], "session_id bigint, agent_id string, policy_id string, created_at timestamp, ttl_seconds int")
+    out = protect_texts(docs, vault, F.lit(AT))
     s, e = str(tmp_path / "s"), str(tmp_path / "e")
-    tables.store_scan(detect_entities(df), s, e, F.lit(AT))
+    tables.store_scan(out.entities, out.counts, s, e, F.lit(AT))
     sessions = {r.id: r for r in tables.read_table(spark, "scan_sessions", s).collect()}
-    assert (sessions[7].entities_protected, sessions[8].entities_protected) == (2, 0)
+    assert (sessions[7].entities_protected, sessions[8].entities_protected) == (3, 0)
     found = tables.read_table(spark, "entities_detected", e).collect()
-    assert sorted(r.token for r in found) == ["<<EMAIL>>", "<<IP_ADDRESS>>"] and len({r.id for r in found}) == 2
+    assert sorted(r.token for r in found) == ["<<EMAIL_1>>", "<<EMAIL_2>>", "<<IP_ADDRESS_1>>"] and len({r.id for r in found}) == 3
 
 
 def test_export(spark, tmp_path):

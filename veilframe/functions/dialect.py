@@ -11,6 +11,8 @@ swapped by ``plain_words``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +44,11 @@ def to_java(pattern: str, ignore_case: bool = False, plain: bool = False) -> str
     """A Java pattern that accepts what ``pattern`` accepts in Python, on any text
     or, with ``plain``, on the result of ``plain_words``.
 
-    Capturing groups become plain groups: only the whole match is ever used.
+    Capturing groups become plain groups: only the whole match is ever used.  Patterns
+    that refer back to a group, or name one, are refused.
     """
+    if re.search(r"(?<!\\)(?:\\\\)*(?:\\[1-9]|\(\?P)", pattern):
+        raise ValueError(f"back references and named groups are not supported: {pattern}")
     out, in_class, i = [], False, 0
     while i < len(pattern):
         ch = pattern[i]

@@ -98,17 +98,18 @@ def decode(value: Column) -> Column:
 
 
 def synthesize(entity_type: Column, seed: Column, position: Column) -> Column:
-    """A made-up value of the same kind.  Drawn from a hash and not at random,
-    so that a repeated task writes the same text."""
-    kind = F.upper(entity_type)
+    """A made-up value of the same kind.  Drawn from hashes of the text ``seed`` and
+    the position and not at random, so that a repeated task writes the same text."""
+    kind, place = F.upper(entity_type), position.cast("string")
 
     def draw(n: int, low: int, high: int) -> Column:
-        return F.pmod(F.xxhash64(seed, position, F.lit(n)), F.lit(high - low + 1)) + low
+        digest = F.sha2(F.concat_ws(":", seed, place, F.lit(str(n))), 256)
+        return hex_modulo(digest, high - low + 1) + low
 
     def pick(n: int, words) -> Column:
         return F.get(F.array(*map(F.lit, words)), draw(n, 0, len(words) - 1).cast("int"))
 
-    hex_digits = F.substring(F.sha2(F.concat_ws(":", seed.cast("string"), position.cast("string")), 256), 1, 16)
+    hex_digits = F.substring(F.sha2(F.concat_ws(":", seed, place), 256), 1, 16)
     forms = {
         "PERSON_NAME": F.concat_ws(" ", pick(1, SYNTHETIC_FIRST_NAMES), pick(2, SYNTHETIC_LAST_NAMES)),
         "EMAIL": F.format_string("user%d@%s", draw(1, 1000, 9999), pick(2, SYNTHETIC_DOMAINS)),

@@ -14,9 +14,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.sources.staging import stage
+
 WIDTH = 4096
 
 
+def positions(df: DataFrame, order: str, output: str = "position") -> DataFrame:
+    """Add ``output``: the row's place from 0 in the order of ``order`` (unique), whatever
+    its values and gaps.  Rows are sorted by ranges and kept, as the ranges are drawn
+    anew in every run; then only the ranges' row counts are added up."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
+    kept = stage(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    kept = kept.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row per partition
+    return kept.join(F.broadcast(starts), "_range").withColumn(output, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def _bucket(position: str, width: int) -> Column:
     return F.expr(f"`{position}` div {int(width)}")
 
@@ -51,30 +67,16 @@ def running_total(
     )
 
 
-def previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str,
-    value: str,
-    output: str,
-    width: int = WIDTH,
-    levels: int = 2,
-) -> DataFrame:
-    """Add ``output``: ``value`` of the row just before, per ``keys``, by
-    ``position`` (unique within the keys); null for the first row."""
-    if levels == 0:
-        last_level = Window.partitionBy(*keys).orderBy(position) if keys else Window.orderBy(position)
-        return df.withColumn(output, F.lag(value).over(last_level))
-    bucket = f"_bucket{levels}"
-    df = df.withColumn(bucket, _bucket(position, width))
-    inside = Window.partitionBy(*keys, bucket).orderBy(position)
-    first, lag, end, carry = (f"_{name}{levels}" for name in ("first", "lag", "end", "carry"))
-    ends = df.groupBy(*keys, bucket).agg(F.max_by(value, position).alias(end))
-    ends = previous(ends, keys, bucket, end, carry, width=width, levels=levels - 1)
+def previous(df: DataFrame, order: str, value: str, output: str, width: int = WIDTH) -> DataFrame:
+    """Add ``output``: ``value`` of the row just before in the order of ``order`` (unique,
+    any gaps); null for the first row."""
+    df = positions(df, order, "_position").withColumn("_bucket", F.expr(f"_position div {int(width)}"))
+    inside = Window.partitionBy("_bucket").orderBy("_position")
+    ends = df.groupBy("_bucket").agg(F.max_by(value, "_position").alias("_carry")).withColumn("_bucket", F.col("_bucket") + 1)
     return (
-        df.withColumn(first, F.row_number().over(inside) == 1)
-        .withColumn(lag, F.lag(value).over(inside))
-        .join(ends.select(*keys, bucket, carry), [*keys, bucket])
-        .withColumn(output, F.when(F.col(first), F.col(carry)).otherwise(F.col(lag)))
-        .drop(bucket, first, lag, carry)
+        df.withColumn("_lag", F.lag(value).over(inside))
+        .withColumn("_first", F.row_number().over(inside) == 1)
+        .join(ends, "_bucket", "left")
+        .withColumn(output, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
+        .drop("_bucket", "_position", "_lag", "_first", "_carry")
     )

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.constants import GENESIS_HASH
 from veilframe.functions.dialect import strip
-from veilframe.functions.ordered import WIDTH, previous
+from veilframe.functions.ordered import WIDTH, positions, previous
 from veilframe.operators.reports import chosen, counts_by, hour_of, mean, newest, one_row
 
+#: Events in a segment; segments, and groups of them, in a group of the next level.
 SEGMENT_ROWS = 1024
+FAN = 1024
+LEVELS = 2
 
 
 def event_hash(prev_hash: Column, event_id: Column, event_type: Column, timestamp: Column) -> Column:
@@ -24,77 +27,148 @@ def timestamp_text(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def build_chain(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Add ``segment, prev_hash, hash`` to events with a unique integer ``seq``.
+def build_chain(events: DataFrame, seals: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Add ``segment, prev_hash, hash`` to events with a unique, sortable ``seq``.
 
-    A hash chain is sequential, so one chain over all events would be one task.
-    Events are cut into segments of ``segment_rows`` positions; each is a chain
-    from the genesis hash, and ``seal_segments`` chains their last hashes.  An
-    event table within one segment is a single chain.
+    Events are cut into segments of ``segment_rows`` rows in the order of ``seq``, of any
+    spacing.  Inside a segment every event points to the hash of the one before.  The
+    first event of a segment points to its *start*, the first start being the genesis
+    hash.  A start is the hash of the start before and of a digest of all that the
+    segment before holds; the first segment of a group of ``FAN`` takes the start of its
+    group, made in the same way from the group before, and so on for ``LEVELS`` levels.
+    So each event depends on all events before it, and segments are hashed in parallel.
+    A table within one segment is the plain chain.
+
+    ``seals``: those of the events already written (see ``seal_segments``); the new
+    events then begin a segment after the last one.
     """
-    df = events.withColumn("segment", F.expr(f"seq div {int(segment_rows)}"))
-    fields = F.struct(
-        "seq",
-        F.col("event_id").alias("event_id"),
-        F.col("event_type").alias("event_type"),
-        timestamp_text(F.col("timestamp")).alias("ts"),
-    )
+    first = 0
+    if seals is not None:
+        first = seals.agg(F.coalesce(F.max("segment") + 1, F.lit(0))).first()[0]
+    placed = positions(events, "seq").withColumn("segment", F.expr(f"{int(first)} + position div {int(segment_rows)}")).drop("position")
+    blocks = segment_digests(placed).select(F.col("segment").alias("no"), "digest")
+    if seals is not None:
+        blocks = blocks.union(seals.select("segment", "digest"))
+    starts = _starts(blocks, LEVELS).where(F.col("no") >= first).select(F.col("no").alias("segment"), F.col("start").alias("_start"))
+    stamped = F.struct(F.col("seq").alias("_seq"), F.struct(*placed.columns).alias("row"))
     width = len(GENESIS_HASH)
 
-    def nth(hashes, i):
-        return F.decode(F.substring(hashes, i * width + 1, F.lit(width)), "UTF-8")
+    def nth(i):
+        return F.decode(F.substring("_hashes", i * width + 1, F.lit(width)), "UTF-8")
 
     def link(hashes, e):
         before = F.decode(F.substring(hashes, F.lit(-width), F.lit(width)), "UTF-8")
-        return F.concat(hashes, F.encode(event_hash(before, e["event_id"], e["event_type"], e["ts"]), "UTF-8"))
-
-    # All hashes of a segment in one byte string, the genesis first: a fold copies its state at every
-    # step, and bytes are the cheapest thing to copy.
-    hashes = F.aggregate("rows", F.encode(F.lit(GENESIS_HASH), "UTF-8"), link)
-    links = (
-        df.groupBy("segment")
-        .agg(F.array_sort(F.collect_list(fields)).alias("rows"))
-        .select("segment", F.col("rows.seq").alias("seqs"), F.explode(F.array(hashes)).alias("hashes"))
-        .select("segment", "hashes", F.posexplode("seqs").alias("i", "seq"))
-        .select(
-            "segment",
-            "seq",
-            nth(F.col("hashes"), F.col("i")).alias("prev_hash"),
-            nth(F.col("hashes"), F.col("i") + 1).alias("hash"),
-        )
+        row = e["row"]
+        return F.concat(hashes, F.encode(event_hash(before, row["event_id"], row["event_type"], timestamp_text(row["timestamp"])), "UTF-8"))
+
+    # All hashes of a segment in one byte string, the start first: a fold copies its state at every
+    # step, and bytes are the cheapest thing to copy.  The rows ride along: no join back to the events.
+    hashes = F.aggregate("_rows", F.encode("_start", "UTF-8"), link)
+    return (
+        placed.groupBy("segment")
+        .agg(F.array_sort(F.collect_list(stamped)).alias("_rows"))
+        .join(starts, "segment")
+        .select("_rows", F.explode(F.array(hashes)).alias("_hashes"))
+        .select("_hashes", F.posexplode("_rows").alias("_i", "_e"))
+        .select("_e.row.*", nth(F.col("_i")).alias("prev_hash"), nth(F.col("_i") + 1).alias("hash"))
     )
-    return df.join(links, ["segment", "seq"])
 
 
-def seal_segments(chained: DataFrame, per_seal: int = SEGMENT_ROWS) -> DataFrame:
-    """One row per segment, itself a chain: ``seq`` (the segment), its last hash as
-    ``event_id``, ``prev_hash, hash``.  Repeat on the result until one seal is left."""
-    heads = chained.groupBy("segment").agg(
-        F.max_by("hash", "seq").alias("event_id"), F.max("timestamp").alias("timestamp")
+def number_events(events: DataFrame, after: int) -> DataFrame:
+    """Add ``seq`` from ``after`` + 1 to events that are to be chained, by their ids."""
+    return positions(events, "event_id").withColumn("seq", F.col("position") + F.lit(after + 1)).drop("position")
+
+
+def segment_digests(events: DataFrame, *more: Column) -> DataFrame:
+    """``segment, n`` and ``digest`` of what its events hold, in order; with ``more``
+    aggregates."""
+    content = F.sha2(F.concat("event_id", "event_type", timestamp_text(F.col("timestamp"))), 256)
+    each = F.array_sort(F.collect_list(F.struct("seq", content.alias("content"))))
+    return events.groupBy("segment").agg(F.count("*").alias("n"), F.sha2(F.array_join(each["content"], ""), 256).alias("digest"), *more)
+
+
+def _sealed(start: Column, digest: Column) -> Column:
+    return F.sha2(F.concat(start, digest), 256)
+
+
+def _group(blocks: DataFrame, level: int) -> DataFrame:
+    return blocks.withColumn("group", F.expr(f"no div {FAN}") if level else F.lit(0).cast("bigint"))
+
+
+def _starts(blocks: DataFrame, level: int) -> DataFrame:
+    """``no, start`` for blocks ``no, digest`` numbered without gaps."""
+    grouped = _group(blocks, level).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("no", "digest"))).alias("items"))
+    if level:
+        above = grouped.select(F.col("group").alias("no"), F.sha2(F.array_join("items.digest", ""), 256).alias("digest"))
+        grouped = grouped.join(_starts(above, level - 1).withColumnRenamed("no", "group"), "group")
+    else:
+        grouped = grouped.withColumn("start", F.lit(GENESIS_HASH))
+    states = F.aggregate(
+        "items", F.array("start"), lambda done, x: F.concat(done, F.array(_sealed(F.element_at(done, F.lit(-1)), x["digest"])))
     )
-    heads = heads.select(F.col("segment").alias("seq"), "event_id", F.lit("SEAL").alias("event_type"), "timestamp")
-    return build_chain(heads, per_seal)
+    items = grouped.select(F.explode(F.array(states)).alias("states"), "items").select("states", F.posexplode("items").alias("i", "x"))
+    return items.select("x.no", F.get("states", F.col("i")).alias("start"))
+
 
+def seal_segments(chained: DataFrame) -> DataFrame:
+    """One row per segment, to be kept apart from the events: ``segment, n, digest`` and
+    its ``start``.  They tell what was written, so that even a cut-off end is seen, and
+    new events are chained after them."""
+    return segment_digests(chained, F.min_by("prev_hash", "seq").alias("start"))
 
-def check_links(chained: DataFrame, width: int = WIDTH, by_segment: bool = False) -> DataFrame:
+
+def _expected(blocks: DataFrame, level: int) -> DataFrame:
+    """``no, expected``: the start that each block should have by the starts and digests
+    of the blocks there are; null for a block whose forerunner is missing."""
+    blocks = _group(blocks, level)
+    if level:
+        above = blocks.groupBy("group").agg(
+            F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("no", "digest")))["digest"], ""), 256).alias("digest"),
+            F.min_by("start", "no").alias("start"),
+        )
+        above = _expected(above.withColumnRenamed("group", "no"), level - 1)
+        blocks = blocks.join(above.select(F.col("no").alias("group"), F.col("expected").alias("given")), "group")
+        opens = F.col("no") % FAN == 0
+    else:
+        blocks, opens = blocks.withColumn("given", F.lit(GENESIS_HASH)), F.col("no") == 0
+    inside = Window.partitionBy("group").orderBy("no")
+    follows = F.lag("no").over(inside) == F.col("no") - 1
+    sealed = _sealed(F.lag("start").over(inside), F.lag("digest").over(inside))
+    return blocks.select("no", F.when(follows, sealed).when(opens, F.col("given")).alias("expected"))
+
+
+def check_links(chained: DataFrame, width: int = WIDTH) -> DataFrame:
     """Every event with the hash it should point to and whether it does.
 
-    ``link_ok`` compares ``prev_hash`` with the hash of the event before (the
-    first event has nothing to compare with); ``hash_ok`` recomputes the hash.
-    With ``by_segment`` the first event of a segment must point to the genesis.
+    ``link_ok`` compares ``prev_hash`` with the hash of the event before in its segment;
+    for the first of a segment with the start that follows from what the segments before
+    hold (null, and not ok, if the one before is missing).  A table without the column
+    ``segment`` is one plain chain, whose first event has nothing to compare with.
+    ``hash_ok`` recomputes the hash.
     """
-    if by_segment:
-        df = previous(chained, ["segment"], "seq", "hash", "_previous", levels=0)
-        df = df.withColumn("expected_prev_hash", F.coalesce("_previous", F.lit(GENESIS_HASH))).drop("_previous")
+    if "segment" in chained.columns:
+        inside = Window.partitionBy("segment").orderBy("seq")
+        starts = _expected(seal_segments(chained).select(F.col("segment").alias("no"), "digest", "start"), LEVELS)
+        df = chained.withColumns({"_first": F.row_number().over(inside) == 1, "_before": F.lag("hash").over(inside)})
+        df = df.join(starts.withColumnRenamed("no", "segment"), "segment")
+        expected = F.when(F.col("_first"), F.col("expected")).otherwise(F.col("_before"))
+        df = df.withColumn("expected_prev_hash", expected).drop("_first", "_before", "expected")
+        link_ok = F.coalesce(F.col("prev_hash") == F.col("expected_prev_hash"), F.lit(False))
     else:
-        df = previous(chained, [], "seq", "hash", "expected_prev_hash", width)
+        df = previous(chained, "seq", "hash", "expected_prev_hash", width)
+        link_ok = F.coalesce(F.col("prev_hash") == F.col("expected_prev_hash"), F.lit(True))
     rehashed = event_hash(F.col("prev_hash"), F.col("event_id"), F.col("event_type"), timestamp_text(F.col("timestamp")))
-    return df.withColumns(
-        {
-            "link_ok": F.coalesce(F.col("prev_hash") == F.col("expected_prev_hash"), F.lit(True)),
-            "hash_ok": rehashed == F.col("hash"),
-        }
-    )
+    return df.withColumns({"link_ok": link_ok, "hash_ok": F.coalesce(rehashed == F.col("hash"), F.lit(False))})
+
+
+def changed_segments(chained: DataFrame, seals: DataFrame) -> DataFrame:
+    """Sealed segments that the table lacks or holds otherwise, the last one too:
+    ``segment, n`` (rows sealed), ``found`` (rows there) and ``state`` (missing or changed)."""
+    there = seal_segments(chained).select("segment", F.col("n").alias("found"), F.col("digest").alias("_digest"), F.col("start").alias("_start"))
+    both = seals.join(there, "segment", "left")
+    same = F.col("digest").eqNullSafe(F.col("_digest")) & F.col("start").eqNullSafe(F.col("_start"))
+    state = F.when(F.col("_digest").isNull(), "missing").otherwise("changed")
+    return both.where(~same).select("segment", "n", F.coalesce("found", F.lit(0)).alias("found"), state.alias("state"))
 
 
 def broken_links(checked: DataFrame) -> DataFrame:
@@ -116,17 +190,18 @@ def verify(checked: DataFrame) -> DataFrame:
 
 
 def with_neighbours(events: DataFrame) -> DataFrame:
-    """Every event with the hashes of the events before and after it in the chain,
-    found by hash; null at the ends of the chain."""
-    hashes = events.select(F.col("hash").alias("prev_event_hash")).distinct()
-    pointers = events.groupBy(F.col("prev_hash").alias("_to")).agg(F.min("hash").alias("next_event_hash"))
-    # Every chain starts from the same hash; a key of its own keeps the starts from meeting in one task.
-    back = F.when(F.col("prev_hash") != GENESIS_HASH, F.col("prev_hash")).otherwise(F.concat(F.lit("start "), "hash"))
+    """Every chained event with the hashes of the events before and after it; null at
+    the ends of the chain.  Inside a segment they are the rows beside it; across a
+    border, the end of the last segment before and the first row of the next."""
+    inside = Window.partitionBy("segment").orderBy("seq")
+    ends = events.groupBy("segment").agg(F.min_by("hash", "seq").alias("head"), F.max_by("hash", "seq").alias("tail"))
+    around = ends.select(F.col("segment") + 1, F.col("tail").alias("_tail")), ends.select(F.col("segment") - 1, F.col("head").alias("_head"))
     return (
-        events.withColumn("_back", back)
-        .join(hashes, F.col("_back") == F.col("prev_event_hash"), "left")
-        .join(pointers, F.col("hash") == F.col("_to"), "left")
-        .drop("_back", "_to")
+        events.withColumns({"_lag": F.lag("hash").over(inside), "_lead": F.lead("hash").over(inside)})
+        .join(around[0].toDF("segment", "_tail"), "segment", "left")
+        .join(around[1].toDF("segment", "_head"), "segment", "left")
+        .withColumns({"prev_event_hash": F.coalesce("_lag", "_tail"), "next_event_hash": F.coalesce("_lead", "_head")})
+        .drop("_lag", "_lead", "_tail", "_head")
     )
 
 
@@ -160,7 +235,7 @@ def list_events(
 ) -> DataFrame:
     equal = {"event_type": event_type, "agent_id": agent_id, "session_id": session_id, "policy_id": policy_id}
     if entity_type is not None:
-        events = events.where(F.contains("entities_json", F.lit(f'"{entity_type}"')))
+        events = events.where(F.array_contains(entity_types(F.col("entities_json")), entity_type))
     return newest(events, equal, "timestamp", "seq", date_from, date_to, limit, offset)
 
 

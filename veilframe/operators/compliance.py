@@ -53,7 +53,8 @@ def gaps(controls: DataFrame, limit: int | None = None) -> DataFrame:
     """Failing controls, the most severe first; unknown severities lead."""
     failing = controls.where("status = 'FAIL'").withColumn("rank", severity_rank(F.col("severity")))
     ordered = failing.orderBy(F.asc_nulls_first("rank"), "control_id")
-    return (ordered if limit is None else ordered.limit(limit)).select("framework_code", "control_id", "name", "severity")
+    columns = ["framework_code", "control_id", "name", "severity"] + [c for c in controls.columns if c == "remediation_hint"]
+    return (ordered if limit is None else ordered.limit(limit)).select(*columns)
 
 
 def summary(frameworks: DataFrame) -> DataFrame:
@@ -71,16 +72,30 @@ def summary(frameworks: DataFrame) -> DataFrame:
 
 
 def report(frameworks: DataFrame, controls: DataFrame) -> DataFrame:
-    """Per framework, and in total (``code`` TOTAL), how many of its control rows pass."""
+    """Per framework (``level`` framework) and in total (``level`` total, the code null),
+    how many of its control rows pass, and the controls themselves, by id."""
     status = F.col("c.status")
+    columns = ["control_id"] + [c for c in controls.columns if c not in ("control_id", "framework_code")]
+    item = F.when(F.col("c.control_id").isNotNull(), F.struct(*[F.col(f"c.{c}").alias(c) for c in columns]))
     joined = frameworks.alias("f").join(controls.alias("c"), F.col("f.code") == F.col("c.framework_code"), "left")
     counted = joined.rollup(F.col("f.code").alias("code")).agg(
+        F.grouping_id().alias("gid"),
         F.count("c.control_id").alias("controls"),
         F.count_if(status == "PASS").alias("passing"),
         F.count_if(status == "FAIL").alias("failing"),
+        F.array_sort(F.collect_list(item)).alias("rows"),
     )
     score = F.when(F.col("controls") > 0, F.round(F.col("passing") / F.col("controls") * 100, 1)).otherwise(0.0)
-    return counted.withColumn("code", F.coalesce("code", F.lit("TOTAL"))).withColumn("score", score)
+    own = F.col("gid") == 0
+    return counted.select(
+        "code",
+        F.when(own, "framework").otherwise("total").alias("level"),
+        "controls",
+        "passing",
+        "failing",
+        score.alias("score"),
+        F.when(own, F.col("rows")).alias("control_rows"),
+    )
 
 
 def framework_detail(frameworks: DataFrame, controls: DataFrame, code: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import lookup
 from veilframe.functions.constants import CATEGORIES, CATEGORY_NAMES, SEVERITY_WEIGHTS
-from veilframe.operators.reports import hour_of, mean, one_row
+from veilframe.operators.reports import hour_of, latest_days, mean, one_row
 from veilframe.operators.threats import severity_weight
 
 
@@ -55,18 +55,20 @@ def timeline(entities: DataFrame, hours: int = 24) -> DataFrame:
     """Entities per hour, in total and by category, newest hours first."""
     category = category_of(F.col("entity_type"))
     columns = [F.count_if(category == name).alias(name) for name in CATEGORY_NAMES]
-    counts = entities.groupBy(hour_of("detected_at").alias("hour")).agg(F.count("*").alias("total"), *columns)
+    counts = latest_days(entities, hours).groupBy(hour_of("detected_at").alias("hour")).agg(F.count("*").alias("total"), *columns)
     return counts.orderBy(F.desc("hour")).limit(hours)
 
 
 def distribution(entities: DataFrame) -> DataFrame:
-    """Counts by type and by category (rows whose ``entity_type`` is null)."""
+    """Counts by type and by category: ``level`` tells rows of a type from those of a
+    category, whose ``entity_type`` is null, too."""
     by_type = entities.groupBy("entity_type").agg(F.count("*").alias("n"))
     return (
         by_type.withColumn("category", category_of(F.col("entity_type")))
         .rollup("category", "entity_type")
-        .agg(F.sum("n").alias("n"))
-        .where("category IS NOT NULL")
+        .agg(F.sum("n").alias("n"), F.grouping_id().alias("gid"))
+        .where("gid < 3")
+        .select("category", "entity_type", F.when(F.col("gid") == 0, "type").otherwise("category").alias("level"), "n")
     )
 
 

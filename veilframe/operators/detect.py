@@ -113,6 +113,6 @@ def registry_stats(registry: DataFrame, detections: DataFrame) -> DataFrame:
         registry.select("category", "entity_type")
         .join(found, "entity_type", "left")
         .rollup("category")
-        .agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities"))
-        .select(F.coalesce("category", F.lit("TOTAL")).alias("category"), "types", "entities")
+        .agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities"), F.grouping_id().alias("gid"))
+        .select(F.when(F.col("gid") == 1, "TOTAL").otherwise(F.col("category")).alias("category"), "types", "entities")
     )

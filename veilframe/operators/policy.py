@@ -151,18 +151,19 @@ def conflicts(rules: DataFrame) -> DataFrame:
     """Rules of one policy and type that ask for different actions of the same role.
 
     Equal rules are folded first, so a policy that repeats two rules a million
-    times yields one conflict and not a million squared: ``rule_pairs`` counts
-    the pairs behind it.
+    times yields a conflict for each order they occur in and not a million squared:
+    ``pos_a`` and ``pos_b`` show one pair in that order, ``rule_pairs`` counts the pairs
+    of the two rules in either order.
     """
     roles = F.array_sort(F.array_distinct(F.coalesce("roles", F.array().cast("array<string>"))))
     variants = (
         rules.where("entity_type IS NOT NULL")
         .groupBy("policy_id", "entity_type", "action", roles.alias("roles"))
-        .agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
+        .agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n"))
     )
     a, b = variants.alias("a"), variants.alias("b")
     same = (F.col("a.policy_id") == F.col("b.policy_id")) & (F.col("a.entity_type") == F.col("b.entity_type"))
-    differ = (F.col("a.first_pos") < F.col("b.first_pos")) & (F.col("a.action") != F.col("b.action"))
+    differ = (F.col("a.first_pos") < F.col("b.last_pos")) & (F.col("a.action") != F.col("b.action"))
     shared = F.array_intersect("a.roles", "b.roles")
     meet = (F.size("a.roles") == 0) | (F.size("b.roles") == 0) | (F.size(shared) > 0)
     roles_note = F.when(
@@ -173,7 +174,7 @@ def conflicts(rules: DataFrame) -> DataFrame:
         F.col("a.entity_type").alias("entity_type"),
         F.col("a.first_pos").alias("pos_a"),
         F.col("a.action").alias("action_a"),
-        F.col("b.first_pos").alias("pos_b"),
+        F.when(F.col("b.first_pos") > F.col("a.first_pos"), F.col("b.first_pos")).otherwise(F.col("b.last_pos")).alias("pos_b"),
         F.col("b.action").alias("action_b"),
         (F.col("a.n") * F.col("b.n")).alias("rule_pairs"),
         F.concat(

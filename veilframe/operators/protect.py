@@ -8,15 +8,20 @@ own replacements.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import masking
 from veilframe.functions.constants import VAULT_TYPES
 from veilframe.functions.ordered import WIDTH, running_total
+from veilframe.operators.detect import detect_entities
 from veilframe.operators.reports import one_row
+from veilframe.sources.staging import stage
 
 REF_DIGITS = 32
+TTL_SECONDS = 1800
 
 
 def vault_ref(session_id: Column, doc_id: Column, mode: str) -> Column:
@@ -24,6 +29,19 @@ def vault_ref(session_id: Column, doc_id: Column, mode: str) -> Column:
     return F.concat(F.lit("vlt_"), F.substring(digest, 1, REF_DIGITS))
 
 
+def create_vault_sessions(requests: DataFrame, now: Column) -> DataFrame:
+    """New vault sessions for ``request_id, agent_id, policy_id, ttl_seconds``; a null
+    ttl is half an hour.  The request's id tells equal requests apart."""
+    digest = F.sha2(F.concat_ws("|", F.lit("session"), F.col("request_id").cast("string"), now.cast("string")), 256)
+    return requests.select(
+        F.concat(F.lit("vs_"), F.substring(digest, 1, REF_DIGITS)).alias("session_id"),
+        "agent_id",
+        "policy_id",
+        now.alias("created_at"),
+        F.coalesce(F.col("ttl_seconds").cast("int"), F.lit(TTL_SECONDS)).alias("ttl_seconds"),
+    )
+
+
 def is_expired(now: Column) -> Column:
     """Of a vault session with ``created_at`` and ``ttl_seconds``."""
     return now > F.col("created_at") + F.make_interval(secs=F.col("ttl_seconds"))
@@ -60,8 +78,18 @@ def protect(df: DataFrame, mode: str, seed: int = 0) -> DataFrame:
     """Vault entries for ``df`` (``doc_id, session_id, text, entities``) in any mode
     but TOKENIZE: no shuffle."""
     mode = masking.known_mode(mode)
+    return _entries(_replaced(df, mode, seed), mode)
+
+
+def _entries(ready: DataFrame, mode: str) -> DataFrame:
+    sanitized = masking.splice(F.col("text"), F.col("spans"), lambda s: s["replacement"])
+    return _entry(ready, F.col("spans"), sanitized, mode, ["doc_id", "session_id"])
+
+
+def _replaced(df: DataFrame, mode: str, seed: int) -> DataFrame:
+    """``doc_id, session_id, text`` and the ``spans`` with their replacements."""
     session, kind, value = F.col("session_id"), lambda e: e["entity_type"], lambda e: e["original_text"]
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))
     replacement = {
         "REDACT": lambda e: F.lit("[REDACTED]"),
         "PSEUDONYMIZE": lambda e: masking.pseudonym(session, kind(e), value(e)),
@@ -74,13 +102,16 @@ def protect(df: DataFrame, mode: str, seed: int = 0) -> DataFrame:
     spans = F.transform(
         "entities",
         lambda e: F.struct(
-            e["start"].alias("start"), e["end"].alias("end"), value(e).alias("original"), replacement(e).alias("replacement")
+            e["start"].alias("start"),
+            e["end"].alias("end"),
+            value(e).alias("original"),
+            replacement(e).alias("replacement"),
+            kind(e).alias("entity_type"),
+            e["confidence"].alias("confidence"),
         ),
     )
     # A generator's output is computed once, however often it is read below.
-    ready = df.select("doc_id", "session_id", "text", F.explode(F.array(spans)).alias("spans"))
-    sanitized = masking.splice(F.col("text"), F.col("spans"), lambda s: s["replacement"])
-    return _entry(ready, F.col("spans"), sanitized, mode, ["doc_id", "session_id"])
+    return df.select("doc_id", "session_id", "text", F.explode(F.array(spans)).alias("spans"))
 
 
 def number_tokens(detected: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -101,19 +132,83 @@ def tokenize(texts: DataFrame, detected: DataFrame, width: int = WIDTH) -> DataF
     detection result of the same texts (``doc_id, session_id, doc_seq,
     entities``) and is read without touching any text.
     """
-    spans = (
-        number_tokens(detected, width)
-        .groupBy("doc_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("start", "end", F.col("original_text").alias("original"), F.col("token").alias("replacement")))
-            ).alias("spans")
-        )
-    )
+    spans = _token_spans(detected, width)
     joined = texts.select("doc_id", "session_id", "text").join(spans, "doc_id", "left")
-    ready = joined.withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
-    sanitized = masking.splice(F.col("text"), F.col("spans"), lambda s: s["replacement"])
-    return _entry(ready, F.col("spans"), sanitized, "TOKENIZE", ["doc_id", "session_id"])
+    return _entries(joined.withColumn("spans", F.coalesce("spans", _no_spans(spans))), "TOKENIZE")
+
+
+def _token_spans(detected: DataFrame, width: int) -> DataFrame:
+    span = F.struct("start", "end", F.col("original_text").alias("original"), F.col("token").alias("replacement"), "entity_type", "confidence")
+    return number_tokens(detected, width).groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+
+def _no_spans(spans: DataFrame) -> Column:
+    return F.array().cast(spans.schema["spans"].dataType)
+
+
+def tokenize_simple(df: DataFrame) -> DataFrame:
+    """Vault entries with numbered tokens for texts without a session (``doc_id, text,
+    entities``): each text gets a session of its own, so its tokens are numbered inside
+    the row, from the end of the text to its start, and nothing is shuffled."""
+    own = df.withColumn("session_id", F.concat(F.lit("vs_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, REF_DIGITS)))
+
+    def number(e):
+        later = F.filter("entities", lambda o: (o["entity_type"] == e["entity_type"]) & (o["start"] >= e["start"]))
+        return masking.token(e["entity_type"], F.size(later))
+
+    spans = F.transform(
+        "entities",
+        lambda e: F.struct(
+            e["start"].alias("start"), e["end"].alias("end"), e["original_text"].alias("original"), number(e).alias("replacement")
+        ),
+    )
+    return _entries(own.select("doc_id", "session_id", "text", F.explode(F.array(spans)).alias("spans")), "TOKENIZE")
+
+
+class Protected(NamedTuple):
+    """What ``protect_texts`` gives."""
+
+    entries: DataFrame
+    entities: DataFrame
+    counts: DataFrame
+    rejected: DataFrame
+
+
+def protect_texts(docs: DataFrame, sessions: DataFrame, now: Column, mode: str = "TOKENIZE", seed: int = 0, width: int = WIDTH) -> Protected:
+    """Detect and replace in one go.
+
+    ``docs``: ``doc_id, session_id, doc_seq, text``.  Texts whose session is unknown or
+    has expired are ``rejected`` with a reason; the others give vault ``entries``,
+    ``entities`` (a row each, with the token that stands in the text) and ``counts`` per
+    session.  Texts are detected once; of those without entities none is shuffled."""
+    mode = masking.known_mode(mode)
+    accepted, rejected = open_sessions(docs, sessions, now)
+    found = detect_entities(accepted)
+    if mode == "TOKENIZE":
+        found = stage(found.select("doc_id", "session_id", "doc_seq", "text", "entities"))
+        spans = _token_spans(found, width)
+        has = F.size("entities") > 0
+        hit = found.where(has).select("doc_id", "session_id", "text").join(spans, "doc_id")
+        ready = hit.unionByName(found.where(~has).select("doc_id", "session_id", "text", _no_spans(spans).alias("spans")))
+    else:
+        ready = _replaced(found, mode, seed)
+    ready = stage(ready)
+    rows = ready.select("doc_id", "session_id", F.inline("spans"))
+    entities = rows.select(
+        F.xxhash64("session_id", "doc_id", "start", "entity_type", F.lit(mode)).alias("id"),
+        "doc_id",
+        "session_id",
+        "start",
+        "entity_type",
+        F.col("original").alias("original_text"),
+        F.col("replacement").alias("token"),
+        "confidence",
+        F.lit(mode).alias("action"),
+        now.alias("detected_at"),
+    )
+    counts = ready.groupBy("session_id").agg(F.count("*").alias("texts"), F.sum(F.size("spans")).alias("entities_protected"))
+    counts = counts.join(sessions.select("session_id", "agent_id", "policy_id"), "session_id")
+    return Protected(_entries(ready, mode), entities, counts, rejected)
 
 
 def restore(requests: DataFrame, entries: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:

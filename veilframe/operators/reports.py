@@ -16,16 +16,33 @@ def mean(column: Column | str, digits: int) -> Column:
     return F.round(F.avg(value.cast("decimal(20,6)")), digits).cast("double")
 
 
+def in_period(df: DataFrame, time: str, date_from, date_to) -> DataFrame:
+    """Rows of a period; a table partitioned by ``day`` reads only the days in it."""
+    for bound, keeps, day_keeps in (
+        (date_from, F.col(time) >= F.lit(date_from), lambda day: day >= F.to_date(F.lit(date_from))),
+        (date_to, F.col(time) <= F.lit(date_to), lambda day: day <= F.to_date(F.lit(date_to))),
+    ):
+        if bound is not None:
+            df = df.where(keeps)
+            df = df.where(day_keeps(F.col("day"))) if "day" in df.columns else df
+    return df
+
+
+def latest_days(df: DataFrame, days: int) -> DataFrame:
+    """The latest days that have rows, of a table partitioned by ``day``; other tables
+    as they are.  Only the days' names are looked up before (``days`` rows)."""
+    if "day" not in df.columns:
+        return df
+    named = df.select("day").where("day IS NOT NULL").distinct().orderBy(F.desc("day")).limit(days).collect()
+    return df.where(F.col("day") >= F.lit(min(r.day for r in named))) if named else df
+
+
 def chosen(df: DataFrame, equal: Mapping[str, object], time: str, date_from, date_to) -> DataFrame:
     """Rows that meet the filters that are set."""
     for name, value in equal.items():
         if value is not None:
             df = df.where(F.col(name) == F.lit(value))
-    if date_from is not None:
-        df = df.where(F.col(time) >= F.lit(date_from))
-    if date_to is not None:
-        df = df.where(F.col(time) <= F.lit(date_to))
-    return df
+    return in_period(df, time, date_from, date_to)
 
 
 def newest(
@@ -76,5 +93,5 @@ def hour_of(time: Column | str) -> Column:
 
 def latest_hours(df: DataFrame, time: str, hours: int = 24) -> DataFrame:
     """Row counts of the latest hours that have rows, newest first."""
-    counts = df.groupBy(hour_of(time).alias("hour")).agg(F.count("*").alias("n"))
+    counts = latest_days(df, hours).groupBy(hour_of(time).alias("hour")).agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("hour")).limit(hours)

@@ -41,8 +41,6 @@ def list_sessions(
     limit: int = 50,
     offset: int = 0,
 ) -> DataFrame:
-    if not 1 <= limit <= 500:
-        raise ValueError("limit must be between 1 and 500")
     equal = {"status": status, "agent_id": agent_id}
     return newest(sessions, equal, "created_at", "id", date_from, date_to, limit, offset)
 
@@ -81,18 +79,15 @@ def session_entities(entities: DataFrame, session_id) -> DataFrame:
 
 
 def session_counts(entities: DataFrame) -> DataFrame:
-    """Protected entities and distinct tokens per session."""
+    """Protected entities per session, each with its token."""
     return entities.groupBy("session_id").agg(
         F.count("*").alias("entities_protected"), F.count("*").alias("tokens_generated")
     )
 
 
-def _requests_on(sessions: DataFrame, requests: DataFrame) -> DataFrame:
-    return requests.join(sessions, requests["session_id"] == sessions["id"], "left")
-
-
-def _event(kind: str, now: Column, details: Column) -> list[Column]:
-    digest = F.sha2(F.concat_ws("|", F.lit(kind), F.col("id").cast("string"), now.cast("string")), 256)
+def _event(kind: str, now: Column, details: Column, number: Column) -> list[Column]:
+    """An audit event about a session; ``number`` tells its events of one kind apart."""
+    digest = F.sha2(F.concat_ws("|", F.lit(kind), F.col("id").cast("string"), now.cast("string"), number), 256)
     return [
         F.concat(F.lit("evt_"), F.substring(digest, 1, 32)).alias("event_id"),
         F.lit(kind).alias("event_type"),
@@ -109,30 +104,35 @@ def _event(kind: str, now: Column, details: Column) -> list[Column]:
 
 def extend_sessions(sessions: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Push the expiry of the sessions in ``requests`` (``session_id, hours``) and set
-    them ACTIVE.  Returns the new sessions, audit events to append (see
-    ``audit.build_chain``) and the rejected requests."""
-    asked = requests.groupBy("session_id").agg(F.max("hours").alias("hours"))
-    in_range = F.col("hours").between(1, MAX_EXTENSION_HOURS)
-    marked = sessions.join(asked, sessions["id"] == asked["session_id"], "left").drop("session_id")
-    extends = F.coalesce(in_range & (F.col("status") != "PURGED"), F.lit(False))
+    them ACTIVE.  Every request is judged by itself: a session gets the sum of its
+    accepted hours.  Returns the new sessions, an audit event for each accepted request
+    (to be numbered by ``audit.number_events`` and chained) and the rejected requests, a
+    row each, with a ``reason``."""
+    # equal requests are counted before they are joined
+    asked = requests.groupBy("session_id", "hours").agg(F.count("*").alias("n"))
+    in_range = F.coalesce(F.col("hours").between(1, MAX_EXTENSION_HOURS), F.lit(False))
+    added = asked.where(in_range).groupBy("session_id").agg(F.sum(F.col("hours") * F.col("n")).alias("_hours"))
+    marked = sessions.join(added, sessions["id"] == added["session_id"], "left").drop("session_id")
+    extends = F.coalesce(F.col("_hours").isNotNull() & (F.col("status") != "PURGED"), F.lit(False))
     updated = marked.select(
         *[c for c in sessions.columns if c not in ("expires_at", "status")],
-        F.when(extends, F.coalesce("expires_at", now) + F.make_interval(hours=F.col("hours")))
+        F.when(extends, F.coalesce("expires_at", now) + F.make_interval(hours=F.col("_hours").cast("int")))
         .otherwise(F.col("expires_at"))
         .alias("expires_at"),
         F.when(extends, "ACTIVE").otherwise(F.col("status")).alias("status"),
     ).select(*sessions.columns)
-    events = marked.where(extends).select(
-        *_event("SESSION_EXTEND", now, F.struct(F.col("hours").alias("hours_added")))
-    )
-    rejected = _requests_on(sessions, asked).select(
-        "session_id",
+    known = asked.join(sessions.select("id", "status", "agent_id", "policy_id"), F.col("session_id") == F.col("id"), "left")
+    reason = (
         F.when(F.col("id").isNull(), "session not found")
         .when(F.col("status") == "PURGED", "cannot extend a purged session")
         .when(~in_range, f"hours must be between 1 and {MAX_EXTENSION_HOURS}")
-        .alias("reason"),
-    ).where("reason IS NOT NULL")
-    return updated, events, rejected
+    )
+    singly = known.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i")).withColumn("reason", reason)
+    number = F.concat_ws("|", F.col("hours").cast("string"), F.col("_i").cast("string"))
+    events = singly.where("reason IS NULL").select(
+        *_event("SESSION_EXTEND", now, F.struct(F.col("hours").alias("hours_added")), number)
+    )
+    return updated, events, singly.where("reason IS NOT NULL").select("session_id", "hours", "reason")
 
 
 def purge(
@@ -154,7 +154,7 @@ def purge(
     lost = entities.join(asked, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("_n"))
     erased = sessions.join(flags, "id").join(lost, F.col("id") == lost["session_id"], "left").drop("session_id")
     events = erased.select(
-        *_event("SESSION_PURGE", now, F.struct(F.coalesce("_n", F.lit(0)).alias("entities_purged")))
+        *_event("SESSION_PURGE", now, F.struct(F.coalesce("_n", F.lit(0)).alias("entities_purged")), F.lit(1))
     )
     rejected = asked.join(sessions, asked["session_id"] == sessions["id"], "left_anti").select(
         "session_id", F.lit("session not found").alias("reason")

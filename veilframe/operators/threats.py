@@ -21,7 +21,7 @@ from veilframe.functions.constants import (
 from veilframe.functions.dialect import strip, to_java
 from veilframe.functions.prefilter import fold
 from veilframe.operators.detect import detect_entities
-from veilframe.operators.reports import counts_by, latest_hours, mean, newest
+from veilframe.operators.reports import counts_by, latest_days, latest_hours, mean, newest
 
 THREAT_TYPES = ("PROMPT_INJECTION", "UNCONTROLLED_RAG", "PRIVILEGE_ESCALATION", "SALAMI_SLICING", "OVERBROAD_API")
 BLOCK_RISK = 50
@@ -246,29 +246,36 @@ def severity_weight(severity: Column) -> Column:
 
 def risk_trend(events: DataFrame, days: int = 14) -> DataFrame:
     """Mean severity weight per day, over the last days that have events."""
-    daily = events.groupBy(F.to_date("timestamp").alias("day")).agg(
+    daily = latest_days(events, days).groupBy(F.to_date("timestamp").alias("day")).agg(
         mean(severity_weight(F.col("severity")), 2).alias("avg_severity")
     )
     return daily.orderBy(F.desc("day")).limit(days).orderBy("day")
 
 
-def resolve(events: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply ``resolutions`` (``id, note``).  Returns the new event table and the
-    rejected requests with a ``reason``."""
-    wanted = resolutions.groupBy("id").agg(F.max("note").alias("note"))
-    applies = F.col("note").isNotNull() & (F.col("status") != "RESOLVED")
-    marked = events.join(wanted, "id", "left")
+def resolve(events: DataFrame, resolutions: DataFrame, order: str = "requested_at") -> tuple[DataFrame, DataFrame]:
+    """Apply ``resolutions`` (``id, note`` and the column ``order``).  The first request
+    for an open threat resolves it (the smaller note, if two are first); every other
+    one is rejected.  Returns the new event table and the rejected requests, a row each,
+    with a ``reason``."""
+    # equal requests are counted before they are joined
+    asked = resolutions.groupBy("id", F.col(order).alias("_order"), F.coalesce("note", F.lit("")).alias("note")).agg(F.count("*").alias("n"))
+    first = asked.groupBy("id").agg(F.min(F.struct("_order", "note")).alias("_first"))
+    marked = events.join(first, "id", "left")
+    applies = F.col("_first").isNotNull() & ~F.col("status").eqNullSafe("RESOLVED")
     updated = marked.select(
         *[c for c in events.columns if c not in ("response_action", "status")],
-        F.when(applies, F.concat(F.lit("RESOLVED: "), "note")).otherwise(F.col("response_action")).alias("response_action"),
+        F.when(applies, F.concat(F.lit("RESOLVED: "), "_first.note")).otherwise(F.col("response_action")).alias("response_action"),
         F.when(applies, "RESOLVED").otherwise(F.col("status")).alias("status"),
     ).select(*events.columns)
-    known = wanted.join(events.select("id", "status"), "id", "left")
-    refused = known.where("status IS NULL OR status = 'RESOLVED'").select(
-        "id",
-        F.when(F.col("status").isNull(), "threat event not found").otherwise("threat is already resolved").alias("reason"),
+    mine = F.col("id").eqNullSafe(F.col("_id"))
+    known = asked.join(first.withColumnRenamed("id", "_id"), mine).join(events.select("id", F.coalesce("status", F.lit("")).alias("status")), "id", "left")
+    wins = (F.col("status") != "RESOLVED") & F.struct("_order", "note").eqNullSafe(F.col("_first"))
+    left = F.col("n") - F.when(wins, 1).otherwise(0)
+    reason = F.when(F.col("status").isNull(), "threat event not found").otherwise("threat is already resolved")
+    refused = known.withColumn("_left", left).where("_left > 0").select(
+        "id", "note", reason.alias("reason"), F.explode(F.sequence(F.lit(1), F.col("_left").cast("int")))
     )
-    return updated, refused
+    return updated, refused.drop("col")
 
 
 def catalogue(spark: SparkSession) -> DataFrame:

@@ -124,9 +124,9 @@ counted AS (
          len(list_filter(neg, lambda x: contains(win, x))) AS nn
   FROM windows w JOIN reg USING (idx)),
 scored AS (
-  SELECT k, idx, ent, cat, reg, act, risk, txt, s, e, round(base *
+  SELECT k, idx, ent, cat, reg, act, risk, txt, s, e, round((base *
       CASE WHEN nk >= 2 THEN 1.15::DOUBLE WHEN nk = 1 THEN 1.08::DOUBLE ELSE 0.85::DOUBLE END *
-      CASE WHEN nn > 0 THEN greatest(0.5::DOUBLE, 1 - 0.15::DOUBLE * nn) ELSE 1 END * form, 4) AS raw_conf
+      CASE WHEN nn > 0 THEN greatest(0.5::DOUBLE, 1 - 0.15::DOUBLE * nn) ELSE 1 END * form)::DECIMAL(38, 17), 4)::DOUBLE AS raw_conf
   FROM counted WHERE ent <> 'CREDIT_CARD_PAN' OR {_LUHN}),
 ranked AS (
   SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, raw_conf)) AS conf,

@@ -16,19 +16,23 @@ _AUDIT = sql("audit")
 _ISO = "strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f')"
 
 
-def _chain_sql(events: str, rows: int) -> str:
-    return f"""ev AS (SELECT *, seq // {rows} AS segment, {_ISO} AS iso,
-  row_number() OVER (PARTITION BY seq // {rows} ORDER BY seq) AS rn FROM {events}),
-chain AS (
-  SELECT segment, rn, seq, '{GENESIS_HASH}' AS prev_hash, sha256(event_id || event_type || iso || '{GENESIS_HASH}') AS hash
-  FROM ev WHERE rn = 1
+def _chain_sql(events: str, rows: int = audit.SEGMENT_ROWS, name: str = "chained") -> str:
+    """Events with ``segment, prev_hash, hash``, for tables within one group of segments."""
+    return f"""{name}_ev AS (SELECT *, rn // {rows} AS segment, rn % {rows} AS i FROM
+  (SELECT *, {_ISO} AS iso, row_number() OVER (ORDER BY seq) - 1 AS rn FROM {events})),
+{name}_blocks AS (SELECT segment, count(*) AS n, sha256(string_agg(sha256(event_id || event_type || iso), '' ORDER BY seq)) AS digest
+  FROM {name}_ev GROUP BY segment),
+{name}_starts AS (SELECT 0::BIGINT AS segment, '{GENESIS_HASH}' AS start
+  UNION ALL SELECT s.segment + 1, sha256(start || digest) FROM {name}_starts s JOIN {name}_blocks b USING (segment)),
+{name}_links AS (
+  SELECT segment, i, start AS prev_hash, sha256(event_id || event_type || iso || start) AS hash FROM {name}_ev JOIN {name}_starts USING (segment) WHERE i = 0
   UNION ALL
-  SELECT e.segment, e.rn, e.seq, c.hash, sha256(event_id || event_type || iso || c.hash)
-  FROM chain c JOIN ev e ON e.segment = c.segment AND e.rn = c.rn + 1),
-chained AS (SELECT ev.*, prev_hash, hash FROM ev JOIN chain USING (seq))"""
+  SELECT e.segment, e.i, c.hash, sha256(event_id || event_type || iso || c.hash)
+  FROM {name}_links c JOIN {name}_ev e ON e.segment = c.segment AND e.i = c.i + 1),
+{name} AS (SELECT e.* EXCLUDE (rn, i, iso), prev_hash, hash FROM {name}_ev e JOIN {name}_links USING (segment, i))"""
 
 
-_CHAIN = f"WITH RECURSIVE {_chain_sql(_AUDIT, audit.SEGMENT_ROWS)}"
+_CHAIN = f"WITH RECURSIVE {_chain_sql(_AUDIT)}"
 
 
 def events(spark, sf_dir):
@@ -44,14 +48,55 @@ def _(spark, sf_dir):
     return chained(spark, sf_dir).select("seq", "segment", "prev_hash", "hash")
 
 
+@query("aud_seal_segments", f"{_CHAIN} SELECT segment, n, digest, start FROM chained_blocks JOIN chained_starts USING (segment)")
+def _(spark, sf_dir):
+    return audit.seal_segments(chained(spark, sf_dir))
+
+
+_SPARSE = f"(SELECT * REPLACE (seq * 5000 + seq % 7 AS seq) FROM {_AUDIT})"
+
+
+@query("aud_build_sparse", f"WITH RECURSIVE {_chain_sql(_SPARSE)} SELECT seq, segment, prev_hash, hash FROM chained")
+def _(spark, sf_dir):
+    sparse = events(spark, sf_dir).withColumn("seq", F.expr("seq * 5000 + seq % 7"))
+    return audit.build_chain(sparse).select("seq", "segment", "prev_hash", "hash")
+
+
+# Two thirds are written first; the rest is chained after their seals.
+_CUT = "seq < (SELECT max(event_id) * 2 // 3 FROM events)"
+_APPENDED = f"""WITH RECURSIVE {_chain_sql(f"(SELECT * FROM {_AUDIT} WHERE {_CUT})", name="old")},
+late_ev AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS rn, {_ISO} AS iso FROM {_AUDIT} WHERE NOT ({_CUT})),
+new_ev AS (SELECT *, (SELECT max(segment) + 1 FROM old_blocks) + rn // {audit.SEGMENT_ROWS} AS segment, rn % {audit.SEGMENT_ROWS} AS i FROM late_ev),
+new_blocks AS (SELECT segment, sha256(string_agg(sha256(event_id || event_type || iso), '' ORDER BY seq)) AS digest FROM new_ev GROUP BY segment),
+new_starts AS (SELECT segment, start FROM old_starts WHERE segment > (SELECT max(segment) FROM old_blocks)
+  UNION ALL SELECT s.segment + 1, sha256(start || digest) FROM new_starts s JOIN new_blocks b USING (segment)),
+new_links AS (
+  SELECT segment, i, start AS prev_hash, sha256(event_id || event_type || iso || start) AS hash FROM new_ev JOIN new_starts USING (segment) WHERE i = 0
+  UNION ALL SELECT e.segment, e.i, c.hash, sha256(event_id || event_type || iso || c.hash)
+  FROM new_links c JOIN new_ev e ON e.segment = c.segment AND e.i = c.i + 1)"""
+
+
+def appended(spark, sf_dir):
+    whole = events(spark, sf_dir)
+    cut = whole.agg(F.expr("max(seq) * 2 div 3")).first()[0]
+    old = stage(audit.build_chain(whole.where(F.col("seq") < cut)))
+    return old, audit.build_chain(whole.where(F.col("seq") >= cut), audit.seal_segments(old))
+
+
 @query(
-    "aud_seal_segments",
-    f"{_CHAIN}, heads AS (SELECT segment AS seq, max_by(hash, seq) AS event_id, 'SEAL' AS event_type, max(timestamp) AS timestamp "
-    f"FROM chained GROUP BY segment), seals AS (WITH RECURSIVE {_chain_sql('heads', audit.SEGMENT_ROWS)} SELECT * FROM chained) "
-    "SELECT seq, segment, event_id, prev_hash, hash FROM seals",
+    "aud_append_chain",
+    f"{_APPENDED} SELECT seq, segment, prev_hash, hash FROM old UNION ALL "
+    "SELECT seq, segment, prev_hash, hash FROM new_ev JOIN new_links USING (segment, i)",
 )
 def _(spark, sf_dir):
-    return audit.seal_segments(chained(spark, sf_dir)).select("seq", "segment", "event_id", "prev_hash", "hash")
+    old, new = appended(spark, sf_dir)
+    return old.unionByName(new).select("seq", "segment", "prev_hash", "hash")
+
+
+@query("aud_verify_appended", f"SELECT true AS verified, count(*) AS total_events, 0 AS broken_links FROM {_AUDIT}")
+def _(spark, sf_dir):
+    old, new = appended(spark, sf_dir)
+    return audit.verify(audit.check_links(stage(old.unionByName(new)))).select("verified", "total_events", "broken_links")
 
 
 # Some hashes and some event types are changed after the chain was built.
@@ -62,7 +107,7 @@ _TAMPERED = (
 
 
 def tampered(spark, sf_dir):
-    return chained(spark, sf_dir).withColumns(
+    return stage(chained(spark, sf_dir)).withColumns(
         {
             "hash": F.when(F.col("seq") % 997 == 5, F.reverse("hash")).otherwise(F.col("hash")),
             "event_type": F.when(F.col("seq") % 1499 == 7, "FORGED").otherwise(F.col("event_type")),
@@ -70,13 +115,16 @@ def tampered(spark, sf_dir):
     )
 
 
-def _checked_sql(by_segment: bool) -> str:
-    lag = "lag(hash) OVER (PARTITION BY segment ORDER BY seq)" if by_segment else "lag(hash) OVER (ORDER BY seq)"
-    first = f"coalesce({lag}, '{GENESIS_HASH}')" if by_segment else lag
-    return (
-        f"{_CHAIN}, bad AS ({_TAMPERED}), checked AS (SELECT *, coalesce(prev_hash = expected, true) AS link_ok, "
-        f"sha256(event_id || event_type || iso || prev_hash) = hash AS hash_ok FROM (SELECT *, {first} AS expected FROM bad))"
-    )
+def _checked_sql(bad: str) -> str:
+    """``checked``: the rows of ``bad`` with ``expected, link_ok, hash_ok``."""
+    return f"""{_CHAIN}, bad AS ({bad}),
+found AS (SELECT segment, sha256(string_agg(sha256(event_id || event_type || {_ISO}), '' ORDER BY seq)) AS digest, min_by(prev_hash, seq) AS start
+  FROM bad GROUP BY segment),
+wanted AS (SELECT segment, CASE WHEN segment = 0 THEN '{GENESIS_HASH}' WHEN lag(segment) OVER w = segment - 1
+  THEN sha256(lag(start) OVER w || lag(digest) OVER w) END AS start FROM found WINDOW w AS (ORDER BY segment)),
+linked AS (SELECT bad.*, CASE WHEN row_number() OVER w = 1 THEN wanted.start ELSE lag(hash) OVER w END AS expected
+  FROM bad JOIN wanted USING (segment) WINDOW w AS (PARTITION BY segment ORDER BY seq)),
+checked AS (SELECT *, coalesce(prev_hash = expected, false) AS link_ok, sha256(event_id || event_type || {_ISO} || prev_hash) = hash AS hash_ok FROM linked)"""
 
 
 _VERIFY = (
@@ -85,25 +133,55 @@ _VERIFY = (
 )
 
 
-@query("aud_verify", f"{_checked_sql(True)} {_VERIFY}")
+@query("aud_verify", f"{_checked_sql(_TAMPERED)} {_VERIFY}")
+def _(spark, sf_dir):
+    return audit.verify(audit.check_links(tampered(spark, sf_dir)))
+
+
+@query(
+    "aud_verify_single_chain",
+    f"SELECT true AS verified, count(*) AS total_events, 0 AS broken_links, 0 AS wrong_hashes, "
+    f"min_by(event_id, seq) AS first_event, max_by(event_id, seq) AS last_event FROM {_AUDIT}",
+)
 def _(spark, sf_dir):
-    return audit.verify(audit.check_links(tampered(spark, sf_dir), by_segment=True))
+    return audit.verify(audit.check_links(stage(chained(spark, sf_dir))))
+
+
+_GUTTED = "SELECT * FROM chained WHERE segment <> 1"
 
 
-@query("aud_verify_single_chain", f"{_checked_sql(False)} {_VERIFY}")
+@query("aud_verify_gutted", f"{_checked_sql(_GUTTED)} {_VERIFY}")
 def _(spark, sf_dir):
-    return audit.verify(audit.check_links(tampered(spark, sf_dir), width=256))
+    return audit.verify(audit.check_links(stage(chained(spark, sf_dir)).where("segment <> 1")))
 
 
-@query("aud_verify_intact", f"{_CHAIN} SELECT true AS verified, count(*) AS total_events, 0 AS broken_links FROM chained")
+@query(
+    "aud_changed_segments",
+    f"{_checked_sql('SELECT * FROM chained WHERE segment NOT IN (0, (SELECT max(segment) FROM chained)) AND seq % 2003 <> 1500')}, "
+    "there AS (SELECT segment, count(*) AS found, min(found.digest) AS digest, min(found.start) AS start FROM bad JOIN found USING (segment) GROUP BY 1) "
+    "SELECT segment, n, coalesce(t.found, 0) AS found, CASE WHEN t.digest IS NULL THEN 'missing' ELSE 'changed' END AS state "
+    "FROM chained_blocks b JOIN chained_starts s USING (segment) LEFT JOIN there t USING (segment) "
+    "WHERE t.digest IS DISTINCT FROM b.digest OR t.start IS DISTINCT FROM s.start",
+)
+def _(spark, sf_dir):
+    whole = stage(chained(spark, sf_dir))
+    last = whole.agg(F.max("segment")).first()[0]
+    cut = whole.where((F.col("segment") != 0) & (F.col("segment") != F.lit(last)) & (F.col("seq") % 2003 != 1500))
+    return audit.changed_segments(cut, audit.seal_segments(whole))
+
+
+# Without its segments the table reads as a plain chain, which every border breaks.
+@query(
+    "aud_verify_plain",
+    f"{_CHAIN}, checked AS (SELECT *, coalesce(prev_hash = lag(hash) OVER (ORDER BY seq), true) AS link_ok, true AS hash_ok FROM chained) {_VERIFY}",
+)
 def _(spark, sf_dir):
-    whole = audit.verify(audit.check_links(chained(spark, sf_dir), by_segment=True))
-    return whole.select("verified", "total_events", "broken_links")
+    return audit.verify(audit.check_links(chained(spark, sf_dir).drop("segment"), width=256))
 
 
 @query(
     "aud_broken_links",
-    f"{_checked_sql(False)} SELECT seq, event_id, expected AS expected_prev_hash, prev_hash AS actual_prev_hash FROM checked WHERE NOT link_ok",
+    f"{_checked_sql(_TAMPERED)} SELECT seq, event_id, expected AS expected_prev_hash, prev_hash AS actual_prev_hash FROM checked WHERE NOT link_ok",
 )
 def _(spark, sf_dir):
     return audit.broken_links(audit.check_links(tampered(spark, sf_dir)))
@@ -111,18 +189,17 @@ def _(spark, sf_dir):
 
 @query(
     "aud_neighbours",
-    f"{_CHAIN} SELECT e.seq, e.hash, p.hash AS prev_event_hash, n.hash AS next_event_hash FROM chained e "
-    f"LEFT JOIN chained p ON p.hash = e.prev_hash AND e.prev_hash <> '{GENESIS_HASH}' LEFT JOIN chained n ON n.prev_hash = e.hash",
+    f"{_CHAIN} SELECT seq, hash, lag(hash) OVER (ORDER BY seq) AS prev_event_hash, lead(hash) OVER (ORDER BY seq) AS next_event_hash FROM chained",
 )
 def _(spark, sf_dir):
-    kept = stage(chained(spark, sf_dir).select("seq", "hash", "prev_hash"))
+    kept = stage(chained(spark, sf_dir).select("seq", "segment", "hash", "prev_hash"))
     return audit.with_neighbours(kept).select("seq", "hash", "prev_event_hash", "next_event_hash")
 
 
 @query(
     "aud_list",
     f"SELECT seq, event_type, agent_id, {shown_sql('timestamp')} AS at FROM {_AUDIT} WHERE policy_id = 'pol-2' AND {_PERIOD} "
-    "AND contains(entities_json, '\"EMAIL\"') ORDER BY timestamp DESC, seq DESC LIMIT 50 OFFSET 5",
+    "AND seq % 5 = 1 ORDER BY timestamp DESC, seq DESC LIMIT 50 OFFSET 5",
 )
 def _(spark, sf_dir):
     page = audit.list_events(

@@ -30,8 +30,8 @@ _ASKED = {
 _EXCEPTIONS = {
     "policy_id": "concat('pol-', CAST(l_orderkey AS STRING))",
     "pos": "(l_partkey * 10 + l_linenumber) * 100000 + l_suppkey",
-    "agent_id": f"CASE WHEN l_linenumber % 2 = 0 THEN concat('agent-', CAST((l_suppkey + l_orderkey % 3) % {AGENTS} AS STRING)) END",
-    "agent_role": f"CASE WHEN l_linenumber % 2 = 1 THEN {_case('l_partkey % 5', ROLES)} END",
+    "agent_id": f"CASE WHEN l_discount >= 0.03 THEN 'nobody' WHEN l_linenumber % 2 = 0 THEN concat('agent-', CAST((l_suppkey + l_orderkey % 3) % {AGENTS} AS STRING)) END",
+    "agent_role": f"CASE WHEN l_discount < 0.03 AND l_linenumber % 2 = 1 THEN {_case('l_partkey % 5', ROLES)} END",
     "entity_type": _case("(l_suppkey + l_linenumber) % 12", (*VAULT_TYPES, "BADGE_ID")),
     "action": "CASE WHEN l_suppkey % 2 = 0 THEN 'PASS' ELSE 'MASK' END",
 }
@@ -56,7 +56,7 @@ def asked(spark, sf_dir):
 
 
 def exceptions(spark, sf_dir):
-    rows = _lineitem(spark, sf_dir).where("l_discount < 0.03").selectExpr(*_select(_EXCEPTIONS))
+    rows = _lineitem(spark, sf_dir).selectExpr(*_select(_EXCEPTIONS))
     return rows.withColumn("entity_types", F.array("entity_type")).drop("entity_type")
 
 
@@ -76,7 +76,7 @@ _STRICT = f"(VALUES {_values(STRICTNESS)}) strictness(act, n)"
 
 _DECIDE = f"""WITH asked AS (SELECT row_number() OVER () AS rid, {', '.join(_select(_ASKED))} FROM lineitem),
 rules AS {sql('rules')},
-exc AS (SELECT {', '.join(_select(_EXCEPTIONS))} FROM lineitem WHERE l_discount < 0.03),
+exc AS (SELECT {', '.join(_select(_EXCEPTIONS))} FROM lineitem),
 ruled AS (
   SELECT rid, max_by(r.action, (r.pos, r.action)) AS action FROM asked a
   JOIN rules r ON r.policy_id = a.policy_id AND r.entity_type = a.entity_type
@@ -176,12 +176,12 @@ def _(spark, sf_dir):
 
 @query(
     "pol_conflicts",
-    f"""WITH v AS (SELECT policy_id, entity_type, action, role, min(pos) AS first_pos, count(*) AS n
+    f"""WITH v AS (SELECT policy_id, entity_type, action, role, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n
   FROM {sql('rules')} GROUP BY ALL)
-SELECT a.policy_id, a.entity_type, a.first_pos AS pos_a, a.action AS action_a, b.first_pos AS pos_b, b.action AS action_b,
-  a.n * b.n AS rule_pairs, a.entity_type || ': conflicting actions ' || a.action || ' vs ' || b.action ||
+SELECT a.policy_id, a.entity_type, a.first_pos AS pos_a, a.action AS action_a, CASE WHEN b.first_pos > a.first_pos THEN b.first_pos ELSE b.last_pos END AS pos_b,
+  b.action AS action_b, a.n * b.n AS rule_pairs, a.entity_type || ': conflicting actions ' || a.action || ' vs ' || b.action ||
   CASE WHEN a.role = b.role THEN ' for overlapping roles ' || a.role ELSE '' END AS description
-FROM v a JOIN v b ON a.policy_id = b.policy_id AND a.entity_type = b.entity_type AND a.first_pos < b.first_pos
+FROM v a JOIN v b ON a.policy_id = b.policy_id AND a.entity_type = b.entity_type AND a.first_pos < b.last_pos
  AND a.action <> b.action AND (a.role IS NULL OR b.role IS NULL OR a.role = b.role)""",
 )
 def _(spark, sf_dir):
@@ -283,10 +283,10 @@ _CHANGED = "CASE WHEN pos % 7 = 0 THEN 'BLOCK' ELSE action END"
 
 @query(
     "pol_diff",
-    f"""WITH o AS (SELECT policy_id, entity_type, max_by((action, role, classification), (pos, action)) AS v FROM {sql('rules')}
-  WHERE pos % 10 <> 3 GROUP BY ALL),
+    f"""WITH o AS (SELECT policy_id, entity_type, max_by((action, role, classification), (pos, action)) AS v FROM
+  (SELECT * REPLACE (CASE WHEN pos % 10 = 3 THEN 'OLD_' || entity_type ELSE entity_type END AS entity_type) FROM {sql('rules')}) GROUP BY ALL),
 n AS (SELECT policy_id, entity_type, max_by(({_CHANGED}, CASE WHEN pos % 11 <> 0 THEN role END, classification), (pos, action)) AS v
-  FROM {sql('rules')} WHERE pos % 10 <> 4 GROUP BY ALL),
+  FROM (SELECT * REPLACE (CASE WHEN pos % 10 = 4 THEN 'NEW_' || entity_type ELSE entity_type END AS entity_type) FROM {sql('rules')}) GROUP BY ALL),
 b AS (SELECT coalesce(o.policy_id, n.policy_id) AS policy_id, coalesce(o.entity_type, n.entity_type) AS entity_type,
   o.v IS NULL AS is_new, n.v IS NULL AS is_gone, o.v[1] AS a0, n.v[1] AS a1, '["' || o.v[2] || '"]' AS r0, '["' || n.v[2] || '"]' AS r1,
   o.v[3] AS c0, n.v[3] AS c1
@@ -301,10 +301,12 @@ UNION ALL SELECT policy_id, entity_type, 'classification', c0, c1, 'MODIFIED' FR
 )
 def _(spark, sf_dir):
     base = rules(spark, sf_dir)
-    new = base.where("pos % 10 <> 4").withColumns(
-        {"action": F.expr(_CHANGED), "roles": F.when(F.col("pos") % 11 != 0, F.col("roles"))}
+    renamed = F.when(F.col("pos") % 10 == 4, F.concat(F.lit("NEW_"), "entity_type")).otherwise(F.col("entity_type"))
+    new = base.withColumns(
+        {"entity_type": renamed, "action": F.expr(_CHANGED), "roles": F.when(F.col("pos") % 11 != 0, F.col("roles"))}
     )
-    return policy.diff(base.where("pos % 10 <> 3"), new)
+    gone = F.when(F.col("pos") % 10 == 3, F.concat(F.lit("OLD_"), "entity_type")).otherwise(F.col("entity_type"))
+    return policy.diff(base.withColumn("entity_type", gone), new)
 
 
 _OLD_DOC = "concat('{\"version\": \"1.', CAST(o_custkey % 3 AS STRING), '\", \"retention_days\": 30, \"audit\": true}')"

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.functions import masking
-from veilframe.functions.constants import PSEUDONYM_NUMBERS, PSEUDONYM_POOLS, VAULT_TYPES
-from veilframe.operators import protect
+from veilframe.functions.constants import (
+    PSEUDONYM_NUMBERS,
+    PSEUDONYM_POOLS,
+    SYNTHETIC_DOMAINS,
+    SYNTHETIC_FIRST_NAMES,
+    SYNTHETIC_LAST_NAMES,
+    VAULT_TYPES,
+)
+from veilframe.operators import detect, protect
 from veilframe.plans.catalog import query, shown_map
 from veilframe.plans.derived import NOW, now, sql, table
 from veilframe.plans.detection_sql import entities_cte, quote, spliced
-from veilframe.plans.q_detect import ENTS, detected, payloads
+from veilframe.plans.q_detect import ENTS, SAMPLED, detected, payloads, sampled
 from veilframe.sources.staging import stage
 
 _SESSIONS = sql("vault_sessions")
@@ -36,11 +43,43 @@ def _pseudonym_sql() -> str:
     )
 
 
+def _pick_sql(words, number: str) -> str:
+    return f"([{', '.join(map(quote, words))}])[{number} + 1]"
+
+
+def _synthetic_sql(seed: str, place: str) -> str:
+    def draw(n: int, low: int, high: int) -> str:
+        return f"((SELECT ({_modulo(high - low + 1)})::BIGINT FROM (SELECT sha256(concat_ws(':', {seed}, {place}, '{n}')) AS h)) + {low})"
+
+    def form(*parts) -> str:
+        return " || ".join(quote(p) if isinstance(p, str) else draw(*p) for p in parts)
+
+    forms = {
+        "PERSON_NAME": _pick_sql(SYNTHETIC_FIRST_NAMES, draw(1, 0, len(SYNTHETIC_FIRST_NAMES) - 1))
+        + " || ' ' || "
+        + _pick_sql(SYNTHETIC_LAST_NAMES, draw(2, 0, len(SYNTHETIC_LAST_NAMES) - 1)),
+        "EMAIL": form("user", (1, 1000, 9999), "@") + " || " + _pick_sql(SYNTHETIC_DOMAINS, draw(2, 0, len(SYNTHETIC_DOMAINS) - 1)),
+        "PHONE": form("(", (1, 200, 999), ") ", (2, 100, 999), "-", (3, 1000, 9999)),
+        "SSN": form((1, 100, 999), "-", (2, 10, 99), "-", (3, 1000, 9999)),
+        "CREDIT_CARD": form((1, 4000, 4999), "-", (2, 1000, 9999), "-", (3, 1000, 9999), "-", (4, 1000, 9999)),
+        "IP_ADDRESS": form((1, 10, 192), ".", (2, 0, 255), ".", (3, 0, 255), ".", (4, 1, 254)),
+        "IBAN": form("XX", (1, 10, 99), "BANK", (2, 10_000_000, 99_999_999)),
+        "API_KEY": f"'sk-fake-' || substr(sha256(concat_ws(':', {seed}, {place})), 1, 16)",
+        "DATE": f"'2025-' || lpad({draw(1, 1, 12)}::VARCHAR, 2, '0') || '-' || lpad({draw(2, 1, 28)}::VARCHAR, 2, '0')",
+        "PASSPORT": form("X", (1, 10_000_000, 99_999_999)),
+        "DRIVERS_LICENSE": form("D", (1, 1000, 9999), " ", (2, 1000, 9999), " ", (3, 10_000, 99_999)),
+    }
+    return "CASE x.ent " + " ".join(f"WHEN {quote(t)} THEN {f}" for t, f in forms.items()) + " ELSE '[SYNTH_' || x.ent || ']' END"
+
+
 _GENERALIZED = (
     "CASE x.ent WHEN 'DRIVERS_LICENSE' THEN '[DRIVERS_LICENSE_GENERALIZED]' WHEN 'SSN' THEN '[SSN_GENERALIZED]' "
     "WHEN 'PHONE' THEN '(***) ***-' || right(x.txt, 4) WHEN 'EMAIL' THEN '***@' || split_part(x.txt, '@', 2) "
     "WHEN 'IP_ADDRESS' THEN split_part(x.txt, '.', 1) || '.' || split_part(x.txt, '.', 2) || '.0.0/16' "
     "WHEN 'IBAN' THEN left(x.txt, 4) || '****' || right(x.txt, 4) WHEN 'API_KEY' THEN left(x.txt, 4) || '...' "
+    "WHEN 'PERSON_NAME' THEN '[PERSON]' WHEN 'CREDIT_CARD' THEN '****-****-****-' || right(x.txt, 4) "
+    "WHEN 'DATE' THEN CASE WHEN contains(x.txt, '-') THEN split_part(x.txt, '-', 1) || '/' || split_part(x.txt, '-', 2) || ' (month)' "
+    "WHEN contains(x.txt, '/') THEN split_part(x.txt, '/', 1) || '/' || split_part(x.txt, '/', 1) || ' (month)' ELSE '[DATE_RANGE]' END "
     "ELSE '[' || x.ent || '_GENERALIZED]' END"
 )
 _ENCODED = (
@@ -53,6 +92,7 @@ _SQL = {
     "PSEUDONYMIZE": (_pseudonym_sql(), _JOIN),
     "GENERALIZE": (_GENERALIZED, ""),
     "ENCRYPT": (_ENCODED, _JOIN),
+    "SYNTHESIZE": (_synthetic_sql("'0:' || x.k", "x.s"), ""),
     "TOKENIZE": ("'<<' || x.ent || '_' || n.number || '>>'", _TOKEN_JOIN),
 }
 
@@ -97,9 +137,36 @@ for _mode in _SQL:
         return _flat(entries(spark, sf_dir, mode))
 
 
-@query("vlt_synthesize")
+# A value of each vault type, in the form it usually has.
+_VALUE = (
+    "CASE entity_type WHEN 'SSN' THEN concat('512-44-', right(CAST(10000 + id % 10000 AS STRING), 4)) "
+    "WHEN 'EMAIL' THEN concat('user', CAST(id % 100 AS STRING), '@harbor.example') WHEN 'PHONE' THEN concat('312-555-', right(CAST(10000 + id % 10000 AS STRING), 4)) "
+    "WHEN 'CREDIT_CARD' THEN concat('4539 1488 0343 ', right(CAST(10000 + id % 10000 AS STRING), 4)) "
+    "WHEN 'IP_ADDRESS' THEN concat('10.', CAST(id % 200 AS STRING), '.7.1') WHEN 'PERSON_NAME' THEN concat('Person ', CAST(id % 50 AS STRING)) "
+    "WHEN 'IBAN' THEN concat('GB29NWBK', CAST(100000 + id % 1000 AS STRING)) WHEN 'API_KEY' THEN concat('sk-', CAST(id AS STRING), 'abcd') "
+    "WHEN 'DATE' THEN CASE id % 3 WHEN 0 THEN concat('2024-0', CAST(id % 9 + 1 AS STRING), '-11') WHEN 1 THEN '07/23/1968' ELSE 'in May' END "
+    "ELSE concat('value-', CAST(id AS STRING)) END"
+)
+
+
+@query(
+    "vlt_values_by_type",
+    f"""SELECT k AS id, ent AS entity_type, {_pseudonym_sql().replace(_SID, "'vs_' || k % 5")} AS pseudonym, {_GENERALIZED} AS generalized,
+  {_synthetic_sql("'7:' || x.k", "x.s")} AS synthetic
+FROM (SELECT id AS k, session_id AS s, entity_type AS ent, {_VALUE} AS txt FROM {sql('entities')}) x""",
+)
 def _(spark, sf_dir):
-    return _flat(entries(spark, sf_dir, "SYNTHESIZE"))
+    x = table(spark, sf_dir, "entities").withColumn("value", F.expr(_VALUE))
+    kind, value = F.col("entity_type"), F.col("value")
+    session = F.concat(F.lit("vs_"), (F.col("id") % 5).cast("string"))
+    seed = F.concat(F.lit("7:"), F.col("id").cast("string"))
+    return x.select(
+        "id",
+        "entity_type",
+        masking.pseudonym(session, kind, value).alias("pseudonym"),
+        masking.generalize(kind, value).alias("generalized"),
+        masking.synthesize(kind, seed, F.col("session_id")).alias("synthetic"),
+    )
 
 
 @query(
@@ -128,6 +195,92 @@ def _(spark, sf_dir):
 
 
 _EXPIRED = f"TIMESTAMP '{NOW}' > created_at + to_seconds(ttl_seconds)"
+_OPEN = f"(SELECT t.* FROM {SAMPLED} t JOIN {_SESSIONS} s ON s.session_id = {_SID} WHERE NOT ({_EXPIRED}))"
+_PROTECTED = spliced("'<<' || x.ent || '_' || n.number || '>>'", entities_cte(_OPEN, "doc_id", "text"), _TOKEN_JOIN)
+
+
+def _protected(spark, sf_dir, mode="TOKENIZE"):
+    """Documents with samples, of which those in expired sessions are rejected."""
+    return protect.protect_texts(sampled(spark, sf_dir), sessions(spark, sf_dir), now(), mode)
+
+
+@query(
+    "vlt_protect_texts",
+    f"SELECT k AS doc_id, {_SID} AS session_id, {_ref_sql('TOKENIZE')} AS vault_ref, sanitized AS sanitized_text, pairs AS mappings, 'TOKENIZE' AS mode "
+    f"FROM ({_PROTECTED}) JOIN documents ON doc_id = k",
+)
+def _(spark, sf_dir):
+    return _flat(_protected(spark, sf_dir).entries)
+
+
+@query(
+    "vlt_protect_synthetic",
+    f"SELECT k AS doc_id, {_SID} AS session_id, sanitized AS sanitized_text FROM "
+    f"({spliced(_synthetic_sql(chr(39) + '0:' + chr(39) + ' || x.k', 'x.s'), entities_cte(_OPEN, 'doc_id', 'text'))}) JOIN documents ON doc_id = k",
+)
+def _(spark, sf_dir):
+    return _protected(spark, sf_dir, "synthesize").entries.select("doc_id", "session_id", "sanitized_text")
+
+
+@query(
+    "vlt_protect_entities",
+    f"{entities_cte(_OPEN, 'doc_id', 'text')} SELECT k AS doc_id, {_SID} AS session_id, s AS start, ent AS entity_type, txt AS original_text, "
+    "conf AS confidence, '<<' || ent || '_' || row_number() OVER (PARTITION BY source, ent ORDER BY k, s DESC) || '>>' AS token, 'TOKENIZE' AS action, "
+    "true AS own_id FROM ents JOIN documents ON doc_id = k",
+)
+def _(spark, sf_dir):
+    rows = stage(_protected(spark, sf_dir).entities)
+    own = rows.groupBy("id").agg(F.count("*").alias("n"))
+    return rows.join(own, "id").select(
+        "doc_id", "session_id", "start", "entity_type", "original_text", "confidence", "token", "action", (F.col("n") == 1).alias("own_id")
+    )
+
+
+@query(
+    "vlt_protect_counts",
+    f"{entities_cte(_OPEN, 'doc_id', 'text')}, n AS (SELECT k, count(*) AS n FROM ents GROUP BY k) SELECT s.session_id, s.agent_id, s.policy_id, "
+    f"count(*) AS texts, coalesce(sum(n), 0)::BIGINT AS entities_protected FROM {_OPEN} o LEFT JOIN n ON k = doc_id "
+    f"JOIN {_SESSIONS} s ON s.session_id = {_SID} GROUP BY ALL",
+)
+def _(spark, sf_dir):
+    return _protected(spark, sf_dir).counts
+
+
+@query(
+    "vlt_protect_rejected",
+    f"SELECT doc_id, s.session_id, 'session has expired' AS reason FROM {_DOCS} JOIN {_SESSIONS} s USING (session_id) WHERE {_EXPIRED}",
+)
+def _(spark, sf_dir):
+    return _protected(spark, sf_dir, "REDACT").rejected.select("doc_id", "session_id", "reason")
+
+
+@query(
+    "vlt_tokenize_simple",
+    "SELECT k AS doc_id, 'vs_' || substr(sha256(k::VARCHAR), 1, 32) AS session_id, sanitized AS sanitized_text, pairs AS mappings FROM ("
+    + spliced(
+        "'<<' || x.ent || '_' || (SELECT count(*) FROM ents y WHERE y.k = x.k AND y.ent = x.ent AND y.s >= x.s) || '>>'", entities_cte(SAMPLED)
+    )
+    + ")",
+)
+def _(spark, sf_dir):
+    simple = protect.tokenize_simple(detect.detect_entities(sampled(spark, sf_dir)))
+    return simple.select("doc_id", "session_id", "sanitized_text", shown_map("mappings").alias("mappings"))
+
+
+@query(
+    "vlt_create_sessions",
+    f"SELECT 'vs_' || substr(sha256('session|' || o_orderkey || '|{NOW}'), 1, 32) AS session_id, o_clerk AS agent_id, o_orderpriority AS policy_id, "
+    f"CASE WHEN o_orderkey % 3 = 0 THEN 1800 ELSE (o_orderkey % 7200)::INT END AS ttl_seconds FROM "
+    "(SELECT o_orderkey, 'agent-' || o_custkey AS o_clerk, o_orderpriority FROM orders)",
+)
+def _(spark, sf_dir):
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey AS request_id", "concat('agent-', o_custkey) AS agent_id", "o_orderpriority AS policy_id",
+        "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 7200 END AS ttl_seconds",
+    )
+    return protect.create_vault_sessions(asked, now()).drop("created_at")
+
+
 _WANTED = "(SELECT CASE WHEN doc_id % 3 = 0 THEN 'vlt_none' ELSE " + _ref_sql("GENERALIZE") + " END AS vault_ref, doc_id FROM documents)"
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from veilframe.functions.constants import CATEGORIES, CONTROLS, FRAMEWORKS, REQUIRED_TYPES, VAULT_TYPES
-from veilframe.operators import compliance, dashboard, sessions
+from veilframe.operators import audit, compliance, dashboard, sessions
 from veilframe.plans.catalog import joined, mean_sql, query, shown, shown_sql
 from veilframe.plans.derived import sql, table
 from veilframe.plans.detection_sql import quote
@@ -85,22 +85,29 @@ def _(spark, sf_dir):
     )
 
 
-# Requests name some sessions that do not exist and some extensions that are too long.
-_EXTEND = "(SELECT o_orderkey + CASE WHEN o_custkey % 13 = 0 THEN 1000000000 ELSE 0 END AS session_id, o_custkey % 200 AS hours FROM orders WHERE o_orderkey % 3 = 0)"
-_OK = "hours BETWEEN 1 AND 168 AND status <> 'PURGED'"
+# Requests name some sessions that do not exist and some extensions that are too long; some sessions
+# are asked for several times, also with the same hours.
+_EXTEND = """(SELECT o_orderkey + CASE WHEN o_custkey % 13 = 0 THEN 1000000000 ELSE 0 END AS session_id, unnest(CASE o_orderkey % 4
+  WHEN 0 THEN [o_custkey % 200] WHEN 1 THEN [10, o_custkey % 200, 200] WHEN 2 THEN [5, 5, o_custkey % 200] ELSE [NULL, 24] END) AS hours
+  FROM orders)"""
+_IN_RANGE = "coalesce(hours BETWEEN 1 AND 168, false)"
+_ADDED = f"(SELECT session_id, sum(hours)::BIGINT AS added FROM {_EXTEND} WHERE {_IN_RANGE} GROUP BY 1)"
+_EXTENDED = "added IS NOT NULL AND status <> 'PURGED'"
 
 
 def _extend(spark, sf_dir):
-    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0").selectExpr(
-        "o_orderkey + CASE WHEN o_custkey % 13 = 0 THEN 1000000000 ELSE 0 END AS session_id", "CAST(o_custkey % 200 AS INT) AS hours"
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey + CASE WHEN o_custkey % 13 = 0 THEN 1000000000 ELSE 0 END AS session_id",
+        "explode(CASE o_orderkey % 4 WHEN 0 THEN array(CAST(o_custkey % 200 AS INT)) WHEN 1 THEN array(10, CAST(o_custkey % 200 AS INT), 200) "
+        "WHEN 2 THEN array(5, 5, CAST(o_custkey % 200 AS INT)) ELSE array(NULL, 24) END) AS hours",
     )
     return sessions.extend_sessions(table(spark, sf_dir, "sessions"), asked, F.to_timestamp(F.lit(_CREATED)))
 
 
 @query(
     "ses_extend",
-    f"SELECT id, CASE WHEN hours IS NOT NULL AND {_OK} THEN {shown_sql('expires_at + to_hours(hours)')} ELSE {shown_sql('expires_at')} END AS expires, "
-    f"CASE WHEN hours IS NOT NULL AND {_OK} THEN 'ACTIVE' ELSE status END AS status FROM {_S} LEFT JOIN {_EXTEND} ON session_id = id",
+    f"SELECT id, CASE WHEN {_EXTENDED} THEN {shown_sql('expires_at + to_hours(added)')} ELSE {shown_sql('expires_at')} END AS expires, "
+    f"CASE WHEN {_EXTENDED} THEN 'ACTIVE' ELSE status END AS status FROM {_S} LEFT JOIN {_ADDED} ON session_id = id",
 )
 def _(spark, sf_dir):
     return _extend(spark, sf_dir)[0].select("id", shown("expires_at").alias("expires"), "status")
@@ -108,23 +115,39 @@ def _(spark, sf_dir):
 
 @query(
     "ses_extend_events",
-    f"SELECT session_id, 'SESSION_EXTEND' AS event_type, agent_id, '{{\"hours_added\":' || hours || '}}' AS entities_json "
-    f"FROM {_S} JOIN {_EXTEND} ON session_id = id WHERE {_OK}",
+    f"SELECT session_id, 'SESSION_EXTEND' AS event_type, agent_id, '{{\"hours_added\":' || hours || '}}' AS entities_json, true AS own_id "
+    f"FROM {_S} JOIN {_EXTEND} ON session_id = id WHERE {_IN_RANGE} AND status <> 'PURGED'",
 )
 def _(spark, sf_dir):
-    return _extend(spark, sf_dir)[1].select("session_id", "event_type", "agent_id", "entities_json")
+    events = _extend(spark, sf_dir)[1]
+    own = events.groupBy("event_id").agg(F.count("*").alias("n"))
+    return events.join(own, "event_id").select("session_id", "event_type", "agent_id", "entities_json", (F.col("n") == 1).alias("own_id"))
 
 
 @query(
     "ses_extend_rejected",
-    f"SELECT session_id, CASE WHEN id IS NULL THEN 'session not found' WHEN status = 'PURGED' THEN 'cannot extend a purged session' "
+    f"SELECT session_id, hours, CASE WHEN id IS NULL THEN 'session not found' WHEN status = 'PURGED' THEN 'cannot extend a purged session' "
     f"ELSE 'hours must be between 1 and 168' END AS reason FROM {_EXTEND} LEFT JOIN {_S} ON session_id = id "
-    f"WHERE id IS NULL OR NOT ({_OK})",
+    f"WHERE id IS NULL OR status = 'PURGED' OR NOT {_IN_RANGE}",
 )
 def _(spark, sf_dir):
     return _extend(spark, sf_dir)[2]
 
 
+@query(
+    "ses_extend_chained",
+    f"SELECT count(*) AS total_events, true AS verified, 0 AS broken_links FROM (SELECT session_id FROM {_S} JOIN {_EXTEND} ON session_id = id "
+    f"WHERE {_IN_RANGE} AND status <> 'PURGED' UNION ALL SELECT event_id FROM events)",
+)
+def _(spark, sf_dir):
+    """The events of extensions, chained after the audit trail."""
+    trail = stage(audit.build_chain(table(spark, sf_dir, "audit").select("seq", "event_id", "event_type", "timestamp")))
+    events = _extend(spark, sf_dir)[1].select("event_id", "event_type", "timestamp")
+    new = audit.number_events(events, trail.agg(F.max("seq")).first()[0])
+    whole = stage(trail.unionByName(audit.build_chain(new, audit.seal_segments(trail))))
+    return audit.verify(audit.check_links(whole)).select("total_events", "verified", "broken_links")
+
+
 _PURGE = "(SELECT DISTINCT o_orderkey + CASE WHEN o_custkey % 13 = 0 THEN 1000000000 ELSE 0 END AS session_id FROM orders WHERE o_orderkey % 4 = 0)"
 
 
@@ -166,9 +189,9 @@ def _(spark, sf_dir):
     return _purge(spark, sf_dir)[3]
 
 
-# -- compliance: the entities seen are those whose part number says so, so that some types stay unseen
+# -- compliance: two types are seen as a third, so that some types stay unseen
 
-_SEEN = f"(SELECT * FROM {_E} WHERE entity_type NOT IN ('DATE', 'IBAN') OR confidence > 2)"
+_SEEN = f"(SELECT * REPLACE (CASE WHEN entity_type IN ('DATE', 'IBAN') THEN 'PASSPORT' ELSE entity_type END AS entity_type) FROM {_E})"
 _FACTS = f"""facts AS (SELECT (SELECT list(DISTINCT entity_type) FROM {_SEEN}) AS types,
   (SELECT count(*) FROM {_SEEN} WHERE action = 'TOKENIZE') AS tokenized, (SELECT count(*) FROM {_SEEN}) AS entities,
   (SELECT count(*) FROM {_A}) AS events, (SELECT count(*) FROM {_S} WHERE status = 'PURGED') AS purged)"""
@@ -199,7 +222,7 @@ frames AS (SELECT f.code, f.category, f.controls_total, r.controls_passing, CASE
 
 def assessed(spark, sf_dir):
     entities, events, scans = tables(spark, sf_dir, "entities", "audit", "sessions")
-    seen = entities.where("entity_type NOT IN ('DATE', 'IBAN')")
+    seen = entities.replace(["DATE", "IBAN"], "PASSPORT", ["entity_type"])
     facts = compliance.facts(seen, events, scans, listed(spark, sf_dir))
     return compliance.assess_controls(compliance.controls(spark), facts)
 
@@ -248,21 +271,25 @@ _RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' T
 
 @query(
     "cmp_gaps",
-    f"{_ASSESSED} SELECT framework_code, control_id, name, severity FROM assessed WHERE status = 'FAIL' "
+    f"{_ASSESSED} SELECT framework_code, control_id, name, severity, 'see ' || control_id AS remediation_hint FROM assessed WHERE status = 'FAIL' "
     f"ORDER BY {_RANK} NULLS FIRST, control_id LIMIT 10",
 )
 def _(spark, sf_dir):
-    return compliance.gaps(assessed(spark, sf_dir), 10)
+    hinted = assessed(spark, sf_dir).withColumn("remediation_hint", F.concat(F.lit("see "), "control_id"))
+    return compliance.gaps(hinted, 10)
 
 
 @query(
     "cmp_report",
-    f"{_ASSESSED} SELECT coalesce(framework_code, 'TOTAL') AS code, count(*) AS controls, count(*) FILTER (passed) AS passing, "
-    "count(*) FILTER (NOT passed) AS failing, round(count(*) FILTER (passed) / count(*) * 100, 1) AS score "
+    f"{_ASSESSED} SELECT framework_code AS code, CASE WHEN grouping(framework_code) = 0 THEN 'framework' ELSE 'total' END AS level, "
+    "count(*) AS controls, count(*) FILTER (passed) AS passing, "
+    "count(*) FILTER (NOT passed) AS failing, round(count(*) FILTER (passed) / count(*) * 100, 1) AS score, "
+    "CASE WHEN grouping(framework_code) = 0 THEN string_agg(control_id || '=' || status, '; ' ORDER BY control_id) END AS control_rows "
     "FROM assessed GROUP BY ROLLUP (framework_code)",
 )
 def _(spark, sf_dir):
-    return compliance.report(frames(spark, sf_dir), assessed(spark, sf_dir))
+    out = compliance.report(frames(spark, sf_dir), assessed(spark, sf_dir))
+    return out.withColumn("control_rows", joined(F.transform("control_rows", lambda c: F.concat(c["control_id"], F.lit("="), c["status"]))))
 
 
 @query(
@@ -308,11 +335,13 @@ def _(spark, sf_dir):
 
 @query(
     "dsh_distribution",
-    f"SELECT category, entity_type, count(*) AS n FROM (SELECT entity_type, {_CATEGORY} AS category FROM {_E}) "
+    f"SELECT category, entity_type, CASE WHEN grouping(entity_type) = 0 THEN 'type' ELSE 'category' END AS level, count(*) AS n "
+    f"FROM (SELECT entity_type, {_CATEGORY} AS category FROM (SELECT CASE WHEN id % 9 <> 0 THEN entity_type END AS entity_type FROM {_E})) "
     "GROUP BY GROUPING SETS ((category), (category, entity_type))",
 )
 def _(spark, sf_dir):
-    return dashboard.distribution(*tables(spark, sf_dir, "entities"))
+    (entities,) = tables(spark, sf_dir, "entities")
+    return dashboard.distribution(entities.withColumn("entity_type", F.when(F.col("id") % 9 != 0, F.col("entity_type"))))
 
 
 @query(

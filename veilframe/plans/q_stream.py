@@ -31,8 +31,13 @@ _DETECTIONS = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in _EVENT.items()) +
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
+def _files(sf_dir, name):
+    """A pattern that a table meets both as one file and as a folder of part files."""
+    return f"{sf_dir}/{name}.parque[t]"
+
+
 def _events(spark, sf_dir):
-    stream = traffic.read_stream(spark, sf_dir, _EVENT_SCHEMA, names="events.parquet")
+    stream = traffic.read_stream(spark, _files(sf_dir, "events"), _EVENT_SCHEMA)
     return stream.selectExpr(*[f"{expr} AS {name}" for name, expr in _EVENT.items()])
 
 
@@ -54,7 +59,7 @@ FROM documents LEFT JOIN sums ON k = doc_id""",
 )
 def _(spark, sf_dir):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    texts = traffic.read_stream(spark, sf_dir, schema, names="documents.parquet").selectExpr(
+    texts = traffic.read_stream(spark, _files(sf_dir, "documents"), schema).selectExpr(
         "text AS payload", f"{_case('doc_id % 4', SURFACES)} AS surface", "CAST(NULL AS STRING) AS agent_id"
     )
     return run(traffic.intercept_log(texts))

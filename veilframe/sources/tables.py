@@ -67,8 +67,7 @@ def read_table(spark: SparkSession, name: str, path: str, format: str = "parquet
     reader = spark.read.schema(schema)
     if format == "csv":
         reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
-    df = reader.format(format).load(path)
-    return df.drop("day") if "day" in df.columns and name not in TIME_COLUMNS else df
+    return reader.format(format).load(path)
 
 
 def append_table(df: DataFrame, name: str, path: str, format: str = "parquet") -> None:
@@ -103,32 +102,12 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def store_scan(
-    detected: DataFrame, sessions_path: str, entities_path: str, now: Column, action: str = "TOKENIZE"
-) -> None:
-    """Persist a scan: one session row per ``session_id`` and one row per entity.
-
-    ``detected`` (``session_id, agent_id, policy_id, entities``) should be staged
-    or stored: it is read twice.
-    """
-    found = detected.select("session_id", F.inline("entities"))
-    rows = found.select(
-        F.xxhash64("session_id", "start", "original_text").alias("id"),
-        "session_id",
-        "entity_type",
-        "original_text",
-        F.concat(F.lit("<<"), "entity_type", F.lit(">>")).alias("token"),
-        "confidence",
-        F.lit(action).alias("action"),
-        now.alias("detected_at"),
-    )
-    append_table(rows, "entities_detected", entities_path)
-    counted = detected.groupBy("session_id").agg(
-        F.max("agent_id").alias("agent_id"),
-        F.max("policy_id").alias("policy_id"),
-        F.sum(F.size("entities")).alias("n"),
-    )
-    sessions = counted.select(
+def store_scan(entities: DataFrame, counts: DataFrame, sessions_path: str, entities_path: str, now: Column) -> None:
+    """Persist a scan: ``entities`` and one session row for each row of ``counts``, both
+    as ``protect_texts`` gives them, with the sessions' numbers as ``session_id``."""
+    columns = [c.split()[0] for c in SCHEMAS["entities_detected"].split(", ")]
+    append_table(entities.select(columns), "entities_detected", entities_path)
+    sessions = counts.select(
         F.col("session_id").alias("id"),
         F.concat(F.lit("scan-"), F.date_format(now, "yyyyMMddHHmmss")).alias("name"),
         now.alias("created_at"),
@@ -136,7 +115,7 @@ def store_scan(
         F.lit("ACTIVE").alias("status"),
         "agent_id",
         "policy_id",
-        F.col("n").alias("entities_protected"),
-        F.col("n").alias("tokens_generated"),
+        "entities_protected",
+        F.col("entities_protected").alias("tokens_generated"),
     )
     append_table(sessions, "scan_sessions", sessions_path)

@@ -21,7 +21,8 @@ def read_stream(
     names: str | None = None,
     files_per_trigger: int = 1000,
 ) -> DataFrame:
-    """New files of a folder as a stream; ``names`` is a pattern for file names."""
+    """New files of a folder, or of what a path pattern meets, as a stream; ``names`` is a
+    pattern for file names."""
     reader = spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", files_per_trigger)
     return (reader.option("pathGlobFilter", names) if names else reader).load(folder)
 
