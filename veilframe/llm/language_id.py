@@ -94,7 +94,7 @@ class Model:
                 at = self.symbol[list(seen)]
                 row[at] = np.log2(total) - np.log2(np.fromiter(seen.values(), float, len(seen)))
                 self.bits[row_of[c], :, j] = row
-        self.bits = self.bits.reshape(-1, len(trees))
+        self.bits = self.bits.reshape(len(contexts) * self.width, len(trees))
         # row of the longest known suffix of every context of each length up to the order
         self.rows = [np.zeros(1, np.int32)]
         for n in range(1, order + 1):
@@ -108,7 +108,7 @@ class Model:
     def code_lengths(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Bits of every text in every language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        if not len(data):
+        if not len(data) or not self.languages:
             return out
         symbols = self.symbol[data]
         before = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
