@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +20,21 @@ def detect_entities(
     output: str = "entities",
 ) -> DataFrame:
     """Add ``output``, the array of entities found in ``text``, ordered by offset."""
-    rows = select(types, registry)
+    views, found = _columns(tuple(select(types, registry)), text, df.sparkSession.sparkContext.applicationId)
     viewed = df
-    for columns in detection.views(rows, F.col(text)):
+    for columns in views:
         viewed = viewed.withColumns(columns)
-    found = detection.entities(rows, F.col(text))
     # One row in, one row out.  As a generator's output the array is computed once: a plain
     # projection would be copied into every filter and expression that reads the column.
     return viewed.select(*df.columns, F.explode(F.array(found)).alias(output))
 
 
+@lru_cache(maxsize=16)
+def _columns(rows: tuple[Entity, ...], text: str, application: str) -> tuple[list[dict[str, Column]], Column]:
+    """The expressions of a registry, assembled once in an application."""
+    return detection.views(rows, F.col(text)), detection.entities(rows, F.col(text))
+
+
 def explode_entities(df: DataFrame, *keep: str | Column, entities: str = "entities") -> DataFrame:
     """One row per entity: ``keep``, then the nine fields of the entity."""
     rows = df.select(*keep, F.explode_outer(entities).alias("_e"))
