@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from veilframe.llm import lm_score as lm
@@ -58,6 +59,17 @@ def test_whole_table(spark):
 
 def test_edges(spark, rows):
     assert lm.score_documents(rows([])).count() == 0
+    nothing = lm.score_documents(rows([(1, None), (2, ""), (3, " \n")])).collect()
+    assert sorted((r.doc_id, r.n_words, r.log_score, r.mean_log_score) for r in nothing) == [(i, 0, 0.0, None) for i in (1, 2, 3)]
     docs = rows([(None, "a b"), (None, "a b"), (1, "a b")]).selectExpr("doc_id", "text", "1 AS batch", "2 AS id")
     out = lm.score_documents(docs).collect()
     assert len(out) == 3 and len({round(r.log_score, 9) for r in out}) == 1
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for values in ([0], [5, 5, 9], [2**64 - 1], [1, 2**63, 2**64 - 1], rng.integers(0, 2**64, 1000, np.uint64), rng.integers(0, 300, 70)):
+        values = np.sort(np.array(values, np.uint64))
+        assert np.array_equal(lm.unpack(lm.pack(values)), values)
+        assert np.array_equal(lm.unpack_sorted(lm.pack_sorted(values)), values)
+    assert len(lm.unpack(lm.pack(np.zeros(0, np.uint64)))) == 0
