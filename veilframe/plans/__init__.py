@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_detect", "q_protect", "q_policy", "q_traffic", "q_audit", "q_reports", "q_stream")
+MODULES = ("q_detect", "q_protect", "q_policy", "q_traffic", "q_audit", "q_reports", "q_stream", "q_sources")
 
 
 def all_queries():
