@@ -57,6 +57,14 @@ def test_whole_table(spark):
         assert got[doc.doc_id] == pytest.approx(total, rel=1e-9, abs=1e-9)
 
 
+def test_query_scores_in_contexts_of_two_words(spark, rows, tmp_path):
+    texts = ["a b c", "a b c", "x b d", "y b d", "z b d"]
+    rows(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_score for r in op2_lm_score(spark, str(tmp_path)).collect()}
+    for i, ((_, total), (_, shorter)) in enumerate(zip(brute(texts, 3), brute(texts, 2))):
+        assert got[i] == pytest.approx(total, abs=1e-9) and got[i] != pytest.approx(shorter, abs=1e-3)
+
+
 def test_edges(spark, rows):
     assert lm.score_documents(rows([])).count() == 0
     nothing = lm.score_documents(rows([(1, None), (2, ""), (3, " \n")])).collect()

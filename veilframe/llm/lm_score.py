@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.shared import utf8
 from veilframe.llm.words import LOWER, ngrams, numbers, word_bounds, word_hashes
 
-ORDER = 2
+ORDER = 3
 #: Factor of each step to a shorter context.
 BACKOFF = 0.4
 #: Bytes of text in a batch, and of text whose n-grams fill a bucket.
