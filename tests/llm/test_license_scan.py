@@ -46,6 +46,32 @@ def test_every_template_is_found_in_noise_and_edited(spark, rows):
         assert texts[r.doc_id][r.start : r.end] == r.passage
 
 
+def test_words_put_in_and_left_out_in_the_middle(spark, rows):
+    docs, wanted = [], {}
+    for name, text in TEMPLATES[6:]:
+        words = [w.decode() for w in ls._WORD.findall(text.encode())]
+        half = len(words) // 2
+        for n in (9, 12, 25, 40):
+            if n <= len(words):
+                wanted[len(docs)] = (name, len(words), len(words) + n)
+                docs.append((len(docs), " ".join([*words[:half], *(f"neu{i}" for i in range(n)), *words[half:]])))
+            if n <= 0.25 * len(words):
+                wanted[len(docs)] = (name, len(words) - n, len(words) - n)
+                docs.append((len(docs), " ".join(words[: half - n // 2] + words[half - n // 2 + n :])))
+    got = ls.scan_licenses(rows(docs), TEMPLATES).collect()
+    for d, (name, matched, span) in wanted.items():
+        (own,) = [r for r in got if r.doc_id == d and r.template == name]
+        assert matched - 2 <= own.matched_words <= matched and len(own.passage.split()) == span, (name, docs[d])
+
+
+def test_partial_copies_in_a_row_stay_apart(spark, rows):
+    name, text = TEMPLATES[6]
+    words = text.split()
+    cut = len(words) // 5
+    got = ls.scan_licenses(rows([(1, " ".join(words[:-cut] + ["and"] * 20 + words[cut:]))]), TEMPLATES).collect()
+    assert sorted(round(r.coverage, 1) for r in got if r.template == name) == [0.8, 0.8]
+
+
 def test_matches_equal_those_of_the_full_alignment():
     templates = ls.Templates(TEMPLATES)
     rng = random.Random(4)

@@ -5,7 +5,9 @@ least (the rightmost in a tie) becomes a fingerprint, in an index from hash to t
 and position.  A text that shares ``GRAM + WINNOW - 1`` words in a row with a template
 holds one of its fingerprints.  A hit says on which diagonal the template may lie; hits
 on near diagonals make a region, in which a local alignment of the words, kept to a band
-around the diagonals, gives the matched words and the span.
+around the diagonals, gives a piece: the matched words.  Where words were put in or left
+out, a match has several pieces; those that follow each other in text and template are
+chained.
 
 The index is as large as the templates.  Texts are looked up in numpy over whole Arrow
 batches; only those with hits are read word by word.
@@ -14,6 +16,7 @@ batches; only those with hits are read word by word.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -88,14 +91,15 @@ def winnowed(values: np.ndarray) -> list[int]:
     return sorted({max(range(i, i + window), key=lambda j: (-int(values[j]), j)) for i in range(len(values) - window + 1)})
 
 
-def align(template: list[bytes], words: list[bytes], low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment whose diagonals (word minus template position) are within
-    ``low`` to ``high``: ``(matched words, first word, end word)``; the most matched words
+def align(template: list[bytes], words: list[bytes], low: int, high: int) -> list[tuple[int, int]]:
+    """Matched ``(template position, word)`` of the best local alignment whose diagonals
+    (word minus template position) are within ``low`` to ``high``; the most matched words
     win among equal scores, then the earliest end."""
     width = high - low + 1
-    # a cell: (score, matched, first word); column c of row t is the word t + low + c
-    none = (0, 0, -1)
-    best, best_end = none, 0
+    # a cell: (score, matched, path); a path: (template position, word, path before);
+    # column c of row t is the word t + low + c
+    none = (0, 0, None)
+    best = none
     above = [none] * (width + 1)
     for t, wanted in enumerate(template):
         row, left = [none] * (width + 1), none
@@ -104,11 +108,11 @@ def align(template: list[bytes], words: list[bytes], low: int, high: int) -> tup
             if not 0 <= w < len(words):
                 left = none
                 continue
-            score, matched, first = above[c]  # the diagonal neighbour is in the same column
+            score, matched, path = above[c]  # the diagonal neighbour is in the same column
             if words[w] == wanted:
-                cell = (score + MATCH, matched + 1, w if first < 0 else first)
+                cell = (score + MATCH, matched + 1, (t, w, path))
             else:
-                cell = (score + MISMATCH, matched, first)
+                cell = (score + MISMATCH, matched, path)
             up = above[c + 1]
             if up[0] + GAP > cell[0]:
                 cell = (up[0] + GAP, up[1], up[2])
@@ -118,9 +122,45 @@ def align(template: list[bytes], words: list[bytes], low: int, high: int) -> tup
                 cell = none
             row[c] = left = cell
             if cell[:2] > best[:2]:
-                best, best_end = cell, w + 1
+                best = cell
         above = row
-    return best[1], best[2], best_end
+    pairs, path = [], best[2]
+    while path:
+        pairs.append(path[:2])
+        path = path[2]
+    return pairs[::-1]
+
+
+def chained(pieces: list[list[tuple[int, int]]], length: int) -> Iterator[tuple[int, int, int]]:
+    """``(matched words, first word, end word)`` of the best chains that end with each piece.
+
+    Pieces of a chain follow each other in text and template, with a template's length of
+    other words between them at most; where two overlap, the cut that keeps most words
+    is made.  Pieces that suffice by themselves are copies of their own: a chain has one
+    of them at most."""
+    behind: list[tuple[list, dict]] = []  # pieces that may still be followed, with their chains
+    for piece in sorted(filter(None, pieces), key=lambda p: (p[0][1], p[-1][1])):
+        places, at = [t for t, _ in piece], [w for _, w in piece]
+        enough = len(piece) >= MIN_COVERAGE * length
+        # by whether a piece suffices: (matched, first word, first pair that is used)
+        chains = {enough: (len(piece), at[0], 0)}
+        behind = [b for b in behind if b[0][-1][1] + length >= at[0] - 1]
+        for before, theirs in behind:
+            for other, (matched, first, used) in theirs.items():
+                if other and enough:
+                    continue
+                for p in range(len(before) - 1, used - 1, -1):
+                    t, w = before[p]
+                    skip = max(bisect_right(places, t), bisect_right(at, w))
+                    if skip < len(piece) and at[skip] - w - 1 <= length:
+                        chain = (matched - (len(before) - 1 - p) + len(piece) - skip, first, skip)
+                        kind = other or enough
+                        chains[kind] = max(chains.get(kind, chain), chain)
+                    if not skip:
+                        break
+        behind.append((piece, chains))
+        for matched, first, _ in chains.values():
+            yield matched, first, at[-1] + 1
 
 
 def regions(hits: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -150,12 +190,13 @@ def scan_text(templates: Templates, data: bytes, hits: dict[int, list[tuple[int,
     spans = [m.span() for m in _WORD.finditer(data)]
     out = []
     for t, own in hits.items():
-        template, found = templates.words[t], []
+        template, pieces, found = templates.words[t], [], []
         for first, end, low, high in regions(own, len(template)):
             words = [data[a:b].lower() for a, b in spans[first:end]]
-            matched, start, stop = align(template, words, low - first, high - first)
+            pieces.append([(place, first + w) for place, w in align(template, words, low - first, high - first)])
+        for matched, start, stop in chained(pieces, len(template)):
             if matched >= MIN_COVERAGE * len(template):
-                found.append((-matched, stop - start, first + start, first + stop))
+                found.append((-matched, stop - start, start, stop))
         taken: list[tuple[int, int]] = []
         for matched, _, start, stop in sorted(found):
             if all(stop <= a or b <= start for a, b in taken):
@@ -169,7 +210,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]], doc_id: str
     match), ``matched_words``, ``start`` and ``end`` (code points of the text) and the
     ``passage``.
 
-    Letters are compared without case (A-Z), punctuation not at all.  Texts that are null,
+    Letters are compared without case (A-Z), punctuation not at all.  Words may be put in
+    (a template's length at one place at most) or left out anywhere.  Texts that are null,
     empty or without a match give no row; repeated rows give their matches again.
     Templates have three words at least; without templates there are no matches."""
     index = docs.sparkSession.sparkContext.broadcast(Templates(templates))  # bounded: MAX_TEMPLATE_WORDS
