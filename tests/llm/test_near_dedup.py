@@ -89,6 +89,29 @@ def test_null_and_repeated_ids(spark, rows):
     assert sorted((r.doc_id, r.text) for r in left if r.doc_id is not None) == [(2, "x y z"), (2, "x y z"), (4, "a b c d e f")]
 
 
+def test_rows_are_dropped_by_id_and_text(spark, rows):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words), " ".join([*words[:-1], "end"]), " ".join([*words[:-2], "other", "end"])
+    values = [(1, "a b c d e"), (2, "A b c d e"), (2, "of its own"), (5, "one text"), (5, "quite another"), (None, "without id"), (None, "without id")]
+    values += [(None, near[0]), (None, near[1]), (30, near[2]), (4, ""), (None, None), (None, None), (10, "x y"), (9, "x y")]
+    got = [tuple(r) for r in nd.drop_near_duplicates(rows(values), k=4).collect()]
+    wanted = [values[0], *values[2:6], values[9], *values[10:13], values[14]]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    twice = [tuple(r) for r in nd.drop_near_duplicates(rows([(None, near[0]), (None, near[1])]), k=4).collect()]
+    assert len(twice) == 1
+
+
+def test_members_that_hubs_leave_open_without_ids(spark, rows, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_MEMBERS", 16)
+    rng = random.Random(5)
+    texts = {i: " ".join([f"w{j}" for j in range(70)] + [f"t{i}_{j}" for j in range(rng.randrange(8, 24))]) for i in range(80)}
+    components = {c for _, c in brute(texts, 3).values()}
+    got = nd.drop_near_duplicates(rows(list(texts.items())), k=3).collect()
+    assert {r.doc_id for r in got} == components
+    nameless = nd.drop_near_duplicates(rows([(None, t) for t in texts.values()]), k=3).collect()
+    assert len(nameless) == len(components) and {r.text for r in nameless} <= set(texts.values())
+
+
 @pytest.mark.parametrize("size", [1, 3, 40, 700])
 def test_sketches_fill_and_estimate(size):
     base = mix(numbers(size * 10, 99))

@@ -251,13 +251,14 @@ def _near_blocks(mine: pa.Table, other: pa.Table, percent: int) -> pa.Table:
         by_hub: dict[bytes, list[int]] = {}
         for i, hub in enumerate(table.column("hub").to_pylist()):
             by_hub.setdefault(hub, []).append(i)
-        return bits, sizes, by_hub, table.column("hubs").to_pylist(), table.column("component").to_pylist()
+        components = [tuple(c.values()) if isinstance(c, dict) else c for c in table.column("component").to_pylist()]
+        return bits, sizes, by_hub, table.column("hubs").to_pylist(), components
 
     if not mine.num_rows or not other.num_rows:
         return pa.table({"a": mine.column("x").slice(0, 0), "b": mine.column("x").slice(0, 0)})
     (bits, n, hubs, all_hubs, own), (bits2, n2, hubs2, all_hubs2, theirs) = parts(mine), parts(other)
-    codes = np.unique(np.array([*own, *theirs]), return_inverse=True)[1]
-    code, code2 = codes[: len(own)], codes[len(own) :]
+    codes = {c: i for i, c in enumerate(sorted({*own, *theirs}))}
+    code, code2 = np.array([codes[c] for c in own]), np.array([codes[c] for c in theirs])
     left, right = [], []
     for hub in hubs.keys() & hubs2.keys():
         a, b = np.array(hubs[hub]), np.array(hubs2[hub])
@@ -324,8 +325,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its component; of
-    rows with the same id all stay.  The ids that go are joined, the smaller table."""
-    judged = near_duplicates(docs, k, percent, doc_id, text)
-    dropped = judged.where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col(doc_id) == F.col("dropped_id"), "left_anti")
+    """The rows of ``docs`` whose document has the smallest id of its component, null ids
+    last.
+
+    A document is an id with a text: an id may have several texts, and rows with the same
+    id and text all stay; of those without an id one stays.  Texts without words all
+    stay.  What goes is joined, the smaller table."""
+    words = F.col(text).cast("string")
+    document = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(words).alias("text"))
+    judged = near_duplicates(docs.select(document.alias("document"), words.alias("text")), k, percent, "document", "text")
+    documents = judged.where("n_shingles > 0").groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("m"))
+    dropped = documents.where("NOT kept OR m > 1 AND doc_id.none").select(F.col("doc_id").alias("dropped"), "kept")
+    stay = docs.join(dropped.select("dropped"), document == F.col("dropped"), "left_anti")
+    # copies without an id that are to leave one row
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = docs.where(F.col(doc_id).isNull()).select(document.alias("document"), row.alias("row"))
+    copies = copies.join(dropped.where("kept").select("dropped"), F.col("document") == F.col("dropped"), "left_semi")
+    return stay.union(copies.groupBy("document").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
