@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": q.op8_near_dedup,
     "op9_nearest": q.op9_nearest,
     "op10_url_filter": q.op10_url_filter,
+    "op11_resample": q.op11_resample,
 }
 
 SQL = {

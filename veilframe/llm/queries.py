@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm.importance import resample
 from veilframe.llm.language_id import identify, train
 from veilframe.llm.license_scan import scan_licenses
 from veilframe.llm.license_texts import TEMPLATES
@@ -162,3 +163,11 @@ WITH rules AS (SELECT unnest([{', '.join(f"'{r[0]}'" for r in URL_RULES)}]) rhos
        ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY row_no)
 SELECT page_id, host, path, best AS rule, coalesce(verdict, 'allow') AS verdict FROM f LEFT JOIN m USING (row_no)
 """
+
+
+# ---------------------------------------------------------------- 11: importance resampling
+
+
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
