@@ -16,10 +16,12 @@ QUERIES = {
     "op9_nearest": q.op9_nearest,
     "op10_url_filter": q.op10_url_filter,
     "op11_resample": q.op11_resample,
+    "op12_periodic_runs": q.op12_periodic_runs,
 }
 
 SQL = {
     "op1_warc": q.OP1_SQL,
     "op3_mixing": q.OP3_SQL,
     "op10_url_filter": q.OP10_SQL,
+    "op12_periodic_runs": q.OP12_SQL,
 }

@@ -13,6 +13,7 @@ from veilframe.llm.lm_score import score_documents
 from veilframe.llm.mixing import mix_sources
 from veilframe.llm.near_dedup import near_duplicates
 from veilframe.llm.nearest import build_index, search
+from veilframe.llm.periodic import periodic_runs
 from veilframe.llm.pieces import encode_texts
 from veilframe.llm.quality import judge_quality, learn_ratio
 from veilframe.llm.shared import shared_path
@@ -171,3 +172,60 @@ SELECT page_id, host, path, best AS rule, coalesce(verdict, 'allow') AS verdict
 def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# ---------------------------------------------------------------- 12: periodic runs
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where about a tenth of the texts repeats a stretch of its own words
+    up to its end; which one, from where and how often is given by the id's CRC-32."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.expr("crc32(cast(doc_id as string)) div 10").alias("g"))
+    n = F.size("words")
+    a = F.expr("cast(g % size(words) as int)")
+    p = F.expr("cast(1 + (size(words) - g % size(words)) div (3 + g % 8) as int)")
+    moved = cut.select("*", F.when(n > 0, a).alias("a"), F.when(n > 0, p).alias("p"))
+    source = F.transform(F.expr("sequence(0, size(words) - 1)"), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return moved.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(source, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    return found.select("doc_id", "runs", listed.alias("listed"), "collapsed", longest.alias("longest")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.col2")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.col3")).alias("period"),
+        F.expr("1000 * longest.length div -longest.col3").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit."""
+    bits = "list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, byte))"
+    codes = f"list_transform(string_split({text}, ''), lambda d: ascii(d)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda crc, byte: {bits}, 4294967295::BIGINT), 4294967295)"
+
+
+# Equal words one period apart, put together to stretches.
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS old, {_crc_sql('doc_id::VARCHAR')} AS h FROM documents),
+e AS (SELECT *, CASE WHEN h % 10 = 0 THEN (h // 10) % len(old) END AS a, 1 + (len(old) - (h // 10) % len(old)) // (3 + (h // 10) % 8) AS p FROM d),
+w AS (SELECT doc_id, unnest(range(len(old))) AS i, unnest(list_transform(range(len(old)), lambda i: old[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END])) AS word, len(old) AS n FROM e),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 2 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, min(i) AS s, count(*) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, s, m + q AS l, q FROM (SELECT doc_id, s, m, q, m + q AS l FROM islands) WHERE m + q >= greatest(12, 2 * q) QUALIFY row_number() OVER (PARTITION BY doc_id, s, l ORDER BY q) = 1),
+best AS (SELECT doc_id, count(*) AS n_runs, arg_max([s, l, q], [l, -s, -q]) AS r, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+texts AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, r[1] AS start, r[2] AS length, r[3] AS period, 1000 * r[2] // r[3] AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN texts USING (doc_id)
+"""
