@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": q.op10_url_filter,
     "op11_resample": q.op11_resample,
     "op12_periodic_runs": q.op12_periodic_runs,
+    "op13_personal_data": q.op13_personal_data,
 }
 
 SQL = {

@@ -14,6 +14,7 @@ from veilframe.llm.mixing import mix_sources
 from veilframe.llm.near_dedup import near_duplicates
 from veilframe.llm.nearest import build_index, search
 from veilframe.llm.periodic import periodic_runs
+from veilframe.llm.personal import BASE_KINDS, personal_data
 from veilframe.llm.pieces import encode_texts
 from veilframe.llm.quality import judge_quality, learn_ratio
 from veilframe.llm.shared import shared_path
@@ -229,3 +230,19 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, r[1] AS start, r[2] AS length, r[3
   sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
 FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN texts USING (doc_id)
 """
+
+
+# ---------------------------------------------------------------- 13: personal data
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
