@@ -42,6 +42,12 @@ def test_features(texts):
         assert sorted(buckets[docs == i]) == sorted(wanted) and words[i] == n
 
 
+def test_features_of_a_slice():
+    texts = pa.array(["Ab c"] * 5 + [None, "", "Cd E"])
+    docs, buckets, words = im.features(im.splitter(), texts.slice(4))
+    assert words.tolist() == [2, 0, 0, 2] and sorted(buckets[docs == 3]) == sorted(brute("cd e")[0])
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     monkeypatch.setattr(im, "PIECE_CHARS", 7)
     text = "é1 " + "abcdefghij" * 3 + " xÿ  y, z" * 9

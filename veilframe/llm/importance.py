@@ -21,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.ordered import positions
 from veilframe.llm import crc
 from veilframe.llm.shared import slices, utf8, written
+from veilframe.llm.words import LOWER
 
 BUCKETS = 10_000
 #: Longest feature, in words.
@@ -75,11 +75,12 @@ def word_offsets(split, text: str) -> np.ndarray:
 def features(split, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(docs, buckets, words)``: the text and the bucket of every feature, texts in order
     for each length of features, and the number of words of every text."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    found = [word_offsets(split, text) for text in texts.to_pylist()]
+    offsets, data = utf8(texts)
+    data = LOWER[data]
+    whole = data.tobytes()
+    found = [word_offsets(split, whole[a:b].decode()) for a, b in zip(offsets, offsets[1:])]
     words = np.array([len(f) for f in found], np.int64)
     bounds = np.concatenate([np.zeros((0, 2), np.int64), *found])
-    offsets, data = utf8(texts)
     doc = np.repeat(np.arange(len(words)), words)
     starts, ends = (bounds + offsets[doc][:, None]).T
     own, size = crc.crc32(data, starts, ends), ends - starts + 1
