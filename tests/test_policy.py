@@ -125,3 +125,51 @@ def test_packs(spark):
     types = spark.createDataFrame([("DATE",), ("BADGE",)], "entity_type string")
     got = {r.entity_type: r for r in policy.compliance_mapping(types).collect()}
     assert (got["DATE"].GDPR, got["DATE"].SOX, got["BADGE"].HIPAA) == ("GENERALIZE", "PASS", "N/A")
+
+
+def test_conflicts_count_each_order(spark):
+    actions = ["REDACT", "MASK", "REDACT", "MASK", "MASK", "PASS"]
+    roles = [["a"], None, ["a", "a"], [], ["b"], ["b", "a"]]
+    rules = [("p", 10 + i, "SSN", a, r, None) for i, (a, r) in enumerate(zip(actions, roles))]
+    got = {
+        (r.action_a, r.pos_a, r.action_b, r.pos_b): (r.rule_pairs, r.in_order, r.reversed, r.next_pos_a)
+        for r in policy.conflicts(spark.createDataFrame(rules, RULES)).collect()
+    }
+    assert got == {
+        ("REDACT", 10, "MASK", 11): (4, 3, 1, 12),
+        ("REDACT", 10, "PASS", 15): (2, 2, 0, None),
+        ("MASK", 11, "PASS", 15): (2, 2, 0, None),
+        ("MASK", 14, "PASS", 15): (1, 1, 0, None),
+    }
+
+
+def test_conflicts_in_both_orders_are_two_warnings(spark):
+    document = '{"rules": [{"entity_type": "SSN", "action": "%s"}, {"entity_type": "SSN", "action": "%s"}, {"entity_type": "SSN", "action": "%s"}]}'
+    documents = [("p", document % ("REDACT", "MASK", "REDACT")), ("q", document % ("MASK", "MASK", "PASS"))]
+    got = {r.policy_id: r.warnings for r in policy.validate(spark.createDataFrame(documents, "policy_id string, document string")).collect()}
+    assert got["p"] == ["Conflict: SSN: conflicting actions REDACT vs MASK", "Conflict: SSN: conflicting actions MASK vs REDACT"]
+    assert got["q"] == ["Conflict: SSN: conflicting actions MASK vs PASS"]
+
+
+def test_many_role_lists_of_one_policy(spark):
+    """Every list has a role of its own and one that all of an action share."""
+    n = 100_000
+    rules = spark.range(n).select(
+        F.lit("p").alias("policy_id"), F.col("id").alias("pos"), F.lit("SSN").alias("entity_type"),
+        F.when(F.col("id") % 2 == 0, "MASK").otherwise("PASS").alias("action"),
+        F.array(F.concat(F.lit("r"), F.col("id").cast("string")), F.when(F.col("id") % 2 == 0, "even").otherwise(F.concat(F.lit("r"), (F.col("id") - 1).cast("string")))).alias("roles"),
+    )
+    got = policy.conflicts(rules)
+    assert got.count() == n // 2 and got.where("pos_b <> pos_a + 1 OR rule_pairs <> 1 OR in_order <> 1").count() == 0
+
+
+def test_requests_are_shuffled_once(spark):
+    """Without broadcasts, request rows meet all that their policy says in one join."""
+    rows = spark.createDataFrame([("p", "SSN", "a", "r")], "policy_id string, entity_type string, agent_id string, agent_role string")
+    rules = spark.createDataFrame([("p", 0, "SSN", "MASK", None, None)], RULES)
+    exceptions = spark.createDataFrame([("p", 0, "a", None, ["SSN"], "PASS")], "policy_id string, pos bigint, agent_id string, agent_role string, entity_types array<string>, action string")
+    packs = spark.createDataFrame([("p", ["GDPR"])], "policy_id string, compliance_packs array<string>")
+    decided = policy.evaluate(rows, rules, exceptions, packs)
+    joins = [line for line in decided._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1
+    assert [(r.action, r.compliance_refs) for r in decided.collect()] == [("PASS", [])]

@@ -25,7 +25,9 @@ from veilframe.functions.constants import (
     STRICTNESS,
     UNKNOWN_STRICTNESS,
 )
+from veilframe.functions.ordered import running_total
 from veilframe.functions.prefilter import literal
+from veilframe.sources.staging import stage
 
 _RULE = "struct<entity_type:string,action:string,roles:array<string>,classification:string>"
 _EXCEPTION = "struct<agent_id:string,agent_role:string,entity_types:array<string>,action:string>"
@@ -80,17 +82,45 @@ def compliance_refs(entity_type: Column, action: Column, packs: Column) -> Colum
     return F.transform(met, lambda d: F.concat(d["pack"], F.lit(": "), d["action"], F.lit(" required")))
 
 
-def _folded_rules(rules: DataFrame) -> DataFrame:
-    """Per policy and type the last position of every distinct action and role list,
-    as an array: bounded, however often a policy repeats a rule."""
+def _folded(rules: DataFrame, exceptions: DataFrame | None, packs: DataFrame | None) -> DataFrame:
+    """One row per policy and type, however often a policy repeats itself: ``_rules`` (the
+    last position of every distinct action and role list), ``_by_agent`` and ``_by_role``
+    (the last exception of everyone named) and ``compliance_packs``.
+
+    Packs are listed for the types that some pack has a say in, a fixed number: for others
+    there is nothing to report."""
+    rule = "struct<pos:bigint,action:string,roles:array<string>>"
+    grant = "struct<who:string,exception:struct<pos:bigint,action:string>>"
+    shapes = {"_rule": rule, "_agent": grant, "_role": grant, "_packs": "array<string>"}
+
+    def part(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select("policy_id", "entity_type", *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in shapes.items()])
+
     roles = F.when(F.size("roles") > 0, F.array_sort(F.array_distinct("roles")))
     last = (
         rules.where("entity_type IS NOT NULL")
         .groupBy("policy_id", "entity_type", "action", roles.alias("roles"))
         .agg(F.max("pos").alias("pos"))
     )
-    return last.groupBy("policy_id", "entity_type").agg(
-        F.collect_list(F.struct("pos", "action", "roles")).alias("_rules")
+    parts = [part(last, _rule=F.struct("pos", "action", "roles"))]
+    if exceptions is not None:
+        listed = exceptions.select("policy_id", "pos", "agent_id", "agent_role", "action", F.explode("entity_types").alias("entity_type"))
+        for name, column in (("_agent", "agent_id"), ("_role", "agent_role")):
+            named = listed.where(F.col(column).isNotNull()).groupBy("policy_id", "entity_type", column)
+            granted = named.agg(F.max(F.struct("pos", "action")).alias("x"))
+            parts.append(part(granted, **{name: F.struct(F.col(column).alias("who"), F.col("x").alias("exception"))}))
+    if packs is not None:
+        types = sorted({t for rules_of_pack in COMPLIANCE_PACKS.values() for t in rules_of_pack})
+        each = packs.select("policy_id", "compliance_packs", F.explode(F.array(*map(F.lit, types))).alias("entity_type"))
+        parts.append(part(each, _packs=F.col("compliance_packs")))
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.union(more)
+    return whole.groupBy("policy_id", "entity_type").agg(
+        F.collect_list("_rule").alias("_rules"),
+        F.map_from_entries(F.collect_list("_agent")).alias("_by_agent"),
+        F.map_from_entries(F.collect_list("_role")).alias("_by_role"),
+        F.first("_packs", ignorenulls=True).alias("compliance_packs"),
     )
 
 
@@ -100,31 +130,21 @@ def evaluate(
     """Decide every row of ``entities`` (``policy_id, entity_type`` and, where known,
     ``agent_id, agent_role``): adds ``action, reason, compliance_refs, overridden_by``.
 
-    Exception over last matching rule over default over REDACT.
+    Exception over last matching rule over default over REDACT.  All that a policy says
+    about a type is in one row, so ``entities`` are shuffled once, or not at all if the
+    policies are small.
     """
     df = entities
     for name in ("agent_id", "agent_role"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("string"))
-    df = df.join(_folded_rules(rules), ["policy_id", "entity_type"], "left")
+    df = df.join(_folded(rules, exceptions, packs), ["policy_id", "entity_type"], "left")
     matching = F.filter(
         "_rules",
         lambda r: r["roles"].isNull() | F.col("agent_role").isNull() | F.array_contains(r["roles"], F.col("agent_role")),
     )
     ruled = F.array_max(matching)["action"]
-    granted = F.lit(None).cast("string")
-    if exceptions is not None:
-        listed = exceptions.select("policy_id", "pos", "agent_id", "agent_role", "action", F.explode("entity_types").alias("entity_type"))
-        for who in ("agent_id", "agent_role"):
-            last = listed.where(F.col(who).isNotNull()).groupBy("policy_id", "entity_type", who).agg(
-                F.max(F.struct("pos", "action")).alias(f"_by_{who}")
-            )
-            df = df.join(last, ["policy_id", "entity_type", who], "left")
-        granted = F.greatest("_by_agent_id", "_by_agent_role")["action"]
-    if packs is not None:
-        df = df.join(packs, "policy_id", "left")
-    else:
-        df = df.withColumn("compliance_packs", F.array().cast("array<string>"))
+    granted = F.greatest(F.try_element_at("_by_agent", F.col("agent_id")), F.try_element_at("_by_role", F.col("agent_role")))["action"]
     default = F.try_element_at(lookup.text_map(DEFAULT_ACTIONS), F.col("entity_type"))
     who = F.coalesce("agent_id", "agent_role")
     df = df.withColumns({"_granted": granted, "_ruled": ruled})
@@ -147,43 +167,95 @@ def evaluate(
     )
 
 
+_TYPE = ["policy_id", "entity_type"]
+
+
+def _variants(rules: DataFrame) -> DataFrame:
+    """Rules with their ``variant``: equal for rules of equal action and roles."""
+    roles = F.array_sort(F.array_distinct(F.coalesce("roles", F.array().cast("array<string>"))))
+    named = rules.where("entity_type IS NOT NULL").select(*_TYPE, "pos", "action", roles.alias("roles"))
+    return named.withColumn("variant", F.sha2(F.to_json(F.struct("action", "roles")), 256))
+
+
+def _meeting(variants: DataFrame) -> DataFrame:
+    """Pairs of variants ``a, b`` of one policy and type with different actions whose roles
+    meet; ``a`` occurs first.
+
+    Variants meet in an index: under each of their roles, or, without roles, in a list of
+    the type's variants.  Under a role, variants of the same action are never paired: each
+    is sent to the other actions found there."""
+    by_role = variants.select(*_TYPE, "variant", "action", F.explode("roles").alias("role"))
+    free = variants.where(F.size("roles") == 0)
+
+    def opposed(left: DataFrame, right: DataFrame, place: list[str]) -> DataFrame:
+        there = right.groupBy(*place).agg(F.collect_set("action").alias("actions"))
+        sent = left.join(there, place).select(*place, F.col("variant").alias("a"), "action", F.explode("actions").alias("other"))
+        sent = sent.where(F.col("action") != F.col("other")).drop("action")
+        return sent.join(right.select(*place, F.col("action").alias("other"), F.col("variant").alias("b")), [*place, "other"]).select(*_TYPE, "a", "b")
+
+    pairs = opposed(by_role, by_role, [*_TYPE, "role"]).union(opposed(free, variants, _TYPE))
+    first = {c: variants.select(*_TYPE, F.col("variant").alias(c), F.struct("first_pos", "action", "roles", "n").alias(f"_{c}")) for c in "ab"}
+    both = pairs.join(first["a"], [*_TYPE, "a"]).join(first["b"], [*_TYPE, "b"])
+    swap = F.col("_b") < F.col("_a")
+    ordered = {x: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("_a", "_b"), ("_b", "_a"))}
+    return both.select(*_TYPE, *ordered.values()).distinct()
+
+
 def conflicts(rules: DataFrame) -> DataFrame:
-    """Rules of one policy and type that ask for different actions of the same role.
+    """Rules of one policy and type that ask for different actions of the same role; a
+    rule's ``pos`` is its own within the policy.
+
+    Equal rules are folded first: there is one row for a pair of rules, however often a
+    policy repeats them, and ``a`` is the one that occurs first.  ``rule_pairs`` counts
+    the pairs of their places, ``in_order`` those with ``a`` before ``b`` (the first being
+    ``pos_a, pos_b``) and ``reversed`` the others (the first being ``pos_b, next_pos_a``).
 
-    Equal rules are folded first, so a policy that repeats two rules a million
-    times yields a conflict for each order they occur in and not a million squared:
-    ``pos_a`` and ``pos_b`` show one pair in that order, ``rule_pairs`` counts the pairs
-    of the two rules in either order.
+    The counts come from running numbers over the places of the rule that occurs more
+    often, read at the places of the other one, in buckets: places are not paired.
     """
-    roles = F.array_sort(F.array_distinct(F.coalesce("roles", F.array().cast("array<string>"))))
-    variants = (
-        rules.where("entity_type IS NOT NULL")
-        .groupBy("policy_id", "entity_type", "action", roles.alias("roles"))
-        .agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n"))
+    placed = _variants(rules)
+    variants = placed.groupBy(*_TYPE, "variant", "action", "roles").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
+    pairs = stage(_meeting(variants))
+    often_a = F.col("_a.n") >= F.col("_b.n")
+    often, rare = F.when(often_a, F.col("a")).otherwise(F.col("b")), F.when(often_a, F.col("b")).otherwise(F.col("a"))
+    at, none = placed.select(*_TYPE, "variant", "pos"), F.lit(None).cast("string")
+    own = at.join(pairs.select(*_TYPE, F.explode(F.array("a", "b")).alias("variant")).distinct(), [*_TYPE, "variant"])
+    asked = pairs.select(*_TYPE, "a", "b", often.alias("often"), rare.alias("variant")).join(at, [*_TYPE, "variant"])
+    after = pairs.select(*_TYPE, F.col("a").alias("variant"), F.col("_b.first_pos").alias("pos"), "a", "b", F.lit("next").alias("use"))
+    numbered = running_total(
+        own.select(*_TYPE, "variant", "pos", none.alias("a"), none.alias("b"), F.lit("own").alias("use"))
+        .union(asked.select(*_TYPE, F.col("often").alias("variant"), "pos", "a", "b", F.lit("count").alias("use")))
+        .union(after.select(*_TYPE, "variant", "pos", "a", "b", "use"))
+        .withColumn("one", F.when(F.col("use") == "own", 1).otherwise(0)),
+        [*_TYPE, "variant"], "pos", "one", "upto",
     )
-    a, b = variants.alias("a"), variants.alias("b")
-    same = (F.col("a.policy_id") == F.col("b.policy_id")) & (F.col("a.entity_type") == F.col("b.entity_type"))
-    differ = (F.col("a.first_pos") < F.col("b.last_pos")) & (F.col("a.action") != F.col("b.action"))
-    shared = F.array_intersect("a.roles", "b.roles")
-    meet = (F.size("a.roles") == 0) | (F.size("b.roles") == 0) | (F.size(shared) > 0)
-    roles_note = F.when(
-        F.size(shared) > 0, F.concat(F.lit(" for overlapping roles "), F.array_join(F.array_sort(shared), ", "))
-    ).otherwise("")
-    return a.join(b, same & differ & meet).select(
-        F.col("a.policy_id").alias("policy_id"),
-        F.col("a.entity_type").alias("entity_type"),
-        F.col("a.first_pos").alias("pos_a"),
-        F.col("a.action").alias("action_a"),
-        F.when(F.col("b.first_pos") > F.col("a.first_pos"), F.col("b.first_pos")).otherwise(F.col("b.last_pos")).alias("pos_b"),
-        F.col("b.action").alias("action_b"),
-        (F.col("a.n") * F.col("b.n")).alias("rule_pairs"),
-        F.concat(
-            F.col("a.entity_type"), F.lit(": conflicting actions "), F.col("a.action"), F.lit(" vs "), F.col("b.action"),
-            roles_note,
-        ).alias("description"),
+    pair = [*_TYPE, "a", "b"]
+    counted = numbered.where("use = 'count'").groupBy(*pair).agg(F.sum("upto").alias("_before"))
+    places = numbered.where("use = 'own'").select(*_TYPE, "variant", F.col("upto").alias("nth"), F.col("pos").alias("next_pos_a"))
+    following = numbered.where("use = 'next'").select(*pair, F.col("a").alias("variant"), (F.col("upto") + 1).alias("nth"))
+    following = following.join(places, [*_TYPE, "variant", "nth"]).select(*pair, "next_pos_a")
+    total = F.col("_a.n") * F.col("_b.n")
+    in_order = F.when(often_a, F.col("_before")).otherwise(total - F.col("_before"))
+    return pairs.join(counted, pair).join(following, pair, "left").select(
+        *_TYPE,
+        F.col("_a.first_pos").alias("pos_a"),
+        F.col("_a.action").alias("action_a"),
+        F.col("_b.first_pos").alias("pos_b"),
+        F.col("_b.action").alias("action_b"),
+        total.alias("rule_pairs"),
+        in_order.alias("in_order"),
+        (total - in_order).alias("reversed"),
+        "next_pos_a",
+        _clash(F.col("_a.action"), F.col("_b.action")).alias("description"),
     )
 
 
+def _clash(first: Column, second: Column) -> Column:
+    shared = F.array_sort(F.array_intersect("_a.roles", "_b.roles"))
+    roles = F.when(F.size(shared) > 0, F.concat(F.lit(" for overlapping roles "), F.array_join(shared, ", "))).otherwise("")
+    return F.concat(F.col("entity_type"), F.lit(": conflicting actions "), first, F.lit(" vs "), second, roles)
+
+
 def compliance_mapping(types: DataFrame) -> DataFrame:
     """What each pack asks for per ``entity_type``, ``N/A`` where it says nothing."""
     packs = {
@@ -291,8 +363,12 @@ def validate(policies: DataFrame, document: str = "document") -> DataFrame:
             F.coalesce(problems(F.col("_exceptions"), unmatched), none),
         ).alias("_warnings"),
     )
+    found = conflicts(rules_of(policies, document))
+    swapped = F.replace("description", F.concat("action_a", F.lit(" vs "), "action_b"), F.concat("action_b", F.lit(" vs "), "action_a"))
+    back = found.where("reversed > 0").select("policy_id", "entity_type", F.col("pos_b").alias("pos_a"), F.col("next_pos_a").alias("pos_b"), swapped.alias("description"))
     clashes = (
-        conflicts(rules_of(policies, document))
+        found.select("policy_id", "entity_type", "pos_a", "pos_b", "description")
+        .union(back)
         .groupBy("policy_id")
         .agg(F.array_sort(F.collect_list(F.struct("entity_type", "pos_a", "pos_b", "description"))).alias("_c"))
         .select("policy_id", F.transform("_c", lambda c: F.concat(F.lit("Conflict: "), c["description"])).alias("_clashes"))

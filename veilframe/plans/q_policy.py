@@ -174,18 +174,49 @@ def _(spark, sf_dir):
     )
 
 
+def _conflicts_sql(rules: str) -> str:
+    """Every pair of places is listed, then counted by pair of rules; ``roles`` is a list."""
+    return f"""WITH r AS (SELECT policy_id, entity_type, pos, action, list_sort(list_distinct(coalesce(roles, []))) AS roles FROM {rules}),
+p AS (SELECT x.policy_id, x.entity_type, x.pos AS i, y.pos AS j, x.action AS ax, y.action AS ay, x.roles AS rx, y.roles AS ry FROM r x JOIN r y
+  ON x.policy_id = y.policy_id AND x.entity_type = y.entity_type AND x.pos < y.pos AND x.action <> y.action
+  AND (len(x.roles) = 0 OR len(y.roles) = 0 OR list_has_any(x.roles, y.roles))),
+o AS (SELECT policy_id, entity_type, ax, ay, rx, ry, count(*) AS n, min((i, j)) AS head FROM p GROUP BY ALL),
+f AS (SELECT policy_id, entity_type, action, roles, min(pos) AS at FROM r GROUP BY ALL),
+h AS (SELECT o.*, u.at AS ux, v.at AS uy FROM o JOIN f u ON u.policy_id = o.policy_id AND u.entity_type = o.entity_type AND u.action = ax AND u.roles = rx
+  JOIN f v ON v.policy_id = o.policy_id AND v.entity_type = o.entity_type AND v.action = ay AND v.roles = ry)
+SELECT a.policy_id, a.entity_type, a.ux AS pos_a, a.ax AS action_a, a.uy AS pos_b, a.ay AS action_b, a.n + coalesce(z.n, 0) AS rule_pairs,
+  a.n AS in_order, coalesce(z.n, 0) AS reversed, z.head[2] AS next_pos_a, a.entity_type || ': conflicting actions ' || a.ax || ' vs ' || a.ay ||
+  CASE WHEN list_has_any(a.rx, a.ry) THEN ' for overlapping roles ' || array_to_string(list_sort(list_intersect(a.rx, a.ry)), ', ') ELSE '' END AS description
+FROM h a LEFT JOIN h z ON z.policy_id = a.policy_id AND z.entity_type = a.entity_type AND z.ax = a.ay AND z.rx = a.ry AND z.ay = a.ax AND z.ry = a.rx
+WHERE a.ux < a.uy"""
+
+
+_ROLE_LIST = "CASE WHEN role IS NOT NULL THEN [role] END AS roles"
+
+
+@query("pol_conflicts", _conflicts_sql(f"(SELECT *, {_ROLE_LIST} FROM {sql('rules')})"))
+def _(spark, sf_dir):
+    return policy.conflicts(rules(spark, sf_dir))
+
+
+# A policy per supplier and brand: its rules come back many times, in both orders.
+_REPEATED = {
+    "policy_id": "concat('sup-', CAST(l_suppkey AS STRING))",
+    "pos": "l_orderkey * 10 + l_linenumber",
+    "entity_type": _case("l_partkey % 11", VAULT_TYPES),
+    "action": _case("l_linenumber % 4", ("REDACT", "TOKENIZE", "MASK", "PASS")),
+    "role_a": _case("l_orderkey % 7", ROLES),
+    "role_b": _case("l_partkey % 6", ROLES),
+}
+
+
 @query(
-    "pol_conflicts",
-    f"""WITH v AS (SELECT policy_id, entity_type, action, role, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n
-  FROM {sql('rules')} GROUP BY ALL)
-SELECT a.policy_id, a.entity_type, a.first_pos AS pos_a, a.action AS action_a, CASE WHEN b.first_pos > a.first_pos THEN b.first_pos ELSE b.last_pos END AS pos_b,
-  b.action AS action_b, a.n * b.n AS rule_pairs, a.entity_type || ': conflicting actions ' || a.action || ' vs ' || b.action ||
-  CASE WHEN a.role = b.role THEN ' for overlapping roles ' || a.role ELSE '' END AS description
-FROM v a JOIN v b ON a.policy_id = b.policy_id AND a.entity_type = b.entity_type AND a.first_pos < b.last_pos
- AND a.action <> b.action AND (a.role IS NULL OR b.role IS NULL OR a.role = b.role)""",
+    "pol_conflicts_repeated",
+    _conflicts_sql(f"(SELECT *, list_filter([role_a, role_b], lambda x: x IS NOT NULL) AS roles FROM (SELECT {', '.join(_select(_REPEATED))} FROM lineitem))"),
 )
 def _(spark, sf_dir):
-    return policy.conflicts(rules(spark, sf_dir))
+    lines = _lineitem(spark, sf_dir).selectExpr(*_select(_REPEATED))
+    return policy.conflicts(lines.withColumn("roles", F.array_compact(F.array("role_a", "role_b"))))
 
 
 @query(
