@@ -1,17 +1,20 @@
 """Scan sessions: listing, detail, extension and erasure as table-to-table jobs.
 
-Changes return new tables; the caller writes them.  Requests that cannot be
-carried out come back in a ``rejected`` frame.
+Changes return new tables, which the caller writes, or change stored tables in place
+(``purge_stored``).  Requests that cannot be carried out come back in a ``rejected`` frame.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.operators.reports import chosen, newest
+from veilframe.sources.rewrite import erase_rows, finish_rewrites, rewrite_rows
+from veilframe.sources.staging import stage
+from veilframe.sources.tables import read_table
 
 TTL_HOURS = 24
 MAX_EXTENSION_HOURS = 168
@@ -135,6 +138,18 @@ def extend_sessions(sessions: DataFrame, requests: DataFrame, now: Column) -> tu
     return updated, events, singly.where("reason IS NOT NULL").select("session_id", "hours", "reason")
 
 
+def _erased(sessions: DataFrame, flags: DataFrame) -> DataFrame:
+    """Sessions, those in ``flags`` (``id, _purge``) marked PURGED and without counts."""
+    hit = F.coalesce("_purge", F.lit(False))
+    return sessions.join(flags, "id", "left").withColumns(
+        {
+            "status": F.when(hit, "PURGED").otherwise(F.col("status")),
+            "entities_protected": F.when(hit, 0).otherwise(F.col("entities_protected")),
+            "tokens_generated": F.when(hit, 0).otherwise(F.col("tokens_generated")),
+        }
+    ).select(*sessions.columns)
+
+
 def purge(
     sessions: DataFrame, entities: DataFrame, requests: DataFrame, now: Column
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -142,14 +157,7 @@ def purge(
     new sessions, the remaining entities, audit events and the rejected requests."""
     asked = requests.select("session_id").distinct()
     flags = asked.select(F.col("session_id").alias("id"), F.lit(True).alias("_purge"))
-    hit = F.coalesce("_purge", F.lit(False))
-    marked = sessions.join(flags, "id", "left")
-    updated = marked.select(
-        *[c for c in sessions.columns if c not in ("status", "entities_protected", "tokens_generated")],
-        F.when(hit, "PURGED").otherwise(F.col("status")).alias("status"),
-        F.when(hit, 0).otherwise(F.col("entities_protected")).alias("entities_protected"),
-        F.when(hit, 0).otherwise(F.col("tokens_generated")).alias("tokens_generated"),
-    ).select(*sessions.columns)
+    updated = _erased(sessions, flags)
     remaining = entities.join(asked, "session_id", "left_anti")
     lost = entities.join(asked, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("_n"))
     erased = sessions.join(flags, "id").join(lost, F.col("id") == lost["session_id"], "left").drop("session_id")
@@ -160,3 +168,28 @@ def purge(
         "session_id", F.lit("session not found").alias("reason")
     )
     return updated, remaining, events, rejected
+
+
+def purge_stored(
+    spark: SparkSession, sessions_path: str, entities_path: str, requests: DataFrame, now: Column
+) -> tuple[DataFrame, DataFrame]:
+    """The same in place, on stored ``scan_sessions`` and ``entities_detected``: only files
+    that hold rows of the sessions are rewritten (``sources.rewrite``).  Returns the audit
+    events, to be chained and appended, and the rejected requests.
+
+    Events and requests are worked out and kept before the first row goes.  Entities go
+    first: a run that is cut off after them is repeated, and its events then count what
+    was left; a session is only PURGED once its entities are gone."""
+    def stored(name: str, path: str):
+        return lambda: read_table(spark, name, path)
+
+    for path in (sessions_path, entities_path):
+        finish_rewrites(spark, path)
+    sessions, entities = stored("scan_sessions", sessions_path), stored("entities_detected", entities_path)
+    _, _, events, rejected = purge(sessions(), entities(), requests, now)
+    events, rejected = stage(events), stage(rejected)
+    asked = events.select("session_id")
+    erase_rows(spark, entities_path, entities, asked, "session_id")
+    flags = asked.select(F.col("session_id").alias("id"), F.lit(True).alias("_purge"))
+    rewrite_rows(spark, sessions_path, sessions, flags, "id", lambda rows: _erased(rows, flags))
+    return events, rejected

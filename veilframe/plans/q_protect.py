@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilframe.functions import masking
@@ -18,7 +20,8 @@ from veilframe.plans.catalog import query, shown_map
 from veilframe.plans.derived import NOW, now, sql, table
 from veilframe.plans.detection_sql import entities_cte, quote, spliced
 from veilframe.plans.q_detect import ENTS, SAMPLED, detected, payloads, sampled
-from veilframe.sources.staging import stage
+from veilframe.sources.rewrite import erase_rows
+from veilframe.sources.staging import checkpoint_dir, stage
 
 _SESSIONS = sql("vault_sessions")
 _DOCS = sql("payloads")
@@ -392,3 +395,17 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     purged = sessions(spark, sf_dir).where("ttl_seconds % 1800 = 0")
     return protect.purge_sessions(entries(spark, sf_dir, "REDACT"), purged).select("vault_ref", "session_id")
+
+
+@query(
+    "vlt_purge_stored",
+    f"SELECT vault_ref, session_id, sanitized AS sanitized_text FROM {_entries_sql('REDACT')} WHERE session_id NOT IN "
+    f"(SELECT session_id FROM {_SESSIONS} WHERE ttl_seconds % 1800 = 0)",
+)
+def _(spark, sf_dir):
+    """The same on stored entries, erased in place."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vault-{uuid.uuid4().hex}"
+    entries(spark, sf_dir, "REDACT").select("vault_ref", "session_id", "sanitized_text").write.parquet(path)
+    purged = sessions(spark, sf_dir).where("ttl_seconds % 1800 = 0")
+    erase_rows(spark, path, lambda: spark.read.parquet(path), purged, "session_id", None)
+    return spark.read.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from veilframe.plans.derived import sql, table
 from veilframe.plans.detection_sql import quote
 from veilframe.plans.q_policy import _LISTED_SQL, listed
 from veilframe.plans.q_traffic import WEIGHT_SQL
-from veilframe.sources.staging import stage
+from veilframe.sources.staging import checkpoint_dir, stage
+from veilframe.sources.tables import append_table, read_table
 
 _S, _E, _A, _T, _L = (sql(n) for n in ("sessions", "entities", "audit", "threats", "logs"))
 _SINCE = datetime(1999, 1, 1)
@@ -189,6 +191,54 @@ def _(spark, sf_dir):
     return _purge(spark, sf_dir)[3]
 
 
+
+# Stored tables in folders by month; the sessions of one month are erased in place.
+_ERASED = "(SELECT o_orderkey AS session_id FROM orders WHERE o_orderdate >= DATE '1995-03-01' AND o_orderdate < DATE '1995-04-01')"
+
+
+def _stored_purge(spark, sf_dir):
+    """Paths of sessions and entities after the purge, and its events."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/purge-{uuid.uuid4().hex}"
+    paths = []
+    for view, name, time in (("sessions", "scan_sessions", "created_at"), ("entities", "entities_detected", "detected_at")):
+        paths.append(f"{folder}/{name}")
+        by_month = table(spark, sf_dir, view).withColumn(time, F.date_trunc("month", time))
+        append_table(by_month.withColumn("token", F.lit(None).cast("string")) if view == "entities" else by_month, name, paths[-1])
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderdate >= DATE '1995-03-01' AND o_orderdate < DATE '1995-04-01'")
+    events, _ = sessions.purge_stored(spark, *paths, asked.select(F.col("o_orderkey").alias("session_id")), F.to_timestamp(F.lit(_CREATED)))
+    return *paths, events
+
+
+_ENTITY_MONTH, _SESSION_MONTH = (shown_sql(f"date_trunc('month', {time})") for time in ("detected_at", "created_at"))
+
+
+@query(
+    "ses_purge_stored",
+    f"SELECT id, session_id, entity_type, action, {_ENTITY_MONTH} AS at FROM {_E} WHERE session_id NOT IN {_ERASED}",
+)
+def _(spark, sf_dir):
+    left = read_table(spark, "entities_detected", _stored_purge(spark, sf_dir)[1])
+    return left.select("id", "session_id", "entity_type", "action", shown("detected_at").alias("at"))
+
+
+@query(
+    "ses_purge_stored_sessions",
+    f"SELECT id, name, CASE WHEN id IN {_ERASED} THEN 'PURGED' ELSE status END AS status, "
+    f"CASE WHEN id IN {_ERASED} THEN 0 ELSE entities_protected END AS entities_protected, {_SESSION_MONTH} AS at FROM {_S}",
+)
+def _(spark, sf_dir):
+    left = read_table(spark, "scan_sessions", _stored_purge(spark, sf_dir)[0])
+    return left.select("id", "name", "status", "entities_protected", shown("created_at").alias("at"))
+
+
+@query(
+    "ses_purge_stored_events",
+    f"SELECT p.session_id, '{{\"entities_purged\":' || (SELECT count(*) FROM {_E} e WHERE e.session_id = p.session_id) || '}}' AS entities_json FROM {_ERASED} p",
+)
+def _(spark, sf_dir):
+    return _stored_purge(spark, sf_dir)[2].select("session_id", "entities_json")
+
+
 # -- compliance: two types are seen as a third, so that some types stay unseen
 
 _SEEN = f"(SELECT * REPLACE (CASE WHEN entity_type IN ('DATE', 'IBAN') THEN 'PASSPORT' ELSE entity_type END AS entity_type) FROM {_E})"
