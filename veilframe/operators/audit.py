@@ -11,6 +11,7 @@ from veilframe.functions.constants import GENESIS_HASH
 from veilframe.functions.dialect import strip
 from veilframe.functions.ordered import WIDTH, positions, previous
 from veilframe.operators.reports import chosen, counts_by, hour_of, mean, newest, one_row
+from veilframe.sources.staging import stage_files
 
 #: Events in a segment; segments, and groups of them, in a group of the next level.
 SEGMENT_ROWS = 1024
@@ -46,11 +47,19 @@ def build_chain(events: DataFrame, seals: DataFrame | None = None, segment_rows:
     if seals is not None:
         first = seals.agg(F.coalesce(F.max("segment") + 1, F.lit(0))).first()[0]
     placed = positions(events, "seq").withColumn("segment", F.expr(f"{int(first)} + position div {int(segment_rows)}")).drop("position")
-    blocks = segment_digests(placed).select(F.col("segment").alias("no"), "digest")
-    if seals is not None:
-        blocks = blocks.union(seals.select("segment", "digest"))
-    starts = _starts(blocks, LEVELS).where(F.col("no") >= first).select(F.col("no").alias("segment"), F.col("start").alias("_start"))
-    stamped = F.struct(F.col("seq").alias("_seq"), F.struct(*placed.columns).alias("row"))
+    # What is hashed rides along with the rows: one shuffle gives rows and digests.
+    head = F.concat("event_id", "event_type", timestamp_text(F.col("timestamp")))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("seq").alias("_seq"), head.alias("head"), F.struct(*placed.columns).alias("row"))))
+    segments = placed.groupBy("segment").agg(rows.alias("_rows")).withColumn("digest", _digest(F.col("_rows")["head"]))
+    segments = stage_files(segments, "segments")
+    last = segments.agg(F.coalesce(F.max("segment"), F.lit(first))).first()[0]
+    level, base = _reach(max(first - 1, 0), last)
+    blocks, start = segments.select(F.col("segment").alias("no"), "digest"), GENESIS_HASH
+    if first:
+        sealed = seals.where(F.col("segment") >= base)
+        start = sealed.where(F.col("segment") == base).first()["start"]
+        blocks = blocks.union(sealed.select("segment", "digest"))
+    starts = _starts(blocks, level, start).where(F.col("no") >= first).select(F.col("no").alias("segment"), F.col("start").alias("_start"))
     width = len(GENESIS_HASH)
 
     def nth(i):
@@ -58,16 +67,13 @@ def build_chain(events: DataFrame, seals: DataFrame | None = None, segment_rows:
 
     def link(hashes, e):
         before = F.decode(F.substring(hashes, F.lit(-width), F.lit(width)), "UTF-8")
-        row = e["row"]
-        return F.concat(hashes, F.encode(event_hash(before, row["event_id"], row["event_type"], timestamp_text(row["timestamp"])), "UTF-8"))
+        return F.concat(hashes, F.encode(F.sha2(F.concat(e["head"], before), 256), "UTF-8"))
 
     # All hashes of a segment in one byte string, the start first: a fold copies its state at every
     # step, and bytes are the cheapest thing to copy.  The rows ride along: no join back to the events.
     hashes = F.aggregate("_rows", F.encode("_start", "UTF-8"), link)
     return (
-        placed.groupBy("segment")
-        .agg(F.array_sort(F.collect_list(stamped)).alias("_rows"))
-        .join(starts, "segment")
+        segments.join(starts, "segment")
         .select("_rows", F.explode(F.array(hashes)).alias("_hashes"))
         .select("_hashes", F.posexplode("_rows").alias("_i", "_e"))
         .select("_e.row.*", nth(F.col("_i")).alias("prev_hash"), nth(F.col("_i") + 1).alias("hash"))
@@ -87,6 +93,21 @@ def segment_digests(events: DataFrame, *more: Column) -> DataFrame:
     return events.groupBy("segment").agg(F.count("*").alias("n"), F.sha2(F.array_join(each["content"], ""), 256).alias("digest"), *more)
 
 
+def _digest(heads: Column) -> Column:
+    """The digest of a segment by what its events hold."""
+    return F.sha2(F.array_join(F.transform(heads, lambda h: F.sha2(h, 256)), ""), 256)
+
+
+def _reach(first: int, last: int) -> tuple[int, int]:
+    """Levels needed to go from segment ``first`` to ``last``, and the first segment of the
+    block that holds both.  Its start is that of all blocks that begin with it."""
+    for level in range(LEVELS):
+        size = FAN ** (level + 1)
+        if first // size == last // size:
+            return level, first // size * size
+    return LEVELS, 0
+
+
 def _sealed(start: Column, digest: Column) -> Column:
     return F.sha2(F.concat(start, digest), 256)
 
@@ -95,14 +116,15 @@ def _group(blocks: DataFrame, level: int) -> DataFrame:
     return blocks.withColumn("group", F.expr(f"no div {FAN}") if level else F.lit(0).cast("bigint"))
 
 
-def _starts(blocks: DataFrame, level: int) -> DataFrame:
-    """``no, start`` for blocks ``no, digest`` numbered without gaps."""
+def _starts(blocks: DataFrame, level: int, start: str = GENESIS_HASH) -> DataFrame:
+    """``no, start`` for blocks ``no, digest`` numbered without gaps, the first of which
+    has the given start."""
     grouped = _group(blocks, level).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("no", "digest"))).alias("items"))
     if level:
         above = grouped.select(F.col("group").alias("no"), F.sha2(F.array_join("items.digest", ""), 256).alias("digest"))
-        grouped = grouped.join(_starts(above, level - 1).withColumnRenamed("no", "group"), "group")
+        grouped = grouped.join(_starts(above, level - 1, start).withColumnRenamed("no", "group"), "group")
     else:
-        grouped = grouped.withColumn("start", F.lit(GENESIS_HASH))
+        grouped = grouped.withColumn("start", F.lit(start))
     states = F.aggregate(
         "items", F.array("start"), lambda done, x: F.concat(done, F.array(_sealed(F.element_at(done, F.lit(-1)), x["digest"])))
     )
@@ -110,27 +132,28 @@ def _starts(blocks: DataFrame, level: int) -> DataFrame:
     return items.select("x.no", F.get("states", F.col("i")).alias("start"))
 
 
-def seal_segments(chained: DataFrame) -> DataFrame:
+def seal_segments(chained: DataFrame, *more: Column) -> DataFrame:
     """One row per segment, to be kept apart from the events: ``segment, n, digest`` and
     its ``start``.  They tell what was written, so that even a cut-off end is seen, and
-    new events are chained after them."""
-    return segment_digests(chained, F.min_by("prev_hash", "seq").alias("start"))
+    new events are chained after them; with ``more`` aggregates."""
+    return segment_digests(chained, F.min_by("prev_hash", "seq").alias("start"), *more)
 
 
-def _expected(blocks: DataFrame, level: int) -> DataFrame:
+def _expected(blocks: DataFrame, level: int, base: int = 0, start: str = GENESIS_HASH) -> DataFrame:
     """``no, expected``: the start that each block should have by the starts and digests
-    of the blocks there are; null for a block whose forerunner is missing."""
+    of the blocks there are, block ``base`` having the given one; null for a block whose
+    forerunner is missing."""
     blocks = _group(blocks, level)
     if level:
         above = blocks.groupBy("group").agg(
             F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("no", "digest")))["digest"], ""), 256).alias("digest"),
             F.min_by("start", "no").alias("start"),
         )
-        above = _expected(above.withColumnRenamed("group", "no"), level - 1)
+        above = _expected(above.withColumnRenamed("group", "no"), level - 1, base // FAN, start)
         blocks = blocks.join(above.select(F.col("no").alias("group"), F.col("expected").alias("given")), "group")
         opens = F.col("no") % FAN == 0
     else:
-        blocks, opens = blocks.withColumn("given", F.lit(GENESIS_HASH)), F.col("no") == 0
+        blocks, opens = blocks.withColumn("given", F.lit(start)), F.col("no") == base
     inside = Window.partitionBy("group").orderBy("no")
     follows = F.lag("no").over(inside) == F.col("no") - 1
     sealed = _sealed(F.lag("start").over(inside), F.lag("digest").over(inside))
@@ -147,12 +170,21 @@ def check_links(chained: DataFrame, width: int = WIDTH) -> DataFrame:
     ``hash_ok`` recomputes the hash.
     """
     if "segment" in chained.columns:
-        inside = Window.partitionBy("segment").orderBy("seq")
-        starts = _expected(seal_segments(chained).select(F.col("segment").alias("no"), "digest", "start"), LEVELS)
-        df = chained.withColumns({"_first": F.row_number().over(inside) == 1, "_before": F.lag("hash").over(inside)})
-        df = df.join(starts.withColumnRenamed("no", "segment"), "segment")
-        expected = F.when(F.col("_first"), F.col("expected")).otherwise(F.col("_before"))
-        df = df.withColumn("expected_prev_hash", expected).drop("_first", "_before", "expected")
+        head = F.concat("event_id", "event_type", timestamp_text(F.col("timestamp")))
+        row = F.struct(F.col("seq").alias("_seq"), head.alias("head"), F.struct(*chained.columns).alias("row"))
+        # one shuffle gives links, digests and starts
+        segments = chained.groupBy("segment").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+        segments = segments.withColumns({"digest": _digest(F.col("_rows")["head"]), "start": F.get("_rows", F.lit(0))["row"]["prev_hash"]})
+        segments = stage_files(segments, "segments")
+        last = segments.agg(F.coalesce(F.max("segment"), F.lit(0))).first()[0]
+        starts = _expected(segments.select(F.col("segment").alias("no"), "digest", "start"), _reach(0, last)[0])
+
+        def paired(r: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.col("expected")).otherwise(F.get("_rows", i - 1)["row"]["hash"])
+            return F.struct(r["row"].alias("row"), before.alias("before"))
+
+        df = segments.join(starts.withColumnRenamed("no", "segment"), "segment").select(F.explode(F.transform("_rows", paired)).alias("_e"))
+        df = df.select("_e.row.*", F.col("_e.before").alias("expected_prev_hash"))
         link_ok = F.coalesce(F.col("prev_hash") == F.col("expected_prev_hash"), F.lit(False))
     else:
         df = previous(chained, "seq", "hash", "expected_prev_hash", width)
@@ -161,6 +193,68 @@ def check_links(chained: DataFrame, width: int = WIDTH) -> DataFrame:
     return df.withColumns({"link_ok": link_ok, "hash_ok": F.coalesce(rehashed == F.col("hash"), F.lit(False))})
 
 
+def check_segments(chained: DataFrame) -> DataFrame:
+    """One row per segment of a chain: ``segment, n``, its ``digest`` and ``start`` as they
+    are, ``broken`` links inside it, ``wrong_hashes``, and its first and last event (structs
+    of ``seq, event_id``).  Only what is hashed is shuffled, once."""
+    head = F.concat("event_id", "event_type", timestamp_text(F.col("timestamp")))
+    right = F.coalesce(event_hash(F.col("prev_hash"), F.col("event_id"), F.col("event_type"), timestamp_text(F.col("timestamp"))) == F.col("hash"), F.lit(False))
+    row = F.struct("seq", head.alias("head"), "prev_hash", "hash", right.alias("right"), "event_id")
+    segments = chained.groupBy("segment").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+
+    def link_ok(r: Column, i: Column) -> Column:
+        return (i == 0) | F.coalesce(r["prev_hash"] == F.get("_rows", i - 1)["hash"], F.lit(False))
+
+    def end(i: Column) -> Column:
+        e = F.get("_rows", i)
+        return F.struct(e["seq"].alias("seq"), e["event_id"].alias("event_id"))
+
+    return segments.select(
+        "segment",
+        F.size("_rows").cast("bigint").alias("n"),
+        _digest(F.col("_rows")["head"]).alias("digest"),
+        F.get("_rows", F.lit(0))["prev_hash"].alias("start"),
+        F.size(F.filter(F.transform("_rows", link_ok), lambda ok: ~ok)).alias("broken"),
+        F.size(F.filter("_rows", lambda r: ~r["right"])).alias("wrong_hashes"),
+        end(F.lit(0)).alias("first"),
+        end(F.size("_rows") - 1).alias("last"),
+    )
+
+
+def verify_segments(checked: DataFrame, seals: DataFrame | None = None) -> DataFrame:
+    """``verify`` from the rows of ``check_segments``, of a whole chain or, with the
+    ``seals`` of the segments before (verified earlier), of those after them."""
+    checked = stage_files(checked, "checked")
+    first, last = checked.agg(F.min("segment"), F.max("segment")).first()
+    base, level, start = 0, LEVELS, GENESIS_HASH
+    blocks = checked.select(F.col("segment").alias("no"), "digest", "start")
+    if last is not None:
+        level, base = _reach(first - 1 if seals is not None and first else 0, last)
+        if seals is not None and first:
+            before = seals.where(F.col("segment").between(base, first - 1)).select("segment", "digest", "start")
+            opening = before.where(F.col("segment") == base).first()
+            start = opening["start"] if opening else GENESIS_HASH
+            blocks = blocks.union(before)
+        else:
+            base = 0
+    expected = _expected(blocks, level, base, start).withColumnRenamed("no", "segment")
+    bad_start = F.coalesce(F.col("start") != F.col("expected"), F.lit(True)).cast("int")
+    total = checked.join(expected, "segment", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
+        F.coalesce(F.sum(F.col("broken") + bad_start), F.lit(0)).alias("broken_links"),
+        F.coalesce(F.sum("wrong_hashes"), F.lit(0)).alias("wrong_hashes"),
+        F.min("first")["event_id"].alias("first_event"),
+        F.max("last")["event_id"].alias("last_event"),
+    )
+    return total.select((F.col("broken_links") == 0).alias("verified"), *total.columns)
+
+
+def verify_chain(chained: DataFrame) -> DataFrame:
+    """The same figures as ``verify`` of ``check_links``, where its rows are not wanted: a
+    row per segment is all that is kept."""
+    return verify_segments(check_segments(chained))
+
+
 def changed_segments(chained: DataFrame, seals: DataFrame) -> DataFrame:
     """Sealed segments that the table lacks or holds otherwise, the last one too:
     ``segment, n`` (rows sealed), ``found`` (rows there) and ``state`` (missing or changed)."""
@@ -205,6 +299,42 @@ def with_neighbours(events: DataFrame) -> DataFrame:
     )
 
 
+def neighbours_by_hash(events: DataFrame, start_hashes: DataFrame | None = None) -> DataFrame:
+    """Every event with what a look-up of hashes finds, whatever the order and place of the
+    rows: ``prev_event`` (id of the event whose hash it points to; the first by ``seq``, if
+    several have it), ``next_event`` (id of the first event that points to it) and
+    ``followers`` (how many do; more than one is a fork).  ``orphan`` tells that it points
+    to a hash that nobody has.
+
+    The genesis hash, and the starts of segments (``start_hashes``: a column ``start``, as
+    ``seal_segments`` gives them), are hashes of no event: they take part in no join and
+    make no orphans.  Both sides of a join have one row per hash, so a hash that many rows
+    share multiplies nothing."""
+    at = F.struct("seq", "event_id")
+    points = F.col("prev_hash").isNotNull() & (F.col("prev_hash") != GENESIS_HASH)
+    if start_hashes is not None:
+        starts = start_hashes.select(F.col("start").alias("prev_hash")).where(F.col("prev_hash").isNotNull()).distinct().withColumn("_starts", F.lit(True))
+        events = events.join(starts, "prev_hash", "left")
+        points &= F.col("_starts").isNull()
+    keyed = events.select("*", F.when(points, F.col("prev_hash")).alias("_to"))
+    owners = events.where(F.col("hash").isNotNull()).groupBy(F.col("hash").alias("_to")).agg(F.min(at)["event_id"].alias("prev_event"))
+    followers = keyed.where(F.col("_to").isNotNull()).groupBy(F.col("_to").alias("hash")).agg(
+        F.min(at)["event_id"].alias("next_event"), F.count("*").alias("followers")
+    )
+    found = keyed.join(owners, "_to", "left").join(followers, "hash", "left")
+    return found.withColumns(
+        {"followers": F.coalesce("followers", F.lit(0)), "orphan": F.col("_to").isNotNull() & F.col("prev_event").isNull()}
+    ).drop("_to", "_starts")
+
+
+def forks(events: DataFrame, start_hashes: DataFrame | None = None) -> DataFrame:
+    """The events of a fork: ``event_id`` and the ``follower``s of events that have more
+    than one, a row each."""
+    found = neighbours_by_hash(events, start_hashes).where("followers > 1")
+    owners = found.groupBy("hash").agg(F.min(F.struct("seq", "event_id"))["event_id"].alias("event_id"))
+    return events.select(F.col("prev_hash").alias("hash"), F.col("event_id").alias("follower")).join(owners, "hash").select("event_id", "follower")
+
+
 def entity_types(entities_json: Column) -> Column:
     """Entity types named in ``entities_json``: a list of objects with ``type``, a
     list of scalars, or one comma-separated string; null for anything else."""
@@ -232,11 +362,13 @@ def list_events(
     entity_type: str | None = None,
     limit: int = 50,
     offset: int = 0,
+    after: tuple | None = None,
 ) -> DataFrame:
+    """A page of events, newest first; ``after``: see ``reports.newest``."""
     equal = {"event_type": event_type, "agent_id": agent_id, "session_id": session_id, "policy_id": policy_id}
     if entity_type is not None:
         events = events.where(F.array_contains(entity_types(F.col("entities_json")), entity_type))
-    return newest(events, equal, "timestamp", "seq", date_from, date_to, limit, offset)
+    return newest(events, equal, "timestamp", "seq", date_from, date_to, limit, offset, after)
 
 
 def export_events(

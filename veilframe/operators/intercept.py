@@ -107,7 +107,7 @@ def log_rows(df: DataFrame, direction: str = "INBOUND") -> DataFrame:
         F.substring("payload", 1, PREVIEW_CHARS).alias("payload_preview"),
         "entities_found",
         "action_taken",
-        *[c for c in ("latency_ms", "timestamp") if c in df.columns],
+        *[c for c in ("id", "latency_ms", "timestamp") if c in df.columns],
     )
 
 
@@ -130,10 +130,11 @@ def list_logs(
     date_to: datetime | None = None,
     limit: int = 50,
     offset: int = 0,
+    after: tuple | None = None,
 ) -> DataFrame:
     """Log rows, newest first; only the filters that are set reach the scan."""
     equal = {"surface": surface, "direction": direction, "agent_id": agent_id, "action_taken": action_taken}
-    return newest(logs, equal, "timestamp", "id", date_from, date_to, limit, offset)
+    return newest(logs, equal, "timestamp", "id", date_from, date_to, limit, offset, after)
 
 
 def log_stats(logs: DataFrame) -> DataFrame:

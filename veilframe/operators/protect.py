@@ -8,6 +8,7 @@ own replacements.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -214,18 +215,36 @@ def protect_texts(docs: DataFrame, sessions: DataFrame, now: Column, mode: str =
 def restore(requests: DataFrame, entries: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:
     """Original text and number of distinct replacements per requested
     ``vault_ref``; both null where the reference is unknown or has expired."""
-    state = sessions.select("session_id", is_expired(now).alias("_expired"))
-    found = entries.select("vault_ref", "session_id", "original_text", F.size("mappings").alias("_n")).join(
-        state, "session_id", "left"
-    )
+    entry = F.struct("session_id", "original_text", F.size("mappings").alias("n"))
+    state = sessions.select(F.col("session_id").alias("_session"), is_expired(now).alias("_expired"))
+    found = requests.join(entries.select("vault_ref", entry.alias("_entry")), "vault_ref", "left")
+    found = found.join(state, F.col("_entry.session_id") == F.col("_session"), "left")
     readable = F.coalesce(~F.col("_expired"), F.lit(False))
-    return requests.join(found, "vault_ref", "left").select(
+    return found.select(
         *requests.columns,
-        F.when(readable, F.col("original_text")).alias("original_text"),
-        F.when(readable, F.col("_n")).alias("entities_restored"),
+        F.when(readable, F.col("_entry.original_text")).alias("original_text"),
+        F.when(readable, F.col("_entry.n")).alias("entities_restored"),
     )
 
 
+def write_entries(entries: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Store vault entries as the catalog's table ``table`` with its files at ``path``: in
+    buckets by ``vault_ref``, sorted, with Bloom filters.  Requests then meet the entries
+    where they lie (``restore`` of ``spark.table(table)`` shuffles requests only), and
+    ``find_entries`` reads few row groups."""
+    dealt = entries.repartition(buckets, "vault_ref")  # a file for each bucket
+    (
+        dealt.write.format("parquet").mode("overwrite").bucketBy(buckets, "vault_ref").sortBy("vault_ref")
+        .option("path", path).option("parquet.bloom.filter.enabled#vault_ref", "true").saveAsTable(table)
+    )
+
+
+def find_entries(entries: DataFrame, refs: Sequence[str]) -> DataFrame:
+    """The entries of a few references, without a shuffle: only their buckets' files are
+    opened, and Bloom filters and bounds skip row groups."""
+    return entries.where(F.col("vault_ref").isin(*refs))
+
+
 def get_entries(requests: DataFrame, entries: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:
     """The entries of the requested references whose session is still open."""
     live = sessions.where(~is_expired(now)).select("session_id")

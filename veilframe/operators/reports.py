@@ -54,12 +54,31 @@ def newest(
     date_to: datetime | None = None,
     limit: int = 50,
     offset: int = 0,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """A page of the rows that meet the filters, newest first."""
+    """A page of the rows that meet the filters, newest first.
+
+    ``after``: the time and tie-breaker of the last row of the page before.  Such a page is
+    as cheap as the first one: later days are not read, and only ``limit`` rows are kept,
+    where ``offset`` sorts and holds all rows it skips.  Rows without a time come last."""
+    if after is not None:
+        if offset:
+            raise ValueError("a page follows a row or skips rows, not both")
+        df = _older(df, time, tiebreak, *after)
     page = chosen(df, equal, time, date_from, date_to).orderBy(F.desc(time), F.desc(tiebreak))
     return page.offset(offset).limit(limit) if offset else page.limit(limit)
 
 
+def _older(df: DataFrame, time: str, tiebreak: str, last_time, last_id) -> DataFrame:
+    """Rows that follow a row in the order of ``newest``."""
+    smaller = F.col(tiebreak) < F.lit(last_id)
+    if last_time is None:
+        return df.where(F.col(time).isNull() & smaller)
+    at = F.lit(last_time)
+    df = df.where((F.col(time) < at) | ((F.col(time) == at) & smaller) | F.col(time).isNull())
+    return df.where((F.col("day") <= F.to_date(at)) | F.col("day").isNull()) if "day" in df.columns else df
+
+
 def counts_by(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """``dimension, value, n`` for each dimension, from a single scan; null values
     are left out.  Counts are combined before the shuffle, so a value that holds

@@ -43,9 +43,10 @@ def list_sessions(
     date_to: datetime | None = None,
     limit: int = 50,
     offset: int = 0,
+    after: tuple | None = None,
 ) -> DataFrame:
     equal = {"status": status, "agent_id": agent_id}
-    return newest(sessions, equal, "created_at", "id", date_from, date_to, limit, offset)
+    return newest(sessions, equal, "created_at", "id", date_from, date_to, limit, offset, after)
 
 
 def count_sessions(

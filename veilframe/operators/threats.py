@@ -219,9 +219,10 @@ def list_threats(
     date_to: datetime | None = None,
     limit: int = 50,
     offset: int = 0,
+    after: tuple | None = None,
 ) -> DataFrame:
     equal = {"threat_type": threat_type, "severity": severity, "status": status, "agent_id": agent_id}
-    return newest(events, equal, "timestamp", "id", date_from, date_to, limit, offset)
+    return newest(events, equal, "timestamp", "id", date_from, date_to, limit, offset, after)
 
 
 def get_threat(events: DataFrame, threat_id: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilframe.functions.constants import GENESIS_HASH
@@ -10,7 +12,8 @@ from veilframe.plans.catalog import mean_sql, query, shown, shown_sql
 from veilframe.plans.derived import sql, table
 from veilframe.plans.q_traffic import _FROM, _PERIOD, _TO, _counts_sql, _hours_sql
 from veilframe.operators.reports import latest_hours
-from veilframe.sources.staging import stage
+from veilframe.sources.appends import append_chain, verify_new
+from veilframe.sources.staging import checkpoint_dir, stage
 
 _AUDIT = sql("audit")
 _ISO = "strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f')"
@@ -135,7 +138,7 @@ _VERIFY = (
 
 @query("aud_verify", f"{_checked_sql(_TAMPERED)} {_VERIFY}")
 def _(spark, sf_dir):
-    return audit.verify(audit.check_links(tampered(spark, sf_dir)))
+    return audit.verify_chain(tampered(spark, sf_dir))
 
 
 @query(
@@ -144,7 +147,7 @@ def _(spark, sf_dir):
     f"min_by(event_id, seq) AS first_event, max_by(event_id, seq) AS last_event FROM {_AUDIT}",
 )
 def _(spark, sf_dir):
-    return audit.verify(audit.check_links(stage(chained(spark, sf_dir))))
+    return audit.verify_chain(stage(chained(spark, sf_dir)))
 
 
 _GUTTED = "SELECT * FROM chained WHERE segment <> 1"
@@ -196,6 +199,75 @@ def _(spark, sf_dir):
     return audit.with_neighbours(kept).select("seq", "hash", "prev_event_hash", "next_event_hash")
 
 
+# A forged event beside some events, and some events gone: order and place tell other neighbours.
+_FORKED = f"""{_CHAIN}, forked AS (SELECT seq, event_id, hash, prev_hash FROM chained WHERE seq % 701 <> 9
+  UNION ALL SELECT seq, event_id || '-forged', md5(hash), prev_hash FROM chained WHERE seq % 499 = 3 AND seq % 701 <> 9),
+starts AS (SELECT start FROM chained_starts JOIN chained_blocks USING (segment)),
+linked AS (SELECT *, CASE WHEN prev_hash NOT IN (SELECT start FROM starts) THEN prev_hash END AS too FROM forked)"""
+
+
+def forked(spark, sf_dir):
+    """The events and the seals of the chain they were made from."""
+    whole = stage(chained(spark, sf_dir))
+    kept = whole.where("seq % 701 <> 9").select("seq", "event_id", "hash", "prev_hash")
+    forged = kept.where("seq % 499 = 3").withColumns({"event_id": F.concat("event_id", F.lit("-forged")), "hash": F.md5("hash")})
+    return stage(kept.union(forged)), stage(audit.seal_segments(whole))
+
+
+@query(
+    "aud_neighbours_forked",
+    f"""{_FORKED} SELECT l.event_id, p.event_id AS prev_event, f.next_event, coalesce(f.n, 0) AS followers,
+  l.too IS NOT NULL AND p.event_id IS NULL AS orphan
+FROM linked l LEFT JOIN forked p ON p.hash = l.too
+LEFT JOIN (SELECT too, min_by(event_id, (seq, event_id)) AS next_event, count(*) AS n FROM linked WHERE too IS NOT NULL GROUP BY too) f ON f.too = l.hash""",
+)
+def _(spark, sf_dir):
+    events, seals = forked(spark, sf_dir)
+    return audit.neighbours_by_hash(events, seals).select("event_id", "prev_event", "next_event", "followers", "orphan")
+
+
+@query(
+    "aud_forks",
+    f"""{_FORKED} SELECT o.event_id, l.event_id AS follower FROM linked l JOIN forked o ON o.hash = l.too
+WHERE l.too IN (SELECT too FROM linked GROUP BY too HAVING count(*) > 1)""",
+)
+def _(spark, sf_dir):
+    return audit.forks(*forked(spark, sf_dir))
+
+
+@query(
+    "aud_verify_new",
+    f"SELECT true AS verified, (SELECT count(*) FROM {_AUDIT} WHERE seq % 3 = 2) AS new_events, count(*) AS total_events, 0 AS broken_links, "
+    f"0 AS wrong_hashes, 0 AS changed_segments FROM {_AUDIT}",
+)
+def _(spark, sf_dir):
+    """Three appends; the last one is checked by itself."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/chain-{uuid.uuid4().hex}"
+    for batch in range(3):
+        append_chain(events(spark, sf_dir).where(F.col("seq") % 3 == batch).drop("seq"), path, batch)
+        if batch:
+            report = verify_new(spark, path)
+    return report.select("verified", "new_events", "total_events", "broken_links", "wrong_hashes", "changed_segments")
+
+
+def _third_page(listed, tiebreak: str, time: str = "timestamp"):
+    """The third page, by the last rows of the pages before it."""
+    after = None
+    for _ in range(2):
+        last = listed(after=after).agg(F.min(F.struct(time, tiebreak)).alias("last")).first().last
+        after = tuple(last)
+    return listed(after=after)
+
+
+@query(
+    "aud_page",
+    f"SELECT seq, event_type, {shown_sql('timestamp')} AS at FROM {_AUDIT} ORDER BY timestamp DESC, seq DESC LIMIT 50 OFFSET 100",
+)
+def _(spark, sf_dir):
+    page = _third_page(lambda after: audit.list_events(events(spark, sf_dir), after=after), "seq")
+    return page.select("seq", "event_type", shown("timestamp").alias("at"))
+
+
 @query(
     "aud_list",
     f"SELECT seq, event_type, agent_id, {shown_sql('timestamp')} AS at FROM {_AUDIT} WHERE policy_id = 'pol-2' AND {_PERIOD} "

@@ -304,6 +304,34 @@ def _(spark, sf_dir):
     return protect.restore(_requests(spark, sf_dir), kept, sessions(spark, sf_dir), now())
 
 
+def _bucketed(spark, sf_dir):
+    name = f"vault_entries_{uuid.uuid4().hex}"
+    kept = entries(spark, sf_dir, "GENERALIZE").drop("doc_id")
+    protect.write_entries(kept, name, f"{checkpoint_dir(spark).rstrip('/')}/{name}", buckets=16)
+    return spark.table(name)
+
+
+@query(
+    "vlt_restore_bucketed",
+    f"SELECT w.doc_id, w.vault_ref, CASE WHEN NOT ({_EXPIRED}) THEN t END AS original_text, "
+    f"CASE WHEN NOT ({_EXPIRED}) THEN n END AS entities_restored FROM {_WANTED} w "
+    f"LEFT JOIN {_entries_sql('GENERALIZE')} e USING (vault_ref) LEFT JOIN {_SESSIONS} s USING (session_id)",
+)
+def _(spark, sf_dir):
+    return protect.restore(_requests(spark, sf_dir), _bucketed(spark, sf_dir), sessions(spark, sf_dir), now())
+
+
+@query(
+    "vlt_find_entries",
+    f"SELECT vault_ref, session_id, sanitized AS sanitized_text FROM {_entries_sql('GENERALIZE')} "
+    "WHERE vault_ref IN (SELECT vault_ref FROM (SELECT " + _ref_sql("GENERALIZE") + " AS vault_ref, doc_id FROM documents) ORDER BY doc_id LIMIT 20)",
+)
+def _(spark, sf_dir):
+    refs = payloads(spark, sf_dir).orderBy("doc_id").limit(20).select(protect.vault_ref(F.col("session_id"), F.col("doc_id"), "GENERALIZE").alias("ref"))
+    wanted = [row.ref for row in refs.collect()]
+    return protect.find_entries(_bucketed(spark, sf_dir), wanted).select("vault_ref", "session_id", "sanitized_text")
+
+
 @query(
     "vlt_get_entries",
     f"SELECT e.vault_ref, e.session_id, sanitized AS sanitized_text FROM {_entries_sql('GENERALIZE')} e "

@@ -10,14 +10,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veilframe.functions.constants import VAULT_TYPES
+from veilframe.functions.constants import BLOCK_RISK, POLICY_ESCALATION, VAULT_TYPES
+from veilframe.operators import audit
 from veilframe.plans.catalog import joined, query, shown, shown_sql
-from veilframe.plans.derived import AGENTS, SURFACES, _case
+from veilframe.plans.derived import AGENTS, SURFACES, _case, sql, table
 from veilframe.plans.detection_sql import spliced
 from veilframe.plans.q_detect import ENTS
 from veilframe.plans.q_traffic import _WEIGHT
+from veilframe.sources.appends import append_chain_stream, append_stream, read_chain
 from veilframe.sources.staging import checkpoint_dir
+from veilframe.sources.tables import read_table
 from veilframe.streaming import traffic
+from veilframe.streaming.expiry import expiry_events, timers
 
 _EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 _EVENT = {
@@ -41,6 +45,17 @@ def _events(spark, sf_dir):
     return stream.selectExpr(*[f"{expr} AS {name}" for name, expr in _EVENT.items()])
 
 
+def _in_files(spark, df, files: int = 4) -> str:
+    """A folder with the rows in some files, so that a stream has several batches."""
+    path = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    df.repartition(files).write.parquet(path)
+    return path
+
+
+def _batches(spark, df):
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(_in_files(spark, df))
+
+
 def run(df):
     """The rows a stream appends when it is run over all files."""
     spark = df.sparkSession
@@ -129,3 +144,100 @@ def _(spark, sf_dir):
         "event_id", F.col("timestamp").alias("created_at"), F.lit(86_400).alias("ttl_seconds")
     )
     return run(traffic.open_entries(entries, F.to_timestamp(F.lit("2024-01-15"))).select("event_id"))
+
+
+# ---------------------------------------------------------------- rules, appends, expiry
+
+_RULES = [("pol-0", 0, "EMAIL", "REDACT"), ("pol-0", 1, "IP_ADDRESS", "LOG"), ("pol-1", 0, "PHONE", "REDACT")]
+
+
+@query(
+    "str_intercept_rules",
+    f"""{ENTS}, sums AS (SELECT k, count(*) AS found, sum({_WEIGHT.replace('x.ent', 'ent')})::INT AS points,
+  bool_or(k % 3 = 0 AND ent = 'EMAIL' OR k % 3 = 1 AND ent = 'PHONE') AS escalated FROM ents GROUP BY k)
+SELECT doc_id AS id, {_case('doc_id % 4', SURFACES)} AS surface, coalesce(found, 0) AS entities_found,
+  CASE WHEN points + CASE WHEN escalated THEN {POLICY_ESCALATION} ELSE 0 END >= {BLOCK_RISK} THEN 'BLOCKED' WHEN found > 0 THEN 'TOKENIZED' ELSE 'PASSED' END AS action_taken
+FROM documents LEFT JOIN sums ON k = doc_id""",
+)
+def _(spark, sf_dir):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    texts = traffic.read_stream(spark, _files(sf_dir, "documents"), schema).selectExpr(
+        "doc_id AS id", "text AS payload", f"{_case('doc_id % 4', SURFACES)} AS surface", "CAST(NULL AS STRING) AS agent_id",
+        "concat('pol-', CAST(doc_id % 3 AS STRING)) AS policy_id",
+    )
+    rules = spark.createDataFrame(_RULES, "policy_id string, pos int, entity_type string, action string")
+    return run(traffic.intercept_log(texts, rules)).select("id", "surface", "entities_found", "action_taken")
+
+
+def _appended_chain(spark, sf_dir):
+    folder = f"{checkpoint_dir(spark)}/chain-{uuid.uuid4().hex}"
+    trail = table(spark, sf_dir, "audit").drop("seq")
+    append_chain_stream(_batches(spark, trail), folder, f"{folder}-state").awaitTermination()
+    return read_chain(spark, folder)
+
+
+@query("str_append_chain", "SELECT true AS verified, count(*) AS total_events, 0 AS broken_links, 0 AS wrong_hashes FROM events")
+def _(spark, sf_dir):
+    whole = audit.verify_chain(_appended_chain(spark, sf_dir))
+    return whole.select("verified", "total_events", "broken_links", "wrong_hashes")
+
+
+@query(
+    "str_append_chain_rows",
+    f"SELECT event_id, event_type, agent_id, entities_json, {shown_sql('timestamp')} AS at FROM {sql('audit')}",
+)
+def _(spark, sf_dir):
+    return _appended_chain(spark, sf_dir).select("event_id", "event_type", "agent_id", "entities_json", shown("timestamp").alias("at"))
+
+
+def _appended(spark, sf_dir, view, name):
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    append_stream(_batches(spark, table(spark, sf_dir, view)), name, path, f"{path}-state").awaitTermination()
+    return read_table(spark, name, path)
+
+
+@query("str_append_logs", f"SELECT id, surface, agent_id, action_taken, {shown_sql('timestamp')} AS at FROM {sql('logs')}")
+def _(spark, sf_dir):
+    logs = _appended(spark, sf_dir, "logs", "interceptor_logs")
+    return logs.select("id", "surface", "agent_id", "action_taken", shown("timestamp").alias("at"))
+
+
+@query("str_append_threats", f"SELECT id, threat_type, severity, status, {shown_sql('timestamp')} AS at FROM {sql('threats')}")
+def _(spark, sf_dir):
+    found = _appended(spark, sf_dir, "threats", "threat_events")
+    return found.select("id", "threat_type", "severity", "status", shown("timestamp").alias("at"))
+
+
+@query(
+    "str_expiry_events",
+    f"SELECT 'vlt_' || event_id AS vault_ref, agent_id AS session_id, {shown_sql('ends')} AS expired_at FROM "
+    f"(SELECT *, timestamp + INTERVAL 1 HOUR * (1 + event_id % 72) AS ends FROM {_DETECTIONS}) WHERE ends <= {_CLOSED}",
+)
+def _(spark, sf_dir):
+    entries = table(spark, sf_dir, "audit").selectExpr(
+        "concat('vlt_', CAST(seq AS STRING)) AS vault_ref", "seq", "timestamp AS created_at", "CAST(3600 * (1 + seq % 72) AS INT) AS ttl_seconds"
+    )
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS seq", f"{_EVENT['agent_id']} AS session_id")
+    entries = entries.join(users, "seq").drop("seq")
+    low, high = entries.agg(F.min("created_at"), F.max("created_at")).first()
+    path = f"{checkpoint_dir(spark)}/entries-{uuid.uuid4().hex}"
+    cuts = [low + (high - low) * i / 3 for i in (1, 2)]
+    for part in range(3):  # files in the order of time
+        at = F.when(F.col("created_at") < F.lit(cuts[0]), 0).when(F.col("created_at") < F.lit(cuts[1]), 1).otherwise(2)
+        entries.where(at == part).coalesce(1).write.mode("append").parquet(path)
+    with timers(spark):
+        out = run(expiry_events(spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(path)))
+    return out.select("vault_ref", "session_id", shown("expired_at").alias("expired_at"))
+
+
+@query(
+    "str_salami_bursts",
+    f"""WITH d AS (SELECT *, lag(timestamp) OVER (PARTITION BY agent_id ORDER BY timestamp) AS before FROM {_DETECTIONS}),
+g AS (SELECT *, count(*) FILTER (before IS NULL OR timestamp > before + INTERVAL 2 HOUR) OVER (PARTITION BY agent_id ORDER BY timestamp) AS burst FROM d),
+b AS (SELECT agent_id, burst, min(timestamp) AS a, max(timestamp) + INTERVAL 2 HOUR AS z, count(*) AS entities,
+  string_agg(DISTINCT entity_type, '; ' ORDER BY entity_type) AS types, count(DISTINCT entity_type) AS kinds FROM g GROUP BY 1, 2)
+SELECT {shown_sql('a')} AS window_start, {shown_sql('z')} AS window_end, agent_id, entities, types FROM b WHERE kinds >= 2 AND entities >= 3""",
+)
+def _(spark, sf_dir):
+    found = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[f"{expr} AS {name}" for name, expr in _EVENT.items()])
+    return _shown(traffic.salami_sessions(found, gap="2 hours"))

@@ -52,6 +52,24 @@ class Files:
         if not self.fs.rename(self._path(path), target):
             raise OSError(f"cannot move {path} to {to}")
 
+    def mark(self, folder: str, number: int) -> None:
+        """Leave a number as the last mark of a folder."""
+        self.fs.mkdirs(self._path(folder))
+        self.fs.create(self._path(f"{folder}/{number}"), True).close()
+        for old in self._marks(folder):
+            if old < number:
+                self.delete(f"{folder}/{old}")
+
+    def last_mark(self, folder: str) -> int:
+        """The last mark of a folder, -1 without one."""
+        return max(self._marks(folder), default=-1)
+
+    def _marks(self, folder: str) -> list[int]:
+        if not self.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(folder))]
+        return [int(name) for name in names if name.isdigit()]
+
     def folders(self, path: str, prefix: str) -> list[str]:
         if not self.exists(path):
             return []

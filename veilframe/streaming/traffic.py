@@ -5,7 +5,7 @@ watermark.  All take batch DataFrames too, where the watermark has no effect.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.operators.intercept import intercept, log_rows
@@ -96,21 +96,39 @@ def salami_sessions(
 ) -> DataFrame:
     """The same over bursts: windows that end after ``gap`` without an entity.
 
-    With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set,
-    a stream merges the bursts of a busy agent before the shuffle.
+    In batch, events are first put together by agent and stretches of ``gap`` from fixed
+    points: what lies in one stretch is of one burst, so this is a plain count, combined
+    before the shuffle, however busy an agent is.  Bursts are then stretches whose ends are
+    ``gap`` apart or less, on one row for each agent and stretch.  In a stream, Spark's
+    session windows give the same rows; with
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set it merges
+    the bursts of a busy agent before the shuffle.
     """
+    found = _sessions(detections, agent, time, gap, delay) if detections.isStreaming else _bursts(detections, agent, time, gap)
+    return found.where((F.size("types") >= min_types) & (F.col("entities") >= min_entities))
+
+
+def _sessions(detections: DataFrame, agent: str, time: str, gap: str, delay: str) -> DataFrame:
     grouped = detections.withWatermark(time, delay).groupBy(F.session_window(time, gap), agent)
-    return (
-        _slicing(grouped)
-        .where((F.size("types") >= min_types) & (F.col("entities") >= min_entities))
-        .select(
-            F.col("session_window.start").alias("window_start"),
-            F.col("session_window.end").alias("window_end"),
-            agent,
-            "entities",
-            "types",
-        )
+    window = F.col("session_window")
+    return _slicing(grouped).select(window["start"].alias("window_start"), window["end"].alias("window_end"), agent, "entities", "types")
+
+
+def _bursts(detections: DataFrame, agent: str, time: str, gap: str) -> DataFrame:
+    length = F.expr(f"INTERVAL '{gap}'")
+    stretches = detections.groupBy(F.window(time, gap), agent).agg(
+        F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("n"), F.array_sort(F.collect_set("entity_type")).alias("kinds")
+    )
+    order = Window.partitionBy(agent).orderBy("first")
+    opens = F.coalesce(F.col("first") > F.lag("last").over(order) + length, F.lit(True))
+    numbered = stretches.withColumn("opens", opens.cast("int")).withColumn("burst", F.sum("opens").over(order))
+    whole = numbered.groupBy(agent, "burst").agg(
+        F.min("first").alias("window_start"),
+        (F.max("last") + length).alias("window_end"),
+        F.sum("n").alias("entities"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("types"),
     )
+    return whole.select("window_start", "window_end", agent, "entities", "types")
 
 
 def open_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
