@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -48,3 +50,14 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int):
         size += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def let_go() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers live on
+    for the next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
