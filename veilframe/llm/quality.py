@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shared import slices, utf8
+from veilframe.llm.shared import let_go, slices, utf8
 from veilframe.llm.words import mix
 
 GRAM = 3
@@ -87,7 +87,10 @@ _table: list[np.ndarray] = []
 def _buckets() -> np.ndarray:
     """The hash of every n-gram, tabulated once in a process."""
     if not _table:
-        _table.append((mix(np.arange(1 << 8 * GRAM, dtype=np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16))
+        table, block = np.empty(1 << 8 * GRAM, np.uint16), 1 << 16
+        for at in range(0, len(table), block):
+            table[at : at + block] = mix(np.arange(at, at + block, dtype=np.uint64)) >> np.uint64(64 - BUCKET_BITS)
+        _table.append(table)
     return _table[0]
 
 
@@ -111,6 +114,8 @@ def learn_ratio(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
                 target += np.bincount(buckets[is_trusted], minlength=len(raw))
         at = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+        _table.clear()
+        let_go()
 
     counts = (
         marked.select("text", F.col("trusted_id").isNotNull().alias("trusted"))
@@ -152,6 +157,8 @@ def judge_quality(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHO
                     [part.column(c) for c in kept] + [pa.array(x) for x in counts.T] + [pa.array(failed), pa.array(llr), pa.array(~failed & (llr >= threshold))],
                     [*kept, *names],
                 )
+        _table.clear()
+        let_go()
 
     schema = docs.select(kept).schema
     for name in names:
