@@ -61,3 +61,43 @@ def test_edges(spark, rows):
     tie = lid.Model({"b": lid.ppm_counts([b"aa"]), "a": lid.ppm_counts([b"aa"])})
     assert [(r.lang_pred, r.score) for r in lid.identify(rows([(1, "aa", None, None)], schema), tie).collect()] == [("a", 0.5)]
     assert [lid.has_letter(t) for t in ("²Ⅷ_1", "ß", "語", "A")] == [False, True, True, True]
+
+
+def test_whole_table_is_the_definition(spark):
+    """Language and score of every text, coded byte by byte."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    sample = {}
+    for language, text in lid.training_sample(docs, ~held_out).collect():
+        sample.setdefault(language, []).append(text.encode())
+    trees = {language: lid.ppm_counts(sorted(texts)) for language, texts in sample.items()}
+    cost = {}
+
+    def bits(language, text):
+        total = 0.0
+        for n in range(len(text)):
+            key = language, text[max(0, n - lid.ORDER) : n], text[n]
+            if key not in cost:
+                cost[key] = lid.code_length(trees[language], *key[1:])
+            total += cost[key]
+        return total
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op6_language_id(spark, sf).collect():
+        if not texts[r.doc_id] or not lid.has_letter(texts[r.doc_id]):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        lengths = {language: bits(language, texts[r.doc_id].encode()) for language in trees}
+        best = min(lengths, key=lambda language: (round(lengths[language], 3), language))
+        chance = 1 / sum(2 ** max(lengths[best] - n, -1000) for n in lengths.values())
+        assert r.lang_pred == best and r.score == pytest.approx(chance, abs=1e-3)
+
+
+def test_long_texts_are_learnt_by_a_piece(spark, rows):
+    docs = rows([(1, "ab cd " * 5000, "a"), (2, "xy zw " * 5000, "b"), (3, "é" * lid.TEXT_BYTES, "c")], "doc_id long, text string, lang string")
+    sample = {r.lang: r.text for r in lid.training_sample(docs, F.lit(True)).collect()}
+    assert set(sample) == {"a", "b", "c"} and all(0 < len(t.encode()) <= lid.TEXT_BYTES for t in sample.values())
+    model = lid.train(docs, F.lit(True))
+    assert [r.lang_pred for r in lid.identify(docs, model).collect()] == ["a", "b", "c"]
+    assert all(0 < rate < 8 for rate in model.rates.values())

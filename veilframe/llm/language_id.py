@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.shared import slices, utf8
+from veilframe.llm.shared import let_go, slices, utf8
 
 ORDER = 3
 #: Bounds of the sample: texts of a language, bytes of a text, languages.
@@ -74,6 +74,7 @@ class Model:
 
     def __init__(self, trees: dict[str, dict[bytes, dict[int, int]]], order: int = ORDER):
         self.languages, self.order = sorted(trees), order
+        self.rates: dict[str, float] = {}  # bits a byte of what a language was learnt from
         symbols = sorted({byte for tree in trees.values() for seen in tree.values() for byte in seen})
         self.width = len(symbols) + 1  # the last one stands for all unseen bytes
         self.symbol = np.full(256, len(symbols), np.int64)
@@ -135,10 +136,12 @@ def has_letter(text: str) -> bool:
 
 def training_sample(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang`` and ``text`` of ``TEXTS_PER_LANGUAGE`` texts per language at most, those
-    with the least hash among the usable, labelled ones of 1 to ``TEXT_BYTES`` bytes.
+    with the least hash among the usable, labelled ones that are not empty; of longer texts
+    than ``TEXT_BYTES`` bytes, a piece from the start that is no longer for certain.
     Ranks are cut in every task before the shuffle, so a language may have any share
     of the rows."""
-    fits = usable & F.col(lang).isNotNull() & F.octet_length(text).between(1, TEXT_BYTES)
+    fits = usable & F.col(lang).isNotNull() & (F.octet_length(text) > 0)
+    piece = F.when(F.octet_length(text) <= TEXT_BYTES, F.col(text)).otherwise(F.substring(text, 1, TEXT_BYTES // 4))
     ranked = Window.partitionBy("lang").orderBy("order", "id")
     chosen = (
         docs.where(fits)
@@ -149,7 +152,7 @@ def training_sample(docs: DataFrame, usable: Column, doc_id: str = "doc_id", tex
     )
     # at most TEXTS_PER_LANGUAGE rows of a language, and MAX_LANGUAGES languages
     ids = F.broadcast(chosen.select("id").distinct())
-    return docs.where(fits).withColumn("id", F.col(doc_id).cast("string")).join(ids, "id", "left_semi").select(F.col(lang).cast("string").alias("lang"), text)
+    return docs.where(fits).withColumn("id", F.col(doc_id).cast("string")).join(ids, "id", "left_semi").select(F.col(lang).cast("string").alias("lang"), piece.alias("text"))
 
 
 def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -161,7 +164,12 @@ def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "
         texts[language].append(value.encode())
     if len(texts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return Model({language: ppm_counts(sorted(known)) for language, known in texts.items()})
+    model = Model({language: ppm_counts(sorted(known)) for language, known in texts.items()})
+    for at, language in enumerate(model.languages):
+        known = texts[language]
+        ends = np.cumsum([0, *map(len, known)])
+        model.rates[language] = float(model.code_lengths(ends, np.frombuffer(b"".join(known), np.uint8))[:, at].sum() / ends[-1])
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -200,6 +208,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     ],
                     [*kept, *names],
                 )
+        let_go()
 
     schema = docs.select(kept).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     return docs.select(kept).mapInArrow(predict, schema)
