@@ -129,3 +129,9 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     out = dict(nd.components(spark.createDataFrame(links, "a long, b long")).distinct().collect())
     assert out == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("percent", [50, 79, 101])
+def test_limits_that_the_bands_are_not_made_for(rows, percent):
+    with pytest.raises(ValueError, match="percent"):
+        nd.near_duplicates(rows([(1, "a b c")]), percent=percent)

@@ -50,6 +50,14 @@ _ROUNDS = numbers(2 * BITS, 11)
 _PLACE = numbers(ROWS, 12)
 _BAND = numbers(BANDS, 13)
 _EMPTY = np.uint64(2**64 - 1)
+#: Bands and screens are made for this similarity and above.
+MIN_PERCENT = 80
+
+
+def _known(percent: int) -> int:
+    if not MIN_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be {MIN_PERCENT} to 100: bands and screens would miss pairs below")
+    return percent
 
 
 def sketches(doc: np.ndarray, shingles: np.ndarray, n_docs: int, bins: int = BINS) -> np.ndarray:
@@ -299,11 +307,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     Texts are compared by their sets of distinct ``k``-word shingles (A-Z in lower
     case; fewer words make one shingle; texts without words, and null, have the empty
-    set and no links).  Documents are linked if 100 * intersection >= percent * union;
+    set and no links).  Documents are linked if 100 * intersection >= percent * union
+    (``percent`` from ``MIN_PERCENT`` to 100);
     ``component_id`` is the smallest id reachable and ``kept`` tells the document that
     has it.  Rows with equal sets are one class; classes whose smallest id is the same
     count as one.  A row with a null id belongs to the component of its text, if rows
     with ids have a similar one, else it is kept with a null ``component_id``."""
+    percent = _known(percent)
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     rows = written(sketched(source, k), "sketches")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("m"))
