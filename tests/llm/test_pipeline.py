@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from test_near_dedup import brute as near_brute
 from test_quality import brute as base_counts
@@ -50,3 +52,24 @@ def test_stages_survive_odd_tables(spark, tmp_path):
             docs = stage(spark, docs, SF)
             docs.write.parquet(f"{tmp_path}/{len(values)}/{k}")
             docs = spark.read.parquet(f"{tmp_path}/{len(values)}/{k}")
+
+
+def test_columns_with_names_of_the_operators_are_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["score", "lang_pred", "bits_per_byte", "_score", "n_words", "kept", "llr", "copy", "mix_key"]
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}-"), "doc_id"))
+    for stage in (cp.language_id, cp.quality, cp.mixing):
+        docs = stage(spark, docs, SF)
+        assert docs.columns[-len(names) :] == names
+    rows = docs.collect()
+    assert rows and all(r[name] == f"{i}-{r.doc_id}" for r in rows for i, name in enumerate(names))
+
+
+def test_noise_and_unknown_languages_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = ["QUJD" * 300, "zxqvkj wqpz " * 40, "кириллица русский текст " * 20, "3f9a8b7c6d5e4f3a2b1c0d9e8f7a6b5c" * 10]
+    more = spark.createDataFrame([(10**6 + i, t, None, None, len(t)) for i, t in enumerate(noise)], docs.schema)
+    left = {r.doc_id for r in cp.language_id(spark, docs.unionByName(more), SF).collect()}
+    texts = {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    assert left == texts
