@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from veilframe.llm import license_scan as ls
-from veilframe.llm.license_texts import TEMPLATES
+from veilframe.llm.license_texts import ALL_TEMPLATES, TEMPLATES, TERMS
 from veilframe.llm.queries import op5_license_scan
 
 
@@ -109,3 +109,33 @@ def test_repeats_in_a_text_and_edges(spark, rows):
     assert ls.scan_licenses(clash, TEMPLATES).count() == 6
     long = rows([(1, "licensed under the " * 100_000 + TEMPLATES[1][1])])
     assert [r.coverage for r in ls.scan_licenses(long, TEMPLATES[1:2]).collect()] == [1.0]
+
+
+def names(rows, text):
+    return sorted(r.template for r in ls.scan_licenses(rows([(1, text)]), ALL_TEMPLATES, terms=TERMS).collect())
+
+
+def test_near_licenses_are_told_apart(rows):
+    for name, text in ALL_TEMPLATES:
+        assert names(rows, f"alpha beta {text} gamma delta") == [name]
+
+
+def test_what_was_taken_for_another_license(rows):
+    assert names(rows, "This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0-statement"]
+    assert names(rows, "Licensed under CC BY 4.0.") == ["CC-BY-4.0-short-statement"]
+    assert names(rows, "Licensed under CC BY-ND 4.0.") == []
+    assert names(rows, "This work is licensed under the GNU Lesser General Public License, version 3.") == []
+    assert names(rows, "Licensed under the Apache License, Version 1.1.") == []
+    assert names(rows, "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.") == []
+    assert names(rows, "Released under the BSD License.") == []
+
+
+def test_clean_texts_have_no_license(spark):
+    """Every match on the whole table lies on a statement that stands there."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lines = [[w.decode().lower() for w in ls._WORD.findall(text.encode())] for _, text in TEMPLATES[:6]]
+    for r in op5_license_scan(spark, sf).collect():
+        assert texts[r.doc_id][r.start : r.end] == r.passage
+        words = [w.decode().lower() for w in ls._WORD.findall(r.passage.encode())]
+        assert any(sum(w in line for w in words) >= len(line) - 1 for line in lines), r

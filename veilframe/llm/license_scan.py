@@ -7,7 +7,9 @@ holds one of its fingerprints.  A hit says on which diagonal the template may li
 on near diagonals make a region, in which a local alignment of the words, kept to a band
 around the diagonals, gives a piece: the matched words.  Where words were put in or left
 out, a match has several pieces; those that follow each other in text and template are
-chained.
+chained.  Licenses share most of their words, so of matches of different templates that
+lie on each other the best stays, and words that tell one license from another can be
+asked for, or barred.
 
 The index is as large as the templates.  Texts are looked up in numpy over whole Arrow
 batches; only those with hits are read word by word.
@@ -31,8 +33,11 @@ GRAM, WINNOW = 3, 2
 #: Words by which an alignment may leave its diagonals: a quarter of the template, from
 #: one to this many.
 BAND = 8
-#: Least share of a template's words that must match.
-MIN_COVERAGE = 0.7
+#: Least share of a template's words that must match; of templates of ``SHORT`` words at
+#: most, one word may miss.
+MIN_COVERAGE, SHORT = 0.7, 16
+#: What a template's word that misses takes from a match, in matched words.
+MISSING = 0.25
 #: Bound of the templates, which every task holds.
 MAX_TEMPLATE_WORDS = 1_000_000
 SLICE_BYTES = 2 << 20
@@ -57,13 +62,16 @@ def hashed_grams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
 class Templates:
     """The inverted index: fingerprints, sorted, with template and word position."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
+    def __init__(self, templates: list[tuple[str, str]], terms: dict[str, tuple[str, str]] | None = None):
         self.names = [name for name, _ in templates]
         self.words = [[w.lower() for w in _WORD.findall(text.encode())] for _, text in templates]
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError("too many templates for one index")
         if any(len(w) < GRAM for w in self.words):
             raise ValueError(f"a template has at least {GRAM} words")
+        self.least = [max(MIN_COVERAGE * len(w), len(w) - 1 if len(w) <= SHORT else 0) for w in self.words]
+        given = [(terms or {}).get(name, ("", "")) for name in self.names]
+        self.needed, self.barred = ([set(t[i].encode().split()) for t in given] for i in (0, 1))
         hashes, owners, places = [], [], []
         for t, (_, text) in enumerate(templates):
             data = np.frombuffer(text.encode(), np.uint8)
@@ -186,7 +194,9 @@ def _region(group: list[tuple[int, int]], length: int, band: int) -> tuple[int,
 
 def scan_text(templates: Templates, data: bytes, hits: dict[int, list[tuple[int, int]]]) -> list[tuple[str, float, int, int, int]]:
     """``(name, coverage, matched, start byte, end byte)`` of the matches in a text, from
-    its hits by template; of overlapping matches of a template the best stays."""
+    its hits by template.  Of overlapping matches of a template the best stays, and of
+    matches of different templates of which one lies on half of the other or more, the
+    better (both if they are equally good)."""
     spans = [m.span() for m in _WORD.finditer(data)]
     out = []
     for t, own in hits.items():
@@ -195,26 +205,59 @@ def scan_text(templates: Templates, data: bytes, hits: dict[int, list[tuple[int,
             words = [data[a:b].lower() for a, b in spans[first:end]]
             pieces.append([(place, first + w) for place, w in align(template, words, low - first, high - first)])
         for matched, start, stop in chained(pieces, len(template)):
-            if matched >= MIN_COVERAGE * len(template):
+            if matched >= templates.least[t] and _tells(templates, t, [data[a:b].lower() for a, b in spans[start:stop]]):
                 found.append((-matched, stop - start, start, stop))
         taken: list[tuple[int, int]] = []
         for matched, _, start, stop in sorted(found):
             if all(stop <= a or b <= start for a, b in taken):
                 taken.append((start, stop))
-                out.append((templates.names[t], -matched / len(template), -matched, spans[start][0], spans[stop - 1][1]))
+                out.append((-matched - MISSING * (len(template) + matched), t, -matched, start, stop))
+    return [
+        (templates.names[t], matched / len(templates.words[t]), matched, spans[start][0], spans[stop - 1][1])
+        for _, t, matched, start, stop in sorted(_best(out), key=lambda m: (m[3], m[1]))
+    ]
+
+
+def _tells(templates: Templates, t: int, words: list[bytes]) -> bool:
+    """Does a match have the words that its license is known by, and none of another's?"""
+    needed, barred = templates.needed[t], templates.barred[t]
+    return not needed and not barred or needed.issubset(words) and barred.isdisjoint(words)
+
+
+def _best(matches: list[tuple[float, int, int, int, int]]) -> list[tuple[float, int, int, int, int]]:
+    """Matches ``(score, template, matched, start, stop)`` without those that lie on a better
+    one.  Matches are met in the order of their starts; those that end before are done."""
+    out = []
+    matches = sorted(matches, key=lambda m: m[3])
+    open_: list[tuple[float, int, int, int, int]] = []
+    worse = set()
+    for match in matches:
+        open_ = [m for m in open_ if m[4] > match[3]]
+        for other in open_:
+            common = min(match[4], other[4]) - match[3]
+            if 2 * common >= min(match[4] - match[3], other[4] - other[3]) and match[0] != other[0]:
+                worse.add(min(match, other, key=lambda m: m[0]))
+        open_.append(match)
+    for match in matches:
+        if match not in worse:
+            out.append(match)
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, templates: list[tuple[str, str]], doc_id: str = "doc_id", text: str = "text", terms: dict[str, tuple[str, str]] | None = None
+) -> DataFrame:
     """A row for each match: ``doc_id``, ``template``, ``coverage`` (share of its words that
     match), ``matched_words``, ``start`` and ``end`` (code points of the text) and the
     ``passage``.
 
     Letters are compared without case (A-Z), punctuation not at all.  Words may be put in
-    (a template's length at one place at most) or left out anywhere.  Texts that are null,
+    (a template's length at one place at most) or left out anywhere.  ``terms``: for a
+    template, words (in lower case, by blanks) that a match must hold, and words that it
+    must not.  Texts that are null,
     empty or without a match give no row; repeated rows give their matches again.
     Templates have three words at least; without templates there are no matches."""
-    index = docs.sparkSession.sparkContext.broadcast(Templates(templates))  # bounded: MAX_TEMPLATE_WORDS
+    index = docs.sparkSession.sparkContext.broadcast(Templates(templates, terms))  # bounded: MAX_TEMPLATE_WORDS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value

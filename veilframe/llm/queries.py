@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.importance import resample
 from veilframe.llm.language_id import identify, train
 from veilframe.llm.license_scan import scan_licenses
-from veilframe.llm.license_texts import TEMPLATES
+from veilframe.llm.license_texts import ALL_TEMPLATES, TERMS
 from veilframe.llm.lm_score import score_documents
 from veilframe.llm.mixing import mix_sources
 from veilframe.llm.near_dedup import near_duplicates
@@ -104,7 +104,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
+    return scan_licenses(table(spark, sf_dir, "documents"), ALL_TEMPLATES, terms=TERMS)
 
 
 # ---------------------------------------------------------------- 6: language ID
