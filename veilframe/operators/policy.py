@@ -27,7 +27,7 @@ from veilframe.functions.constants import (
 )
 from veilframe.functions.ordered import running_total
 from veilframe.functions.prefilter import literal
-from veilframe.sources.staging import stage
+from veilframe.sources.staging import stage_files
 
 _RULE = "struct<entity_type:string,action:string,roles:array<string>,classification:string>"
 _EXCEPTION = "struct<agent_id:string,agent_role:string,entity_types:array<string>,action:string>"
@@ -210,12 +210,35 @@ def conflicts(rules: DataFrame) -> DataFrame:
     the pairs of their places, ``in_order`` those with ``a`` before ``b`` (the first being
     ``pos_a, pos_b``) and ``reversed`` the others (the first being ``pos_b, next_pos_a``).
 
-    The counts come from running numbers over the places of the rule that occurs more
-    often, read at the places of the other one, in buckets: places are not paired.
+    Of two rules that have a place each there is nothing to count.  Otherwise the counts
+    come from running numbers over the places of the rule that occurs more often, read at
+    the places of the other one, in buckets: places are not paired.
     """
     placed = _variants(rules)
     variants = placed.groupBy(*_TYPE, "variant", "action", "roles").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
-    pairs = stage(_meeting(variants))
+    total = F.col("_a.n") * F.col("_b.n")
+    pairs = stage_files(_meeting(stage_files(variants, "variants")), "pairs")
+    repeated = pairs.where(total > 1)
+    if repeated.isEmpty():
+        pairs = pairs.withColumns({"in_order": F.lit(1).cast("bigint"), "next_pos_a": F.lit(None).cast(rules.schema["pos"].dataType)})
+    else:
+        pairs = pairs.join(_counted(placed, repeated), [*_TYPE, "a", "b"], "left").fillna(1, "in_order")
+    return pairs.select(
+        *_TYPE,
+        F.col("_a.first_pos").alias("pos_a"),
+        F.col("_a.action").alias("action_a"),
+        F.col("_b.first_pos").alias("pos_b"),
+        F.col("_b.action").alias("action_b"),
+        total.alias("rule_pairs"),
+        "in_order",
+        (total - F.col("in_order")).alias("reversed"),
+        "next_pos_a",
+        _clash(F.col("_a.action"), F.col("_b.action")).alias("description"),
+    )
+
+
+def _counted(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``in_order`` and ``next_pos_a`` of pairs of rules."""
     often_a = F.col("_a.n") >= F.col("_b.n")
     often, rare = F.when(often_a, F.col("a")).otherwise(F.col("b")), F.when(often_a, F.col("b")).otherwise(F.col("a"))
     at, none = placed.select(*_TYPE, "variant", "pos"), F.lit(None).cast("string")
@@ -234,20 +257,9 @@ def conflicts(rules: DataFrame) -> DataFrame:
     places = numbered.where("use = 'own'").select(*_TYPE, "variant", F.col("upto").alias("nth"), F.col("pos").alias("next_pos_a"))
     following = numbered.where("use = 'next'").select(*pair, F.col("a").alias("variant"), (F.col("upto") + 1).alias("nth"))
     following = following.join(places, [*_TYPE, "variant", "nth"]).select(*pair, "next_pos_a")
-    total = F.col("_a.n") * F.col("_b.n")
-    in_order = F.when(often_a, F.col("_before")).otherwise(total - F.col("_before"))
-    return pairs.join(counted, pair).join(following, pair, "left").select(
-        *_TYPE,
-        F.col("_a.first_pos").alias("pos_a"),
-        F.col("_a.action").alias("action_a"),
-        F.col("_b.first_pos").alias("pos_b"),
-        F.col("_b.action").alias("action_b"),
-        total.alias("rule_pairs"),
-        in_order.alias("in_order"),
-        (total - in_order).alias("reversed"),
-        "next_pos_a",
-        _clash(F.col("_a.action"), F.col("_b.action")).alias("description"),
-    )
+    in_order = F.when(often_a, F.col("_before")).otherwise(F.col("_a.n") * F.col("_b.n") - F.col("_before"))
+    counts = pairs.join(counted, pair).join(following, pair, "left")
+    return counts.select(*pair, in_order.alias("in_order"), "next_pos_a")
 
 
 def _clash(first: Column, second: Column) -> Column:
