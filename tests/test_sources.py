@@ -1,4 +1,6 @@
 from datetime import datetime
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from veilframe.operators import intercept
 from veilframe.operators.detect import detect_entities
 from veilframe.operators.protect import protect_texts
 from veilframe.operators.reports import latest_hours
-from veilframe.sources import tables
+from veilframe.sources import staging, tables
 from veilframe.streaming import traffic
 
 AT = datetime(2025, 1, 1, 12)
@@ -99,3 +101,24 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert run() == {(1, 2)}
     write((4, datetime(2025, 1, 1, 1, 10), "x"), (5, datetime(2025, 1, 1, 9), "x"))
     assert run() == {(1, 2), (4, 1)}
+
+
+def test_csv_tells_null_from_empty(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    rows = [(1, None), (2, ""), (3, 'say "hi",\nyou'), (4, "\\N?"), (5, " ")]
+    spark.createDataFrame(rows, "doc_id long, body string").write.options(**tables.CSV).csv(path)
+    back = tables.read_texts(spark, path, "csv", text="body")
+    assert sorted((int(r.doc_id), r.text) for r in back.collect()) == rows
+
+
+def test_staged_results_are_removed(spark):
+    kept = staging.stage_files(spark.range(5), "five")
+    assert kept.count() == 5
+    folder = Path(urlparse(staging.checkpoint_dir(spark)).path)
+    other = folder / "by-hand"
+    other.mkdir()
+    own = spark.newSession()
+    assert own.sparkContext.getCheckpointDir() and any(folder.iterdir())
+    staging.clear_staged(spark)
+    assert not any(folder.iterdir())
+    assert staging.stage_files(spark.range(5), "again").count() == 5

@@ -51,6 +51,10 @@ SCHEMAS = {
     "agent_roles": "role_name string, description string, permissions array<string>, is_default boolean",
 }
 
+#: How CSV files are written and read: null and the empty text are told apart.
+CSV = {"header": True, "escape": '"', "nullValue": "\\N", "emptyValue": '""', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_READ_CSV = CSV | {"multiLine": True, "emptyValue": ""}
+
 # The day column of the fact tables.
 TIME_COLUMNS = {
     "scan_sessions": "created_at",
@@ -66,7 +70,7 @@ def read_table(spark: SparkSession, name: str, path: str, format: str = "parquet
     schema = SCHEMAS[name] + (", day date" if name in TIME_COLUMNS and format in ("parquet", "orc") else "")
     reader = spark.read.schema(schema)
     if format == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
+        reader = reader.options(**_READ_CSV)
     return reader.format(format).load(path)
 
 
@@ -77,11 +81,12 @@ def append_table(df: DataFrame, name: str, path: str, format: str = "parquet") -
     day; AQE splits the days that hold most of the rows.
     """
     time = TIME_COLUMNS.get(name)
+    options = CSV if format == "csv" else {}
     if time is None:
-        df.write.mode("append").format(format).save(path)
+        df.write.mode("append").options(**options).format(format).save(path)
         return
     by_day = df.withColumn("day", F.to_date(time)).hint("rebalance", "day")
-    by_day.write.mode("append").partitionBy("day").format(format).save(path)
+    by_day.write.mode("append").partitionBy("day").options(**options).format(format).save(path)
 
 
 def read_texts(spark: SparkSession, path: str, format: str = "parquet", text: str = "text") -> DataFrame:
@@ -92,7 +97,7 @@ def read_texts(spark: SparkSession, path: str, format: str = "parquet", text: st
         return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
     reader = spark.read
     if format == "csv":
-        reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
+        reader = reader.options(**_READ_CSV)
     df = reader.format(format).load(path)
     return df if text == "text" else df.withColumnRenamed(text, "text")
 
