@@ -24,5 +24,6 @@ SQL = {
     "op1_warc": q.OP1_SQL,
     "op3_mixing": q.OP3_SQL,
     "op10_url_filter": q.OP10_SQL,
+    "op11_resample": q.OP11_SQL,
     "op12_periodic_runs": q.OP12_SQL,
 }

@@ -175,6 +175,47 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def _half_byte(n: int) -> int:
+    """The CRC-32 register after half a byte."""
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+_HALVES = "list_transform(range(2 * strlen(f)), lambda i: ('0x' || substr(h, i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END, 1))::BIGINT)"
+_CRC = (
+    f"xor(list_reduce({_HALVES}, lambda crc, half: xor(crc >> 4, ({[_half_byte(n) for n in range(16)]}::BIGINT[])[(xor(crc, half) & 15) + 1]), "
+    "4294967295::BIGINT), 4294967295)"
+)
+
+
+def _features_sql(table_name: str, row: str) -> str:
+    """``row, f, n``: the features of texts and how often each comes."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    windows = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+    return (
+        f"(SELECT row, f, count(*) AS n FROM (SELECT row, unnest({windows}) AS f FROM "
+        f"(SELECT {row} AS row, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table_name})) GROUP BY row, f)"
+    )
+
+
+# A feature's checksum is worked out once, half a byte at a time.
+OP11_SQL = f"""
+WITH d AS MATERIALIZED {_features_sql('documents', 'doc_id')}, b AS MATERIALIZED {_features_sql('benchmark', 'item_id')},
+c AS MATERIALIZED (SELECT f, {_CRC} % 10000 AS bucket FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM d UNION SELECT f FROM b))),
+s AS (SELECT bucket, sum(n) AS s FROM d JOIN c USING (f) GROUP BY 1), t AS (SELECT bucket, sum(n) AS t FROM b JOIN c USING (f) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE /
+  ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+v AS (SELECT row AS doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight, sum(CASE WHEN f NOT LIKE '% %' THEN n END) AS words
+  FROM d JOIN c USING (f) JOIN g USING (bucket) GROUP BY row),
+x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(words, 0) AS words,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN v USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE words >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
+
+
 # ---------------------------------------------------------------- 12: periodic runs
 
 
