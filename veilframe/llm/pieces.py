@@ -33,10 +33,10 @@ from pyspark.sql.types import ArrayType, IntegerType
 from veilframe.llm.shared import let_go, slices, utf8
 
 SPACE = "▁"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: Chunks remembered by a worker, twice: a full memory becomes the older one, from
 #: which chunks that occur again are taken over.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 #: Chunks longer than this are not remembered.
 REMEMBERED_CHARS = 64
 #: Chunks up to this long keep their agenda in a row of a matrix, longer ones in a heap.
