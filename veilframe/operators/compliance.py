@@ -1,4 +1,5 @@
-"""Compliance frameworks: automated assessment and the reports on its result."""
+"""Compliance frameworks: automated assessment and the reports on its result.  The texts of
+findings are fixed values."""
 
 from __future__ import annotations
 

@@ -35,6 +35,7 @@ def action_for(risk: Column, found: Column) -> Column:
 def recommendation(action: Column, points: Column, found: Column) -> Column:
     shown = F.when(points > MAX_RISK, F.lit(f"{MAX_RISK}.0")).otherwise(points.cast("string"))
     facts = F.concat(F.lit("("), found.cast("string"), F.lit(" entities, risk "), shown, F.lit(")"))
+    # The advice's texts.
     blocked = F.concat(
         F.lit("High-risk payload blocked "), facts, F.lit(". Review agent permissions and apply stricter policy rules.")
     )

@@ -149,6 +149,7 @@ def evaluate(
     who = F.coalesce("agent_id", "agent_role")
     df = df.withColumns({"_granted": granted, "_ruled": ruled})
     action = F.coalesce("_granted", "_ruled", default, F.lit("REDACT"))
+    # The reasons' texts.
     reason = (
         F.when(F.col("_granted").isNotNull(), F.concat(F.lit("Exception granted for "), who))
         .when(F.col("_ruled").isNotNull(), F.concat(F.lit("Policy rule for "), F.col("entity_type")))
@@ -263,6 +264,7 @@ def _counted(placed: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _clash(first: Column, second: Column) -> Column:
+    # The text of a conflict.
     shared = F.array_sort(F.array_intersect("_a.roles", "_b.roles"))
     roles = F.when(F.size(shared) > 0, F.concat(F.lit(" for overlapping roles "), F.array_join(shared, ", "))).otherwise("")
     return F.concat(F.col("entity_type"), F.lit(": conflicting actions "), first, F.lit(" vs "), second, roles)
@@ -314,6 +316,7 @@ def validate(policies: DataFrame, document: str = "document") -> DataFrame:
 
     known = sorted(STRICTNESS)
 
+    # The texts of errors and warnings.
     def of_rule(v, i):
         is_map = kind(v) == "OBJECT"
         action = F.upper(F.coalesce(F.try_variant_get(v, "$.action", "string"), F.lit("")))

@@ -1,4 +1,5 @@
-"""Threat analysis of payloads and reports over threat events."""
+"""Threat analysis of payloads and reports over threat events.  The texts of signals and
+advice are fixed values."""
 
 from __future__ import annotations
 
