@@ -52,6 +52,17 @@ def test_whole_text_files(spark, tmp_path):
     assert [e.entity_type for e in detect_entities(docs).first().entities] == ["EMAIL"]
 
 
+def test_texts_are_written_as_files_by_the_tasks(spark, tmp_path):
+    """A file for each text, copies of an id too; its folders do not grow with the texts."""
+    rows = [(i, f"text {i}\r\nof ä\n") for i in range(60)] + [(7, "again"), (8, ""), (9, None), (-1, "below"), (None, "no id")]
+    path = tmp_path / "files"
+    tables.write_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), str(path), folders=4)
+    back = tables.read_texts(spark, str(path), "text").collect()
+    number = [r.doc_id.rsplit("/doc=", 1)[1].split("_")[0] for r in back]
+    assert sorted(zip(number, (r.text for r in back))) == sorted(("" if i is None else str(i), t + "\n") for i, t in rows if t is not None)
+    assert len(list(path.iterdir())) <= 4 and not list(path.rglob(".*"))
+
+
 def test_pages_and_trends_read_only_their_days(spark, tmp_path):
     path = str(tmp_path / "log")
     tables.append_table(_log(spark), "interceptor_logs", path)
