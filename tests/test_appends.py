@@ -201,6 +201,22 @@ def test_expiry_events_come_once(spark, tmp_path):
     assert run() == [("a", 10.0), ("a", 101.0), ("b", 60.0), ("d", 102.0), ("e", 31.0)]
 
 
+def test_expiry_timers_are_for_groups(spark, tmp_path):
+    """Many entries of few groups: every event comes once, with a timer or two a group."""
+    schema = "vault_ref string, session_id string, created_at timestamp, ttl_seconds int"
+    for batch, rows in enumerate(([(f"e{i}", f"s{i % 3}", 0, 60 * (1 + i % 50)) for i in range(400)], [("z", "s", 40, 6000), ("e399", "earlier", 40, 60)], [("y", "s", 100, 6000)])):
+        made = spark.createDataFrame([(r, s, T0 + timedelta(minutes=m), ttl) for r, s, m, ttl in rows], schema)
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with expiry.timers(spark):
+        query = traffic.write_stream(expiry.expiry_events(stream, "10 minutes", groups=4), str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+    timers = sum(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress if p["stateOperators"])
+    got = sorted((r.vault_ref, r.session_id, (r.expired_at - T0).total_seconds() / 60) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((f"e{i}", f"s{i % 3}", 1.0 + i % 50) for i in range(400))
+    assert 0 < timers <= 4 * len(query.recentProgress)
+
+
 def test_bursts_of_a_busy_agent(spark):
     """One agent has half of all events; rows as Spark's session windows give them."""
     kinds = ("SSN", "EMAIL", "PHONE")

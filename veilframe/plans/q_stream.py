@@ -214,17 +214,16 @@ def _(spark, sf_dir):
     f"(SELECT *, timestamp + INTERVAL 1 HOUR * (1 + event_id % 72) AS ends FROM {_DETECTIONS}) WHERE ends <= {_CLOSED}",
 )
 def _(spark, sf_dir):
-    entries = table(spark, sf_dir, "audit").selectExpr(
-        "concat('vlt_', CAST(seq AS STRING)) AS vault_ref", "seq", "timestamp AS created_at", "CAST(3600 * (1 + seq % 72) AS INT) AS ttl_seconds"
+    entries = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "concat('vlt_', CAST(event_id AS STRING)) AS vault_ref", f"{_EVENT['timestamp']} AS created_at",
+        "CAST(3600 * (1 + event_id % 72) AS INT) AS ttl_seconds", f"{_EVENT['agent_id']} AS session_id",
     )
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS seq", f"{_EVENT['agent_id']} AS session_id")
-    entries = entries.join(users, "seq").drop("seq")
     low, high = entries.agg(F.min("created_at"), F.max("created_at")).first()
     path = f"{checkpoint_dir(spark)}/entries-{uuid.uuid4().hex}"
     cuts = [low + (high - low) * i / 3 for i in (1, 2)]
     for part in range(3):  # files in the order of time
         at = F.when(F.col("created_at") < F.lit(cuts[0]), 0).when(F.col("created_at") < F.lit(cuts[1]), 1).otherwise(2)
-        entries.where(at == part).coalesce(1).write.mode("append").parquet(path)
+        entries.where(at == part).repartition(1).write.mode("append").parquet(path)
     with timers(spark):
         out = run(expiry_events(spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(path)))
     return out.select("vault_ref", "session_id", shown("expired_at").alias("expired_at"))
