@@ -143,6 +143,31 @@ def test_conflicts_count_each_order(spark):
     }
 
 
+def test_conflicts_are_counted_alike_in_rows_and_by_running_numbers(spark):
+    """Whether places are in a rule's row or not, and against all pairs of places; pairs
+    are not shuffled after they are found."""
+    lists = [None, ["a"], ["b"], ["a", "b"], ["c", "b", "a"]]
+    rules = [(f"p{i % 2}", i * 7 % 101, "SSN", ("REDACT", "MASK", "PASS", None)[i * i % 11 % 4], lists[i % 13 % 5], None) for i in range(101)]
+    want = {}
+    for p, i, _, x, r, _ in rules:
+        for q, j, _, y, s, _ in rules:
+            if p == q and i < j and x and y and x != y and (not r or not s or set(r) & set(s)):
+                n = want.setdefault((p, frozenset([(x, tuple(sorted(r or ()))), (y, tuple(sorted(s or ())))])), {})
+                n.setdefault((x, y), []).append((i, j))
+    expected = []
+    for (p, _), n in want.items():
+        (x, y), ordered = min(n.items(), key=lambda e: min(min(place) for place in e[1]))
+        back = n.get((y, x), [])
+        expected.append((p, min(i for i, _ in ordered), min(j for _, j in ordered), len(ordered), len(back), min(back)[1] if back else None))
+    df = spark.createDataFrame(rules, RULES)
+    for most in (1, 3, 128):
+        got = policy.conflicts(df, max_places=most)
+        rows = [(r.policy_id, r.pos_a, r.pos_b, r.in_order, r.reversed, r.next_pos_a) for r in got.collect()]
+        assert sorted(rows, key=str) == sorted(expected, key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Distinct" not in plan and plan.count("Aggregate") == 3  # the actions of every place
+
+
 def test_conflicts_in_both_orders_are_two_warnings(spark):
     document = '{"rules": [{"entity_type": "SSN", "action": "%s"}, {"entity_type": "SSN", "action": "%s"}, {"entity_type": "SSN", "action": "%s"}]}'
     documents = [("p", document % ("REDACT", "MASK", "REDACT")), ("q", document % ("MASK", "MASK", "PASS"))]

@@ -171,38 +171,80 @@ def evaluate(
 _TYPE = ["policy_id", "entity_type"]
 
 
-def _variants(rules: DataFrame) -> DataFrame:
-    """Rules with their ``variant``: equal for rules of equal action and roles."""
-    roles = F.array_sort(F.array_distinct(F.coalesce("roles", F.array().cast("array<string>"))))
-    named = rules.where("entity_type IS NOT NULL").select(*_TYPE, "pos", "action", roles.alias("roles"))
-    return named.withColumn("variant", F.sha2(F.to_json(F.struct("action", "roles")), 256))
+_VARIANT = [*_TYPE, "action", "roles"]
+
+#: Up to so many places of a rule are kept in its row.
+MAX_PLACES = 128
+
+
+def _variant(action: str, roles: str) -> Column:
+    """Equal for rules of equal action and roles."""
+    return F.sha2(F.to_json(F.struct(F.col(action).alias("action"), F.col(roles).alias("roles"))), 256)
+
+
+def _variants(placed: DataFrame, max_places: int) -> DataFrame:
+    """Different rules with their first place, their number of places, and all of these if
+    they are between two and ``max_places``: a rule of more places is never gathered."""
+    places = F.lit(None).cast(f"array<{placed.schema['pos'].dataType.simpleString()}>")
+    counted = stage_files(placed.groupBy(*_VARIANT).agg(F.min("pos").alias("first_pos"), F.count("*").alias("n")), "variants")
+    few = counted.where(F.col("n").between(2, max_places)).select(*_VARIANT)
+    listed = placed.join(few, _VARIANT).groupBy(*_VARIANT)
+    listed = listed.agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"), F.collect_list("pos").alias("places"))
+    return stage_files(counted.where(~F.col("n").between(2, max_places)).withColumn("places", places).union(listed), "places")
 
 
 def _meeting(variants: DataFrame) -> DataFrame:
-    """Pairs of variants ``a, b`` of one policy and type with different actions whose roles
-    meet; ``a`` occurs first.
+    """Pairs of variants ``_a, _b`` of one policy and type with different actions whose
+    roles meet; ``_a`` occurs first.
 
     Variants meet in an index: under each of their roles, or, without roles, in a list of
     the type's variants.  Under a role, variants of the same action are never paired: each
-    is sent to the other actions found there."""
-    by_role = variants.select(*_TYPE, "variant", "action", F.explode("roles").alias("role"))
-    free = variants.where(F.size("roles") == 0)
-
-    def opposed(left: DataFrame, right: DataFrame, place: list[str]) -> DataFrame:
+    is sent to the greater actions found there, and a pair counts under the least role it
+    shares.  So pairs come out of the last join once, and are not shuffled again."""
+    whole = F.struct("first_pos", "action", "roles", "n", "places")
+    by_role = variants.select(*_TYPE, "action", whole.alias("v"), F.explode("roles").alias("role"))
+    each = variants.select(*_TYPE, "action", whole.alias("v"))
+    free, bound = each.where(F.size("v.roles") == 0), each.where(F.size("v.roles") > 0)
+
+    def opposed(left: DataFrame, right: DataFrame, place: list[str], others) -> DataFrame:
         there = right.groupBy(*place).agg(F.collect_set("action").alias("actions"))
-        sent = left.join(there, place).select(*place, F.col("variant").alias("a"), "action", F.explode("actions").alias("other"))
-        sent = sent.where(F.col("action") != F.col("other")).drop("action")
-        return sent.join(right.select(*place, F.col("action").alias("other"), F.col("variant").alias("b")), [*place, "other"]).select(*_TYPE, "a", "b")
+        sent = left.join(there, place).select(*place, F.col("v").alias("x"), F.explode(F.filter("actions", others)).alias("action"))
+        return sent.join(right.withColumnRenamed("v", "y"), [*place, "action"])
+
+    def greater(other: Column) -> Column:
+        return other > F.col("action")
 
-    pairs = opposed(by_role, by_role, [*_TYPE, "role"]).union(opposed(free, variants, _TYPE))
-    first = {c: variants.select(*_TYPE, F.col("variant").alias(c), F.struct("first_pos", "action", "roles", "n").alias(f"_{c}")) for c in "ab"}
-    both = pairs.join(first["a"], [*_TYPE, "a"]).join(first["b"], [*_TYPE, "b"])
-    swap = F.col("_b") < F.col("_a")
-    ordered = {x: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("_a", "_b"), ("_b", "_a"))}
-    return both.select(*_TYPE, *ordered.values()).distinct()
+    shared = F.array_intersect("x.roles", "y.roles")
+    pairs = (
+        opposed(by_role, by_role, [*_TYPE, "role"], greater).where(F.col("role") == F.array_min(shared)).select(*_TYPE, "x", "y")
+        .union(opposed(free, free, _TYPE, greater).select(*_TYPE, "x", "y"))
+        .union(opposed(free, bound, _TYPE, lambda other: other != F.col("action")).select(*_TYPE, "x", "y"))
+    )
+    swap = F.struct("y.first_pos", "y.action") < F.struct("x.first_pos", "x.action")
+    return pairs.select(*_TYPE, F.when(swap, F.col("y")).otherwise(F.col("x")).alias("_a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("_b"))
+
+
+def _in_order() -> Column:
+    """How many places of ``_a`` and ``_b``, both in their rows, are in order."""
+
+    def marked(v: str, later: bool) -> Column:
+        places = F.coalesce(F.col(f"{v}.places"), F.array(f"{v}.first_pos"))
+        return F.transform(places, lambda at: F.struct(at.alias("pos"), F.lit(later).alias("later")))
 
+    # Of equal places, which rules of one policy do not have, that of ``_b`` comes first.
+    merged = F.array_sort(F.concat(marked("_a", True), marked("_b", False)))
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("pairs"))
+    return F.aggregate(
+        merged, start,
+        lambda acc, place: F.struct(
+            (acc["before"] + F.when(place["later"], 1).otherwise(0)).alias("before"),
+            (acc["pairs"] + F.when(place["later"], 0).otherwise(acc["before"])).alias("pairs"),
+        ),
+        lambda acc: acc["pairs"],
+    )
 
-def conflicts(rules: DataFrame) -> DataFrame:
+
+def conflicts(rules: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
     """Rules of one policy and type that ask for different actions of the same role; a
     rule's ``pos`` is its own within the policy.
 
@@ -211,20 +253,25 @@ def conflicts(rules: DataFrame) -> DataFrame:
     the pairs of their places, ``in_order`` those with ``a`` before ``b`` (the first being
     ``pos_a, pos_b``) and ``reversed`` the others (the first being ``pos_b, next_pos_a``).
 
-    Of two rules that have a place each there is nothing to count.  Otherwise the counts
-    come from running numbers over the places of the rule that occurs more often, read at
-    the places of the other one, in buckets: places are not paired.
+    Of two rules that have a place each there is nothing to count.  Up to ``max_places``
+    places are in the rule's row, and both rows' places are merged.  For rules of more
+    places the counts come from running numbers over the places of the rule that occurs
+    more often, read at the places of the other one, in buckets: places are not paired.
     """
-    placed = _variants(rules)
-    variants = placed.groupBy(*_TYPE, "variant", "action", "roles").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
+    roles = F.array_sort(F.array_distinct(F.coalesce("roles", F.array().cast("array<string>"))))
+    placed = rules.where("entity_type IS NOT NULL AND action IS NOT NULL").select(*_TYPE, "pos", "action", roles.alias("roles"))
+    variants = _variants(placed, max_places)
     total = F.col("_a.n") * F.col("_b.n")
-    pairs = stage_files(_meeting(stage_files(variants, "variants")), "pairs")
-    repeated = pairs.where(total > 1)
-    if repeated.isEmpty():
-        pairs = pairs.withColumns({"in_order": F.lit(1).cast("bigint"), "next_pos_a": F.lit(None).cast(rules.schema["pos"].dataType)})
-    else:
-        pairs = pairs.join(_counted(placed, repeated), [*_TYPE, "a", "b"], "left").fillna(1, "in_order")
-    return pairs.select(
+    many = F.greatest("_a.n", "_b.n") > max_places
+    later = F.array_min(F.filter("_a.places", lambda at: at > F.col("_b.first_pos")))
+    pairs = _meeting(variants)
+    whole = pairs.where(~many).withColumns({"in_order": F.when(total == 1, F.lit(1).cast("bigint")).otherwise(_in_order()), "next_pos_a": later})
+    if not variants.where(F.col("n") > max_places).isEmpty():
+        named = {"a": _variant("_a.action", "_a.roles"), "b": _variant("_b.action", "_b.roles")}
+        rest = stage_files(pairs.where(many).withColumns(named), "pairs")
+        counts = _counted(placed.withColumn("variant", _variant("action", "roles")), rest)
+        whole = whole.unionByName(rest.join(counts, [*_TYPE, "a", "b"]).drop("a", "b"))
+    return whole.select(
         *_TYPE,
         F.col("_a.first_pos").alias("pos_a"),
         F.col("_a.action").alias("action_a"),
