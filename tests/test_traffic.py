@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.detection import ENTITIES_TYPE
 from veilframe.operators import intercept, threats
+from veilframe.streaming import traffic
 
 
 def analyzed(spark, kind, payload, role=None, context=None):
@@ -94,3 +95,17 @@ def test_resolve(spark):
     assert sorted(map(tuple, rejected.collect()), key=repr) == sorted(
         [(1, "late", there), (1, "done", there), (2, "again", there), (9, "who", gone), (9, "who", gone), (None, "", gone)], key=repr
     )
+
+
+def test_payloads_of_a_stream_are_not_shuffled_by_policy(spark, tmp_path, capsys):
+    rows = [(i, "mail a@b.co", "MCP", None, "pol") for i in range(20)]
+    schema = "id bigint, payload string, surface string, agent_id string, policy_id string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    rules = spark.createDataFrame([("pol", 0, "EMAIL", "REDACT")], "policy_id string, pos int, entity_type string, action string")
+    log = traffic.intercept_log(traffic.read_stream(spark, str(tmp_path / "in"), schema), rules)
+    log.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    traffic.write_stream(log, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    want = intercept.log_rows(intercept.intercept(spark.createDataFrame(rows, schema), rules))
+    assert sorted(map(tuple, spark.read.schema(log.schema).parquet(str(tmp_path / "out")).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

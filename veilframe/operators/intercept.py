@@ -12,6 +12,7 @@ from veilframe.functions.constants import BLOCK_RISK, MAX_RISK, OTHER_RISK_WEIGH
 from veilframe.functions.registry import REGISTRY
 from veilframe.operators.detect import detect_entities
 from veilframe.operators.reports import counts_by, latest_hours, mean, newest
+from veilframe.sources.staging import stage_files
 
 PREVIEW_CHARS = 200
 
@@ -65,10 +66,16 @@ def _hitting_rules(rules: DataFrame) -> DataFrame:
 
 def assess(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Risk, action, advice and masked payload for rows with ``payload`` and
-    ``entities``; with ``rules``, also what the row's ``policy_id`` says."""
+    ``entities``; with ``rules``, also what the row's ``policy_id`` says.
+
+    A stream keeps the rules it is started with; if they are small, its payloads are not
+    shuffled, whatever share of them a policy has."""
     decisions = F.array().cast("array<struct<entity_type:string,action:string>>")
     if rules is not None:
-        df = df.join(_hitting_rules(rules), "policy_id", "left")
+        folded = _hitting_rules(rules)
+        if df.isStreaming:  # of stored rules Spark knows the size, and a stream's plan is not mended as it runs
+            folded = stage_files(folded, "rules")
+        df = df.join(folded, "policy_id", "left")
         types = F.transform("entities", lambda e: e["entity_type"])
         hit = F.filter("_policy", lambda r: F.array_contains(types, r["entity_type"]))
         decisions = F.coalesce(
