@@ -81,3 +81,34 @@ def test_packed_numbers():
         assert np.array_equal(lm.unpack(lm.pack(values)), values)
         assert np.array_equal(lm.unpack_sorted(lm.pack_sorted(values)), values)
     assert len(lm.unpack(lm.pack(np.zeros(0, np.uint64)))) == 0
+
+
+def test_blocks_of_batches_hold_all_rows_in_less_room(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id AS id", "text", "doc_id % 7 AS batch").toArrow()
+    odd = lm.pa.table({"id": [None, None, 5, 5], "text": [None, "", "a b", "a b"], "batch": [3, 3, 3, 9]}, table.schema)
+    given = [*odd.to_batches(), *table.to_batches(max_chunksize=100), table.to_batches()[0].slice(0, 0)]
+    for held in (1, 1 << 20, lm.HELD_BYTES):
+        monkeypatch.setattr(lm, "HELD_BYTES", held)
+        blocks = lm.pa.Table.from_batches(lm.deal(iter(given)))
+        got = [
+            (row["id"], row["text"], batch)
+            for i, batch in enumerate(blocks.column("batch").to_pylist())
+            for row in lm.dealt(blocks.slice(i, 1)).to_pylist()
+        ]
+        assert sorted(got, key=repr) == sorted(((r["id"], r["text"], r["batch"]) for r in lm.pa.concat_tables([odd, table]).to_pylist()), key=repr)
+    assert blocks.num_rows == 8 and sum(map(len, blocks.column("block").to_pylist())) < 0.5 * table.nbytes
+    assert list(lm.deal(iter([]))) == []
+
+
+def test_sorted_hashes_take_no_more_than_they_need():
+    values = np.sort(np.random.default_rng(2).integers(0, 2**64, 1 << 18, np.uint64))
+    data = lm.squeeze(lm.pack_sorted(values))
+    assert np.array_equal(lm.unpack_sorted(lm.unsqueeze(data)), values)
+    assert len(data) < 6.1 * len(values) < len(lm.pack_sorted(values)) * 1.02  # 46 bits of differences and 1.44 of their spread
+
+
+def test_places_of_unsorted_values():
+    keys = np.unique(np.random.default_rng(3).integers(0, 2**64, 1000, np.uint64))
+    values = np.random.default_rng(4).choice(keys, 5000)
+    assert np.array_equal(keys[lm.places_of(values, keys)], values)
+    assert len(lm.places_of(values[:0], keys)) == 0

@@ -4,18 +4,20 @@ Documents are dealt to batches of about ``BATCH_BYTES``.  A batch explodes its t
 n-grams of all orders, hashed to 64 bits, and sums them up: one count for each distinct
 n-gram.  The counts are cut by hash range into buckets, a sorted block for each batch and
 bucket, and shuffled once.  A bucket is one partition of the count table: it adds up its
-blocks and answers each with the corpus' counts, in the block's order.  The answers join
-their batch again, where every position takes its counts by look-up and the logs are
-summed per document.
+blocks and answers each with the counts of all other batches, in the block's order.  The
+answers join their batch again, where every position takes its counts by look-up and the
+logs are summed per document.
 
 An n-gram that every document holds is one entry in each block, so no key is hot.  Blocks
-hold the differences of the sorted hashes and the counts in as few bytes as they need:
-six to seven for a distinct n-gram where a row would take thirty.
+hold the differences of the sorted hashes and the counts in as few bytes as they need, and
+are compressed: less than six bytes for a distinct n-gram where a row would take thirty.
+Texts are shuffled to their batches in compressed blocks too.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,23 @@ BACKOFF = 0.4
 #: Bytes of text in a batch, and of text whose n-grams fill a bucket.
 BATCH_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
+#: Bytes of text that a task holds while it deals them to batches.
+HELD_BYTES = 32 << 20
 
 #: The empty n-gram, whose count is the number of words.
 _NOTHING = numbers(1, 21)
 
 
+def squeeze(data: bytes) -> bytes:
+    """``data`` compressed, behind its length.  The codec that Spark shuffles with by default
+    finds no repeats in hashes and leaves half as much again of prose."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Non-negative 64-bit numbers as byte planes, the lowest first, without empty planes;
     the first byte tells their number."""
@@ -60,6 +74,40 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, count=1), unpack(data[8:])]), dtype=np.uint64)
 
 
+def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the column ``batch`` put together to compressed blocks, one for each batch
+    of about ``HELD_BYTES`` of rows."""
+
+    def blocks() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("batch").combine_chunks()
+        batch = table.column("batch").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(batch)]
+        rows = table.drop_columns("batch")
+        packed = []
+        for start, end in zip(cuts, cuts[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as stream:
+                stream.write_table(rows.slice(start, end - start))
+            packed.append(squeeze(sink.getvalue().to_pybytes()))
+        return pa.record_batch({"batch": pa.array(batch[cuts[:-1]], pa.int64()), "block": pa.array(packed, pa.binary())})
+
+    held, size = [], 0
+    for rows in batches:
+        if rows.num_rows:
+            held.append(rows)
+            size += rows.nbytes
+        if size >= HELD_BYTES:
+            yield blocks()
+            held, size = [], 0
+    if held:
+        yield blocks()
+
+
+def dealt(table: pa.Table) -> pa.Table:
+    """The rows of blocks that ``deal`` made."""
+    return pa.concat_tables(pa.ipc.open_stream(unsqueeze(block)).read_all() for block in table.column("block").to_pylist())
+
+
 def positions(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """``(docs, grams, place)``: word bounds of texts; for n = 0 to ``order`` the hash of
     the n-gram that ends at each word (where there are as many words); the word's place
@@ -81,6 +129,15 @@ def distinct_grams(grams: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarr
     return np.unique(np.concatenate([g[place >= n - 1] for n, g in enumerate(grams)]), return_counts=True)
 
 
+def places_of(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each value stands in the sorted ``keys``, looked up in the order of the values:
+    in any other, most look-ups wait for the memory."""
+    order = np.argsort(values)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.searchsorted(keys, values[order])
+    return out
+
+
 def log_scores(docs: np.ndarray, grams: list[np.ndarray], place: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """Natural log of the score at each word, from the counts of all other documents."""
     doc = np.repeat(np.arange(len(docs) - 1), np.diff(docs))
@@ -88,7 +145,7 @@ def log_scores(docs: np.ndarray, grams: list[np.ndarray], place: np.ndarray, key
     others = []  # counts without the own document's, by order; 0 where there is no n-gram
     for n, gram in enumerate(grams):
         valid = place >= n - 1
-        at = np.searchsorted(keys, gram[valid])
+        at = places_of(gram[valid], keys) if n else np.searchsorted(keys, gram[:1]).repeat(len(gram))
         if n:
             _, inverse, own = np.unique(doc[valid] * np.int64(len(keys)) + at, return_inverse=True, return_counts=True)
             own = own[inverse]
@@ -122,10 +179,11 @@ def score_documents(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id",
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_batches = size // BATCH_BYTES + 1
     bits = max(0, math.ceil(math.log2(max(1, order * size / BUCKET_BYTES / 2))))
-    batches = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)))
+    placed = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)))
+    batches = placed.mapInArrow(deal, "batch long, block binary")
 
     def explode(table: pa.Table) -> pa.Table:
-        _, grams, place = positions(*utf8(table.column("text")), order)
+        _, grams, place = positions(*utf8(dealt(table).column("text")), order)
         keys, counts = distinct_grams(grams, place)
         bounds = np.searchsorted(keys, [b << (64 - bits) for b in range(1, 1 << bits)] if bits else [])
         bounds = np.concatenate([[0], bounds, [len(keys)]]).astype(int)
@@ -134,25 +192,27 @@ def score_documents(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id",
             {
                 "batch": pa.array([table.column("batch")[0].as_py()] * len(blocks), pa.int64()),
                 "bucket": pa.array([b for b, _, _ in blocks], pa.int64()),
-                "grams": pa.array([pack_sorted(keys[s:e]) for _, s, e in blocks], pa.binary()),
-                "counts": pa.array([pack(counts[s:e]) for _, s, e in blocks], pa.binary()),
+                "grams": pa.array([squeeze(pack_sorted(keys[s:e])) for _, s, e in blocks], pa.binary()),
+                "counts": pa.array([squeeze(pack(counts[s:e])) for _, s, e in blocks], pa.binary()),
             }
         )
 
     def add_up(table: pa.Table) -> pa.Table:
-        grams = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
+        grams = [unpack_sorted(unsqueeze(x)) for x in table.column("grams").to_pylist()]
+        counts = [unpack(unsqueeze(x)).astype(np.int64) for x in table.column("counts").to_pylist()]
         ends = np.cumsum([len(x) for x in grams])
         keys, at = np.unique(np.concatenate(grams), return_inverse=True)
         totals = np.zeros(len(keys), np.int64)
-        np.add.at(totals, at, np.concatenate([unpack(x) for x in table.column("counts").to_pylist()]).astype(np.int64))
-        answers = [pack(totals[at[e - len(x) : e]]) for x, e in zip(grams, ends)]
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "totals": pa.array(answers, pa.binary())})
+        np.add.at(totals, at, np.concatenate(counts))
+        answers = [squeeze(pack(totals[at[e - len(own) : e]] - own)) for own, e in zip(counts, ends)]
+        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "others": pa.array(answers, pa.binary())})
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = dealt(table)
         bounds, grams, place = positions(*utf8(table.column("text")), order)
-        keys, _ = distinct_grams(grams, place)
-        ordered = answers.sort_by("bucket").column("totals").to_pylist()
-        totals = np.concatenate([np.zeros(0, np.uint64), *map(unpack, ordered)]).astype(np.int64)
+        keys, counts = distinct_grams(grams, place)
+        ordered = answers.sort_by("bucket").column("others").to_pylist()
+        totals = counts + np.concatenate([np.zeros(0, np.uint64), *(unpack(unsqueeze(x)) for x in ordered)]).astype(np.int64)
         logs = np.concatenate([[0.0], log_scores(bounds, grams, place, keys, totals)])
         n_words = np.diff(bounds)
         sums = np.zeros(len(n_words))
@@ -169,7 +229,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id",
         )
 
     blocks = batches.groupBy("batch").applyInArrow(explode, "batch long, bucket long, grams binary, counts binary")
-    answers = blocks.groupBy("bucket").applyInArrow(add_up, "batch long, bucket long, totals binary")
+    answers = blocks.groupBy("bucket").applyInArrow(add_up, "batch long, bucket long, others binary")
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, log_score double, mean_log_score double"
     return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema)
