@@ -232,3 +232,18 @@ def test_bursts_of_a_busy_agent(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = traffic.salami_sessions(df)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_a_batch_is_sorted_once(spark, tmp_path, monkeypatch):
+    """The numbers that new events get are their places: they are not sorted again by them."""
+    sorted_by, positions = [], audit.positions
+    monkeypatch.setattr(audit, "positions", lambda df, order, *more: sorted_by.append(order) or positions(df, order, *more))
+    events = spark.range(50).selectExpr("concat('e', lpad(id, 3, '0')) AS event_id", "'T' AS event_type", "timestamp'2024-01-01 00:00:00' AS timestamp")
+    path = f"{tmp_path}/chain"
+    appends.append_chain(events.where("event_id < 'e023'"), path, 0, 4)
+    appends.append_chain(events.where("event_id >= 'e023'"), path, 1, 4)
+    assert sorted_by == ["event_id", "event_id"]
+    chain = appends.read_chain(spark, path)
+    assert [r.event_id for r in chain.orderBy("seq").collect()] == [f"e{i:03d}" for i in range(50)]
+    assert {r.segment: r["count"] for r in chain.groupBy("segment").count().collect()} == {**{i: 4 for i in range(12)}, 5: 3, 12: 3}
+    assert audit.verify_chain(chain).first().verified

@@ -28,7 +28,9 @@ def timestamp_text(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def build_chain(events: DataFrame, seals: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def build_chain(
+    events: DataFrame, seals: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS, position: Column | None = None
+) -> DataFrame:
     """Add ``segment, prev_hash, hash`` to events with a unique, sortable ``seq``.
 
     Events are cut into segments of ``segment_rows`` rows in the order of ``seq``, of any
@@ -42,11 +44,15 @@ def build_chain(events: DataFrame, seals: DataFrame | None = None, segment_rows:
 
     ``seals``: those of the events already written (see ``seal_segments``); the new
     events then begin a segment after the last one.
+
+    ``position``: the place from 0 of each event in the order of ``seq``, where that is
+    known (after ``number_events``); else the events are sorted for it.
     """
     first = 0
     if seals is not None:
         first = seals.agg(F.coalesce(F.max("segment") + 1, F.lit(0))).first()[0]
-    placed = positions(events, "seq").withColumn("segment", F.expr(f"{int(first)} + position div {int(segment_rows)}")).drop("position")
+    placed = positions(events, "seq") if position is None else events.withColumn("position", position)
+    placed = placed.withColumn("segment", F.expr(f"{int(first)} + position div {int(segment_rows)}")).drop("position")
     # What is hashed rides along with the rows: one shuffle gives rows and digests.
     head = F.concat("event_id", "event_type", timestamp_text(F.col("timestamp")))
     rows = F.array_sort(F.collect_list(F.struct(F.col("seq").alias("_seq"), head.alias("head"), F.struct(*placed.columns).alias("row"))))

@@ -94,8 +94,10 @@ def append_chain(events: DataFrame, path: str, batch: int, segment_rows: int = a
     done, after = seals.agg(F.max("batch"), F.max("last_seq")).first()
     if done is not None and done >= batch:
         return False
-    numbered = audit.number_events(events, 0 if after is None else after)
-    chained = audit.build_chain(numbered, None if done is None else seals, segment_rows)
+    after = after or 0
+    numbered = audit.number_events(events, after)
+    # The numbers have no gaps: they tell the places, and the events are sorted once.
+    chained = audit.build_chain(numbered, None if done is None else seals, segment_rows, F.col("seq") - F.lit(after + 1))
     null = F.lit(None)
     kinds = [c.split() for c in SCHEMAS["audit_events"].split(", ")]
     columns = [(F.col(c) if c in chained.columns else null).cast(kind).alias(c) for c, kind in kinds]
