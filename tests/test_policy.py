@@ -200,6 +200,34 @@ def test_requests_are_shuffled_once(spark):
     assert [(r.action, r.compliance_refs) for r in decided.collect()] == [("PASS", [])]
 
 
+def test_a_policy_is_folded_to_few_rows(spark):
+    """Packs are not listed for every type, nothing is sorted to find the last positions, and
+    types that share a row keep their own rules and exceptions."""
+    types = [f"T{i}" for i in range(60)]
+    rules = spark.createDataFrame([("p", i, t, f"R{i}", ["r"] if i % 3 == 0 else None, None) for i, t in enumerate(types)], RULES)
+    exceptions = spark.createDataFrame(
+        [("p", i, "a" if i % 2 else None, None if i % 2 else "r", [t], f"X{i}") for i, t in enumerate(types) if i % 5 == 0],
+        "policy_id string, pos bigint, agent_id string, agent_role string, entity_types array<string>, action string",
+    )
+    packs = spark.createDataFrame([("p", ["GDPR"]), ("q", ["HIPAA"])], "policy_id string, compliance_packs array<string>")
+    assert policy._folded(rules, exceptions, packs).count() == 2 * policy.TYPE_ROWS < 22
+    asked = [(p, t, agent, role) for p in "pq" for t in [*types, "EMAIL", None] for agent in ("a", "b", None) for role in ("r", "s", None)]
+    rows = spark.createDataFrame(asked, "policy_id string, entity_type string, agent_id string, agent_role string")
+    decided = policy.evaluate(rows, rules, exceptions, packs)
+    assert "SortAggregate" not in decided._jdf.queryExecution().executedPlan().toString()
+
+    def expected(p, t, agent, role):
+        if p == "q" or t not in types:
+            return "TOKENIZE" if t == "EMAIL" else "REDACT"
+        i = types.index(t)
+        if i % 5 == 0 and (agent == "a" if i % 2 else role == "r"):
+            return f"X{i}"
+        return "REDACT" if i % 3 == 0 and role == "s" else f"R{i}"
+
+    got = {(r.policy_id, r.entity_type, r.agent_id, r.agent_role): r.action for r in decided.collect()}
+    assert got == {key: expected(*key) for key in asked}
+
+
 def test_strictest_actions_need_no_join_of_lines(spark):
     """An id has one row of fixed width, however many lines have it."""
     from veilframe.plans import all_queries

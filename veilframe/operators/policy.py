@@ -5,8 +5,8 @@ A policy arrives as one JSON document per row and is normalised once:
 * rules: ``policy_id, pos, entity_type, action, roles, classification``
 * exceptions: ``policy_id, pos, agent_id, agent_role, entity_types, action``
 
-Rules are folded to a bounded number of rows per policy and type before they
-meet the data, so a decision never multiplies rows.
+Rules are folded to a fixed number of rows per policy before they meet the data,
+so a decision never multiplies rows.
 """
 
 from __future__ import annotations
@@ -82,45 +82,56 @@ def compliance_refs(entity_type: Column, action: Column, packs: Column) -> Colum
     return F.transform(met, lambda d: F.concat(d["pack"], F.lit(": "), d["action"], F.lit(" required")))
 
 
-def _folded(rules: DataFrame, exceptions: DataFrame | None, packs: DataFrame | None) -> DataFrame:
-    """One row per policy and type, however often a policy repeats itself: ``_rules`` (the
-    last position of every distinct action and role list), ``_by_agent`` and ``_by_role``
-    (the last exception of everyone named) and ``compliance_packs``.
+#: A policy's types are dealt to so many rows.
+TYPE_ROWS = 4
+
+_RULES, _AGENTS, _ROLES = 0, 1, 2
+
 
-    Packs are listed for the types that some pack has a say in, a fixed number: for others
-    there is nothing to report."""
-    rule = "struct<pos:bigint,action:string,roles:array<string>>"
-    grant = "struct<who:string,exception:struct<pos:bigint,action:string>>"
-    shapes = {"_rule": rule, "_agent": grant, "_role": grant, "_packs": "array<string>"}
+def _place(entity_type: str | Column) -> dict[str, Column]:
+    """The row of a policy that speaks of ``entity_type``.  The hash comes first: rows are
+    then sorted by a number and not by long names that begin alike."""
+    row = F.pmod(F.hash(entity_type), F.lit(TYPE_ROWS))
+    return {"_key": F.xxhash64("policy_id", row), "policy_id": F.col("policy_id"), "_row": row}
+
+
+def _folded(rules: DataFrame, exceptions: DataFrame | None, packs: DataFrame | None) -> DataFrame:
+    """``TYPE_ROWS`` rows per policy, however often it repeats itself: ``_said`` (the last
+    position of every distinct rule, and of every distinct exception for an agent or a role,
+    with its type) and ``compliance_packs``."""
 
-    def part(df: DataFrame, **given: Column) -> DataFrame:
-        return df.select("policy_id", "entity_type", *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in shapes.items()])
+    def said(df: DataFrame, kind: Column, whom: Column) -> DataFrame:
+        return df.select(
+            "policy_id", "entity_type", kind.cast("tinyint").alias("kind"), "action", whom.alias("whom"), F.col("pos").cast("bigint").alias("pos")
+        ).where("entity_type IS NOT NULL")
 
     roles = F.when(F.size("roles") > 0, F.array_sort(F.array_distinct("roles")))
-    last = (
-        rules.where("entity_type IS NOT NULL")
-        .groupBy("policy_id", "entity_type", "action", roles.alias("roles"))
-        .agg(F.max("pos").alias("pos"))
-    )
-    parts = [part(last, _rule=F.struct("pos", "action", "roles"))]
+    every = said(rules, F.lit(_RULES), roles)
     if exceptions is not None:
         listed = exceptions.select("policy_id", "pos", "agent_id", "agent_role", "action", F.explode("entity_types").alias("entity_type"))
-        for name, column in (("_agent", "agent_id"), ("_role", "agent_role")):
-            named = listed.where(F.col(column).isNotNull()).groupBy("policy_id", "entity_type", column)
-            granted = named.agg(F.max(F.struct("pos", "action")).alias("x"))
-            parts.append(part(granted, **{name: F.struct(F.col(column).alias("who"), F.col("x").alias("exception"))}))
+        names = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("who")) for k, c in ((_AGENTS, "agent_id"), (_ROLES, "agent_role"))])
+        named = listed.select("policy_id", "entity_type", "action", "pos", F.inline(F.filter(names, lambda n: n["who"].isNotNull())))
+        every = every.union(said(named, F.col("kind"), F.array("who")))
+    # Only a number is aggregated here, so that the rows are hashed and not sorted.
+    last = every.groupBy("policy_id", "entity_type", "kind", "action", "whom").agg(F.max("pos").alias("pos"))
+    none = F.lit(None).cast("array<string>")
+    whole = last.select(
+        *[c.alias(n) for n, c in _place("entity_type").items()],
+        F.struct("entity_type", "kind", "pos", "action", "whom").alias("_one"),
+        none.alias("_packs"),
+    )
     if packs is not None:
-        types = sorted({t for rules_of_pack in COMPLIANCE_PACKS.values() for t in rules_of_pack})
-        each = packs.select("policy_id", "compliance_packs", F.explode(F.array(*map(F.lit, types))).alias("entity_type"))
-        parts.append(part(each, _packs=F.col("compliance_packs")))
-    whole = parts[0]
-    for more in parts[1:]:
-        whole = whole.union(more)
-    return whole.groupBy("policy_id", "entity_type").agg(
-        F.collect_list("_rule").alias("_rules"),
-        F.map_from_entries(F.collect_list("_agent")).alias("_by_agent"),
-        F.map_from_entries(F.collect_list("_role")).alias("_by_role"),
-        F.first("_packs", ignorenulls=True).alias("compliance_packs"),
+        row = F.explode(F.sequence(F.lit(0), F.lit(TYPE_ROWS - 1)))
+        each = packs.select("policy_id", "compliance_packs", row.alias("_row"))
+        key = F.xxhash64("policy_id", "_row").alias("_key")
+        whole = whole.unionByName(
+            each.select(key, "policy_id", "_row", F.lit(None).cast(whole.schema["_one"].dataType).alias("_one"), F.col("compliance_packs").alias("_packs"))
+        )
+    # Dealt out before they are gathered: next to no two rows of a place stand in one task,
+    # and gathering them there first would sort all of them in vain.
+    place = ["_key", "policy_id", "_row"]
+    return whole.repartition(*place).groupBy(*place).agg(
+        F.collect_list("_one").alias("_said"), F.first("_packs", ignorenulls=True).alias("compliance_packs")
     )
 
 
@@ -131,20 +142,23 @@ def evaluate(
     ``agent_id, agent_role``): adds ``action, reason, compliance_refs, overridden_by``.
 
     Exception over last matching rule over default over REDACT.  All that a policy says
-    about a type is in one row, so ``entities`` are shuffled once, or not at all if the
+    about a type is in one row, with other types, so ``entities`` are shuffled once, or not at all if the
     policies are small.
     """
     df = entities
     for name in ("agent_id", "agent_role"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("string"))
-    df = df.join(_folded(rules, exceptions, packs), ["policy_id", "entity_type"], "left")
-    matching = F.filter(
-        "_rules",
-        lambda r: r["roles"].isNull() | F.col("agent_role").isNull() | F.array_contains(r["roles"], F.col("agent_role")),
-    )
-    ruled = F.array_max(matching)["action"]
-    granted = F.greatest(F.try_element_at("_by_agent", F.col("agent_id")), F.try_element_at("_by_role", F.col("agent_role")))["action"]
+    df = df.withColumns({k: c for k, c in _place("entity_type").items() if k != "policy_id"})
+    df = df.join(_folded(rules, exceptions, packs), ["_key", "policy_id", "_row"], "left")
+    agent, role = F.col("agent_id"), F.col("agent_role")
+
+    def last(matching) -> Column:
+        found = F.filter("_said", lambda s: (s["entity_type"] == F.col("entity_type")) & matching(s))
+        return F.array_max(F.transform(found, lambda s: F.struct(s["pos"], s["action"])))["action"]
+
+    ruled = last(lambda s: (s["kind"] == _RULES) & (s["whom"].isNull() | role.isNull() | F.array_contains(s["whom"], role)))
+    granted = last(lambda s: ((s["kind"] == _AGENTS) & (F.get(s["whom"], 0) == agent)) | ((s["kind"] == _ROLES) & (F.get(s["whom"], 0) == role)))
     default = F.try_element_at(lookup.text_map(DEFAULT_ACTIONS), F.col("entity_type"))
     who = F.coalesce("agent_id", "agent_role")
     df = df.withColumns({"_granted": granted, "_ruled": ruled})
