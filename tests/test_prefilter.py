@@ -47,6 +47,19 @@ def test_prefilters_let_all_matches_through(spark):
     assert not wrong, wrong[:5]
 
 
+def test_words_are_looked_for_behind_one_look_ahead(spark):
+    """The letters that may follow are checked once, and every word is still found where a
+    word starts and nowhere else; plain strings need no pattern."""
+    words = " ".join(dict.fromkeys(" ".join(n.words for n in prefilter.NEEDS.values()).split()))
+    pattern = prefilter._word_start(words)
+    assert pattern.startswith("[^a-z](?=[")
+    texts = [f"{before}{w[:n]}{after}" for w in words.split() for n in (len(w) - 1, len(w)) for before in (" ", "x", " 9", " \U0001d7ce", "é") for after in ("", "z", " ")]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", F.rlike("text", F.lit(pattern)).alias("got")).collect()
+    plainly = re.compile(f"[^a-z](?:{'|'.join(words.split())})")
+    assert [r.text for r in rows if r.got != bool(plainly.search(r.text))] == []
+    assert prefilter.may_match(prefilter.NEEDS["CARDHOLDER_NAME"]) == ["(contains(_folded, 'card'))"]
+
+
 @pytest.mark.parametrize("plain_text", [True, False])
 def test_dialect_agrees_with_python(spark, plain_text):
     """Both forms of every pattern find what Python finds."""

@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 class Need(NamedTuple):
     """Java patterns that must all be found, in the named view.  ``words`` are
-    beginnings of words of which the folded text must hold one."""
+    beginnings of words of which the folded text must hold one, ``holds`` plain
+    strings of which it must hold one: they are found without a pattern."""
 
     shape: str = ""
     marks: str = ""
+    holds: str = ""
     text: str = ""
     words: str = ""
     folded: str = ""
@@ -42,11 +44,16 @@ _D = r"\p{Nd}"
 
 
 def _word_start(words: str) -> str:
-    """One of ``words`` at the start of a word, grouped by first letter."""
+    """One of ``words`` at the start of a word, grouped by first letter.
+
+    Where no letters of ``words`` follow, which is what most words of a text show, the
+    groups are not tried one after the other."""
     by_letter: dict[str, list[str]] = {}
     for word in words.split():
         by_letter.setdefault(word[0], []).append(word[1:])
-    return "[^a-z](?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in by_letter.items()) + ")"
+    letters = ("".join(sorted(set(column))) for column in zip(*words.split()))
+    ahead = "".join(f"[{column}]" for column, _ in zip(letters, range(3)))
+    return f"[^a-z](?={ahead})(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in by_letter.items()) + ")"
 
 
 NEEDS: dict[str, Need] = {
@@ -90,7 +97,7 @@ NEEDS: dict[str, Need] = {
     ),
     "CVV": Need(shape=rf"{_D}{{3}}", folded="c(?:v[vc]|id|ode)"),
     "CARD_EXPIRY": Need(shape=rf"[01]{_D} [23]{_D}"),
-    "CARDHOLDER_NAME": Need(folded="card"),
+    "CARDHOLDER_NAME": Need(holds="card"),
     "BANK_ACCOUNT": Need(shape=rf"{_D}{{8}}"),
     "ROUTING_NUMBER": Need(shape=rf"{_D}{{9}}"),
     "SWIFT_BIC": Need(shape="[A-Z]{6}[A-Z0-9]{2}"),
@@ -99,7 +106,7 @@ NEEDS: dict[str, Need] = {
     "CUSIP": Need(shape="[0-9]{3}[A-Z0-9]{3}[0-9]{3}"),
     "ISIN": Need(shape="[A-Z]{2}[A-Z0-9]{9}[0-9]"),
     "SEDOL": Need(shape="[B-DF-HJ-NP-TV-Z0-9]{6}[0-9]"),
-    "TICKER_SYMBOL": Need(text="[ts](?:icker|ymbol|tock)[^a-z]"),
+    "TICKER_SYMBOL": Need(holds="ticker symbol stock", text="[ts](?:icker|ymbol|tock)[^a-z]"),
     "TRADE_SECRET_MARKER": Need(words="confidential secret proprietary restricted internal distribution"),
     "SWIFT_BIC_FIN": Need(shape="[A-Z]{6}[A-Z0-9]{2}"),
     "LEI": Need(shape=rf"[0-9A-Z]{{4}}00[A-Z0-9]{{12}}{_D}{{2}}"),
@@ -114,7 +121,7 @@ NEEDS: dict[str, Need] = {
     "PASSWORD_HASH": Need(marks=r"\$[^$]*\$[^$]*\$"),
     "EMPLOYEE_ID": Need(shape=rf"(?:EMP|EID|E) ?{_D}{{5}}"),
     "CONTRACT_REF": Need(shape="(?:CON|CTR) ?[A-Z0-9]{4}"),
-    "PROJECT_CODENAME": Need(folded="[pci](?:roject|odename|nitiative)[^a-z]"),
+    "PROJECT_CODENAME": Need(holds="project codename initiative", folded="[pci](?:roject|odename|nitiative)[^a-z]"),
     "INTERNAL_URL": Need(marks="://"),
     "DOCUMENT_CLASSIFICATION": Need(words="secret confidential restricted unclassified official"),
     "DATA_SUBJECT_ID": Need(shape=rf"(?:DSR|DSAR|SUBJ) ?{_D}{{5}}"),
@@ -160,6 +167,9 @@ def may_match(need: Need) -> list[str]:
         wanted = getattr(need, field)
         if not wanted:
             continue
+        if field == "holds":
+            conditions.append("(" + " OR ".join(f"contains(_folded, {literal(h)})" for h in wanted.split()) + ")")
+            continue
         if field == "words":
             conditions.append("_keyword")
             wanted = _word_start(wanted)
