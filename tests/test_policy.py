@@ -168,6 +168,23 @@ def test_conflicts_are_counted_alike_in_rows_and_by_running_numbers(spark):
     assert "Distinct" not in plan and plan.count("Aggregate") == 3  # the actions of every place
 
 
+def test_conflicts_of_small_types_take_one_shuffle(spark):
+    """Types of few lines are gathered, larger ones meet in the index: the same rows, and
+    lines of small types are shuffled once.  Rules without a policy meet nothing."""
+    lists = [None, ["a"], ["b"], ["a", "b"], ["c", "b", None], [None]]
+    rules = [
+        (None if i % 29 == 5 else f"p{i * i % 7}", i * 31 % 997, ("SSN", "EMAIL", None)[i % 5 % 3], ("REDACT", "MASK", "PASS", None)[i * 7 % 11 % 4], lists[i % 13 % 6], None)
+        for i in range(600)
+    ]
+    df = spark.createDataFrame(rules, RULES)
+    rows = {most: sorted(policy.conflicts(df, max_places=most).collect(), key=str) for most in (1, 12, 128)}
+    lines = sorted(r["count"] for r in df.where("policy_id IS NOT NULL AND entity_type IS NOT NULL AND action IS NOT NULL").groupBy("policy_id", "entity_type").count().collect())
+    assert 4 < lines[0] <= 48 < lines[-1] <= 512  # all large, some, none
+    assert rows[1] == rows[12] == rows[128] and len(rows[1]) > 100
+    plan = policy.conflicts(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_conflicts_in_both_orders_are_two_warnings(spark):
     document = '{"rules": [{"entity_type": "SSN", "action": "%s"}, {"entity_type": "SSN", "action": "%s"}, {"entity_type": "SSN", "action": "%s"}]}'
     documents = [("p", document % ("REDACT", "MASK", "REDACT")), ("q", document % ("MASK", "MASK", "PASS"))]

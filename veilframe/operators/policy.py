@@ -187,7 +187,8 @@ _TYPE = ["policy_id", "entity_type"]
 
 _VARIANT = [*_TYPE, "action", "roles"]
 
-#: Up to so many places of a rule are kept in its row.
+#: Up to so many places of a rule are kept in its row, and up to four times as many lines
+#: of a type are gathered in one row.
 MAX_PLACES = 128
 
 
@@ -234,21 +235,46 @@ def _meeting(variants: DataFrame) -> DataFrame:
         .union(opposed(free, free, _TYPE, greater).select(*_TYPE, "x", "y"))
         .union(opposed(free, bound, _TYPE, lambda other: other != F.col("action")).select(*_TYPE, "x", "y"))
     )
+    return _first_is_a(pairs)
+
+
+def _paired(placed: DataFrame) -> DataFrame:
+    """The same pairs of types of few lines, whose rules are gathered in a row.  Lines are
+    shuffled once, by type: what follows finds them where they are.  Rules of the same action
+    are never paired."""
+    folded = placed.repartition(*_TYPE).groupBy(*_VARIANT)
+    folded = folded.agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"), F.collect_list("pos").alias("places"))
+    by_action = folded.groupBy(*_TYPE, "action").agg(F.collect_list(F.struct("first_pos", "action", "roles", "n", "places")).alias("v"))
+    types = by_action.groupBy(*_TYPE).agg(F.collect_list(F.struct("action", "v")).alias("actions")).where(F.size("actions") > 1)
+    opposed = types.select(*_TYPE, "actions", F.explode("actions").alias("x")).select(*_TYPE, "x", F.explode("actions").alias("y"))
+    each = opposed.where(F.col("x.action") < F.col("y.action")).select(*_TYPE, F.explode("x.v").alias("x"), F.col("y.v").alias("y"))
+    each = each.select(*_TYPE, "x", F.explode("y").alias("y"))
+    free = (F.size("x.roles") == 0) | (F.size("y.roles") == 0)
+    return _first_is_a(each.where(free | F.arrays_overlap("x.roles", "y.roles")))
+
+
+def _first_is_a(pairs: DataFrame) -> DataFrame:
     swap = F.struct("y.first_pos", "y.action") < F.struct("x.first_pos", "x.action")
     return pairs.select(*_TYPE, F.when(swap, F.col("y")).otherwise(F.col("x")).alias("_a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("_b"))
 
 
 def _in_order() -> Column:
-    """How many places of ``_a`` and ``_b``, both in their rows, are in order."""
+    """How many places of ``_a`` and ``_b``, both in their rows, are in order.  A few are
+    compared one by one, more are merged."""
+
+    def places(v: str) -> Column:
+        return F.coalesce(F.col(f"{v}.places"), F.array(f"{v}.first_pos"))
 
     def marked(v: str, later: bool) -> Column:
-        places = F.coalesce(F.col(f"{v}.places"), F.array(f"{v}.first_pos"))
-        return F.transform(places, lambda at: F.struct(at.alias("pos"), F.lit(later).alias("later")))
+        return F.transform(places(v), lambda at: F.struct(at.alias("pos"), F.lit(later).alias("later")))
+
+    none = F.lit(0).cast("bigint")
+    few = F.aggregate(places("_a"), none, lambda acc, at: acc + F.size(F.filter(places("_b"), lambda other: other > at)))
 
     # Of equal places, which rules of one policy do not have, that of ``_b`` comes first.
     merged = F.array_sort(F.concat(marked("_a", True), marked("_b", False)))
-    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("pairs"))
-    return F.aggregate(
+    start = F.struct(none.alias("before"), none.alias("pairs"))
+    more = F.aggregate(
         merged, start,
         lambda acc, place: F.struct(
             (acc["before"] + F.when(place["later"], 1).otherwise(0)).alias("before"),
@@ -256,6 +282,7 @@ def _in_order() -> Column:
         ),
         lambda acc: acc["pairs"],
     )
+    return F.when(F.col("_a.n") * F.col("_b.n") <= 64, few).otherwise(more)
 
 
 def conflicts(rules: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
@@ -267,25 +294,51 @@ def conflicts(rules: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
     the pairs of their places, ``in_order`` those with ``a`` before ``b`` (the first being
     ``pos_a, pos_b``) and ``reversed`` the others (the first being ``pos_b, next_pos_a``).
 
-    Of two rules that have a place each there is nothing to count.  Up to ``max_places``
-    places are in the rule's row, and both rows' places are merged.  For rules of more
+    Of two rules that have a place each there is nothing to count.  Where a type has up to
+    four times ``max_places`` lines, its rules are gathered in one row and paired there.
+    In larger types rules meet in an index; up to ``max_places`` places are in the rule's
+    row.  Both rows' places are merged.  For rules of more
     places the counts come from running numbers over the places of the rule that occurs
     more often, read at the places of the other one, in buckets: places are not paired.
     """
     roles = F.array_sort(F.array_distinct(F.coalesce("roles", F.array().cast("array<string>"))))
-    placed = rules.where("entity_type IS NOT NULL AND action IS NOT NULL").select(*_TYPE, "pos", "action", roles.alias("roles"))
+    named = "policy_id IS NOT NULL AND entity_type IS NOT NULL AND action IS NOT NULL"
+    placed = rules.where(named).select(*_TYPE, "pos", "action", roles.alias("roles"))
+    sizes = placed.groupBy(*_TYPE).agg(F.count("*").alias("lines"))
+    large = stage_files(sizes.where(F.col("lines") > 4 * max_places).select(*_TYPE), "large")
+    if large.isEmpty():
+        return _described(_in_rows(_paired(placed)))
+    few, many = (placed.join(large, _TYPE, how) for how in ("left_anti", "left_semi"))
+    return _described(_in_rows(_paired(few)).unionByName(_indexed(many, max_places)))
+
+
+def _in_rows(pairs: DataFrame) -> DataFrame:
+    """``in_order`` and ``next_pos_a`` of pairs of rules whose places are in their rows."""
+    single = F.col("_a.n") * F.col("_b.n") == 1
+    later = F.array_min(F.filter("_a.places", lambda at: at > F.col("_b.first_pos")))
+    return pairs.withColumns({
+        "in_order": F.when(single, F.lit(1).cast("bigint")).otherwise(_in_order()),
+        "next_pos_a": F.when(F.col("_a.n") > 1, later),
+    })
+
+
+def _indexed(placed: DataFrame, max_places: int) -> DataFrame:
+    """The pairs of rules that meet in the index, with their counts."""
     variants = _variants(placed, max_places)
-    total = F.col("_a.n") * F.col("_b.n")
     many = F.greatest("_a.n", "_b.n") > max_places
-    later = F.array_min(F.filter("_a.places", lambda at: at > F.col("_b.first_pos")))
     pairs = _meeting(variants)
-    whole = pairs.where(~many).withColumns({"in_order": F.when(total == 1, F.lit(1).cast("bigint")).otherwise(_in_order()), "next_pos_a": later})
+    whole = _in_rows(pairs.where(~many))
     if not variants.where(F.col("n") > max_places).isEmpty():
         named = {"a": _variant("_a.action", "_a.roles"), "b": _variant("_b.action", "_b.roles")}
         rest = stage_files(pairs.where(many).withColumns(named), "pairs")
         counts = _counted(placed.withColumn("variant", _variant("action", "roles")), rest)
         whole = whole.unionByName(rest.join(counts, [*_TYPE, "a", "b"]).drop("a", "b"))
-    return whole.select(
+    return whole
+
+
+def _described(pairs: DataFrame) -> DataFrame:
+    total = F.col("_a.n") * F.col("_b.n")
+    return pairs.select(
         *_TYPE,
         F.col("_a.first_pos").alias("pos_a"),
         F.col("_a.action").alias("action_a"),
@@ -326,7 +379,7 @@ def _counted(placed: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _clash(first: Column, second: Column) -> Column:
     # The text of a conflict.
-    shared = F.array_sort(F.array_intersect("_a.roles", "_b.roles"))
+    shared = F.array_intersect("_a.roles", "_b.roles")  # in the order of ``_a.roles``, which are sorted
     roles = F.when(F.size(shared) > 0, F.concat(F.lit(" for overlapping roles "), F.array_join(shared, ", "))).otherwise("")
     return F.concat(F.col("entity_type"), F.lit(": conflicting actions "), first, F.lit(" vs "), second, roles)
 
