@@ -1,3 +1,5 @@
+import bz2
+import gzip
 from datetime import datetime
 from pathlib import Path
 from urllib.parse import urlparse
@@ -63,6 +65,33 @@ def test_texts_are_written_as_files_by_the_tasks(spark, tmp_path):
     assert len(list(path.iterdir())) <= 4 and not list(path.rglob(".*"))
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    """Not a task for a few small files each; the rows and names are those of Spark's
+    reader of whole texts, which unpacks files and skips hidden and empty ones."""
+    for i in range(300):
+        folder = tmp_path / f"part={i % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"a b%{i}.txt").write_bytes(b"x\xff\r\n" * (i % 5))
+    for name, pack in (("z.txt.gz", gzip.compress), ("y.BZ2", bz2.compress), ("gz", bytes), ("_hidden", bytes), (".dot", bytes)):
+        (folder / name).write_bytes(pack(b"packed " + name.encode()))
+    (tmp_path / "odd" / "content=5").mkdir(parents=True)
+    (tmp_path / "odd" / "content=5" / "a.txt").write_text("abc")
+
+    def rows(df, name, text):
+        return sorted(map(tuple, df.select(name, F.hex(F.col(text).cast("binary"))).collect()))
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        for path, n in (("part=*", 243), ("part=1", 80), ("part=2/*.gz", 1), ("odd", 1)):
+            whole = spark.read.format("text").option("wholetext", True).load(str(tmp_path / path))
+            back = tables.read_texts(spark, str(tmp_path / path), "text")
+            assert rows(back, "doc_id", "text") == rows(whole, F.col("_metadata.file_path"), "value")
+            assert back.count() == n and back.schema.simpleString() == "struct<doc_id:string,text:string>"
+        assert tables.read_texts(spark, str(tmp_path / "part=[01]"), "text").rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism < 160
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_pages_and_trends_read_only_their_days(spark, tmp_path):
     path = str(tmp_path / "log")
     tables.append_table(_log(spark), "interceptor_logs", path)
