@@ -65,6 +65,21 @@ def test_texts_are_written_as_files_by_the_tasks(spark, tmp_path):
     assert len(list(path.iterdir())) <= 4 and not list(path.rglob(".*"))
 
 
+def test_folders_of_texts_are_listed_by_several_jobs(spark, tmp_path):
+    """No folder has more than 64 others: all names would reach the driver at once."""
+    path, tracker = tmp_path / "files", spark.sparkContext.statusTracker()
+    tables.write_texts(spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text"), str(path))
+    inside = [len([x for x in folder.iterdir() if x.is_dir()]) for folder in (path, *path.iterdir())]
+    assert inside == [4, 64, 64, 64, 64]
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        back = tables.read_texts(spark, str(path), "text")
+        assert len(tracker.getJobIdsForGroup("listing")) >= 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert back.select("text").distinct().count() == back.count() == 3000
+
+
 def test_small_files_share_tasks(spark, tmp_path):
     """Not a task for a few small files each; the rows and names are those of Spark's
     reader of whole texts, which unpacks files and skips hidden and empty ones."""
